@@ -1,0 +1 @@
+"""Streaming entry points (change batches applied per micro-batch)."""
