@@ -29,10 +29,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (tests on one machine) is a fresh scratch
     folder created and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    path = tempfile.mkdtemp(prefix="carelake-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="carelake-ckpt-")
+    sc.setCheckpointDir(configured)
+    return configured
