@@ -35,10 +35,6 @@ class Changed:
     rejected: DataFrame   # batch rows refused, with an ``errors`` array
 
 
-def _reject(df: DataFrame, message: str, text_cols: Sequence[str]) -> DataFrame:
-    return df.select(*text_cols, F.array(F.lit(message)).alias("errors"))
-
-
 # ── C1 append with new ids ──────────────────────────────────────────────────
 def assign_ids(df: DataFrame, id_col: str, high_water: int, order: Sequence[str] = ("seq",)) -> DataFrame:
     """``id = high_water + position`` in ``order``; ids are never reused.
@@ -98,7 +94,7 @@ def update_by_key(base: DataFrame, updates: DataFrame, key: str, columns: Sequen
     first = V.first_per_key(updates, key)
     u = first.valid.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns],
                            *[F.col(e).alias(f"_exp_{c}") for c, e in (expected or {}).items()],
-                           F.col("seq").alias("_seq"), F.lit(True).alias("_matched"))
+                           F.col("seq").alias("_seq"))
     current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
     exists = F.col("_cur_present").isNotNull()
     probe = u.join(current.withColumn("_cur_present", F.lit(True)), key, "left")
@@ -147,8 +143,17 @@ def change_status(appointment: DataFrame, status_in: DataFrame) -> Changed:
 
 # ── C5 restock ──────────────────────────────────────────────────────────────
 def restock(medication: DataFrame, restock_in: DataFrame) -> Changed:
-    """Add positive quantities to stock; several rows per medication are summed first."""
+    """Add positive quantities to stock; several rows per medication are summed first.
+
+    The batch names a medication by ``medication_id`` or, if it has no such
+    column, by ``medication_name`` (every medication of that name is restocked).
+    """
     text_cols = restock_in.columns
+    if "medication_id" not in text_cols:
+        names = medication.select(F.col("medication_name").alias("_name"),
+                                  F.col("medication_id").cast("string").alias("medication_id"))
+        restock_in = (restock_in.join(names, F.trim(restock_in["medication_name"]) == names["_name"], "left")
+                      .drop("_name"))
     b = V.mark_existing(restock_in, V.parse_int("medication_id").cast("long"), medication,
                         "medication_id", "_has_med")
     rules = [V.positive_int("quantity", "Quantity"), V.reference_exists("_has_med", "Medication")]

@@ -85,7 +85,7 @@ def with_defaults(df: DataFrame, table: str, as_of: str | None = None) -> DataFr
     """
     fills = {}
     for (name, col), value in DEFAULTS.items():
-        if name != table:
+        if name != table or col not in df.columns:
             continue
         if value == "CURRENT_DATE":
             fills[col] = F.lit(as_of).cast("date") if as_of else F.current_date()
