@@ -12,6 +12,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     """A local session for tests and the benchmark; clusters bring their own session."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
