@@ -310,7 +310,15 @@ def _visit_pairs(t: Tables, visits: DataFrame, outer: bool) -> DataFrame:
     def named(df: DataFrame, p: str) -> DataFrame:
         return df.select("appointment_id", *[F.col(c).alias(p + c) for c in df.columns if c != "appointment_id"])
 
-    each_diag = visits.join(named(diag, "d_"), "appointment_id", how).join(first_bill, "appointment_id", how)
+    # Inner joins only where the child side may hold a hot appointment: AQE can split a
+    # skewed partition on either side of an inner join, but not the non-preserved side
+    # of an outer join.  Visits without a diagnosis come from an anti join against the
+    # per-appointment aggregate (one row per appointment).
+    each_diag = visits.join(named(diag, "d_"), "appointment_id")
+    if outer:
+        no_diag = visits.join(first_diag.select("appointment_id"), "appointment_id", "left_anti")
+        each_diag = each_diag.unionByName(no_diag, allowMissingColumns=True)
+    each_diag = each_diag.join(first_bill, "appointment_id", how)
     more_bills = (named(bills, "b_")
                   .join(first_bill.select("appointment_id", F.col("b_bill_id").alias("first_bill_id")),
                         "appointment_id")
