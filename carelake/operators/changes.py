@@ -16,7 +16,6 @@ aggregates, never collected per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +27,24 @@ from . import validate as V
 from .tableview import positions
 
 
-@dataclass
 class Changed:
-    table: DataFrame      # the new version of the changed table
-    accepted: DataFrame   # what was applied
-    rejected: DataFrame   # batch rows refused, with an ``errors`` array
+    """Result of a change job: ``table`` (the new version of the changed table),
+    ``accepted`` (what was applied) and ``rejected`` (batch rows refused, with an
+    ``errors`` array).  A field may be given as a zero-argument function; it is then
+    built on first access, so asking only for ``rejected`` never assigns ids."""
+
+    def __init__(self, table, accepted, rejected):
+        self._parts = {"table": table, "accepted": accepted, "rejected": rejected}
+
+    def _get(self, name: str) -> DataFrame:
+        v = self._parts[name]
+        if callable(v) and not isinstance(v, DataFrame):
+            v = self._parts[name] = v()
+        return v
+
+    table = property(lambda self: self._get("table"))
+    accepted = property(lambda self: self._get("accepted"))
+    rejected = property(lambda self: self._get("rejected"))
 
 
 # ── C1 append with new ids ──────────────────────────────────────────────────
@@ -75,8 +87,10 @@ def register_appointments(t: Tables, batch: DataFrame, high_water: int) -> Chang
         "status": F.coalesce(V.blank_to_null("status"), F.lit("Scheduled")),
     }
     checked = V.validate(b, rules, typed)
-    new = conform(assign_ids(checked.valid, "appointment_id", high_water), "appointment")
-    return Changed(t.appointment.unionByName(new), new, checked.rejected.select(*text_cols, "errors"))
+    new = lambda: conform(assign_ids(checked.valid, "appointment_id", high_water), "appointment")
+    ch = Changed(None, new, checked.rejected.select(*text_cols, "errors"))
+    ch._parts["table"] = lambda: t.appointment.unionByName(ch.accepted)
+    return ch
 
 
 # ── C2 / C3 / C4 updates by key ─────────────────────────────────────────────
@@ -201,11 +215,12 @@ def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
     priced = with_patient.withColumn(
         "payment_status", F.when(F.col("amount_paid") == F.col("total_amount"), "Paid")
         .when(F.col("amount_paid") > 0, "Partial").otherwise("Unpaid"))
-    new = conform(assign_ids(priced, "bill_id", high_water), "bill")
     dup = (once.rejected.select("seq", "errors")
            .join(bill_in, "seq").select(*text_cols, "errors"))
     rejected = checked.rejected.select(*text_cols, "errors").unionByName(dup)
-    return Changed(t.bill.unionByName(new), new, rejected)
+    ch = Changed(None, lambda: conform(assign_ids(priced, "bill_id", high_water), "bill"), rejected)
+    ch._parts["table"] = lambda: t.bill.unionByName(ch.accepted)
+    return ch
 
 
 # ── C7 payments ─────────────────────────────────────────────────────────────

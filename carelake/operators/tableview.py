@@ -8,6 +8,7 @@ display text of each cell (``-`` for NULL), as the application does.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,21 +124,25 @@ def with_headings(df: DataFrame, headings: Sequence[str]) -> DataFrame:
 def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Dense 1-based positions in a global sort order, without a single-partition window.
 
-    The sorted rows are checkpointed (to ``spark.checkpoint.dir``) so partition
-    ids and in-partition order are stable; each row's offset is the count of rows
-    in earlier partitions (one small row per partition) plus its index inside its
-    partition, taken from ``monotonically_increasing_id``.
+    The rows are range-sorted and each row records its sort partition and its
+    index inside that partition (``monotonically_increasing_id``); this is written
+    once as Parquet under ``spark.checkpoint.dir``, which cuts the lineage and makes
+    both values stable however the files are read back.  A row's position is the
+    count of rows in earlier partitions (one small row per partition, broadcast)
+    plus its index in its own partition.
     """
-    checkpoint_dir(df.sparkSession)
-    ranked = (df.orderBy(*order).checkpoint(eager=True)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/positions-{uuid.uuid4().hex}"
+    (df.orderBy(*order)
+     .withColumn("_pid", F.spark_partition_id())
+     .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+     .write.parquet(path))
+    ranked = spark.read.parquet(path)
     per_part = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = per_part.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    # one row per partition: bounded by the partition count, safe to broadcast
+    # one row per sort partition: bounded by the partition count, safe to broadcast
     out = ranked.join(F.broadcast(offsets), "_pid")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + local + 1)
-            .drop("_pid", "_mid", "_off"))
+    return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
+            .drop("_pid", "_local", "_off"))

@@ -26,8 +26,9 @@ from .tables import Tables, conform
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+def read_driver_tables(spark: SparkSession, sf_dir: str,
+                       names: tuple[str, ...] = DRIVER_TABLES) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
 
 
 def _pad6(c) -> F.Column:
