@@ -1,6 +1,5 @@
 """C1/C2 for every entry form (declarative specs)."""
 
-from decimal import Decimal  # noqa: F401
 
 from carelake.operators import forms as FM
 
