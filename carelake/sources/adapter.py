@@ -18,7 +18,7 @@ tables they do not need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import Tables, conform
@@ -47,11 +47,26 @@ def _days_after(start: str, days) -> F.Column:
     return F.date_add(F.lit(start).cast("date"), days.cast("int"))
 
 
+# Total order of lineitems: every column, so rows that tie are identical rows.
+LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+              "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+_NUMBERED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _lines(li: DataFrame) -> DataFrame:
-    """Lineitems with a unique id: order key * 100 + position within the order."""
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return li.withColumn("line_id", F.col("l_orderkey") * 100 + F.row_number().over(w))
+    """Lineitems with a unique id: their 1-based rank in ``LINE_ORDER``.
+
+    The rank comes from a range-partitioned sort (``positions``), so one order with
+    very many lines is spread over several sort partitions instead of one task.
+    The numbered table is written once per session and folder and then reused.
+    """
+    from ..operators.tableview import positions
+
+    spark = li.sparkSession
+    key = (spark.sparkContext.applicationId, li.inputFiles()[0] if li.inputFiles() else repr(li.schema))
+    if key not in _NUMBERED:
+        _NUMBERED[key] = positions(li, [F.col(c).asc_nulls_first() for c in LINE_ORDER], name="line_id")
+    return _NUMBERED[key]
 
 
 def clinic_tables(spark: SparkSession, sf_dir: str) -> Tables:

@@ -44,8 +44,10 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS min_supp FROM lineitem GROUP BY l_orderkey) f
   ON o.o_orderkey = f.l_orderkey""",
     "line": """
-SELECT *, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey
-          ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS line_id
+SELECT *, row_number() OVER (ORDER BY l_orderkey NULLS FIRST, l_linenumber NULLS FIRST,
+          l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_shipdate NULLS FIRST, l_extendedprice NULLS FIRST,
+          l_quantity NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST, l_returnflag NULLS FIRST,
+          l_linestatus NULLS FIRST) AS line_id
 FROM lineitem""",
     "diagnosis": """
 SELECT CAST(l.line_id AS BIGINT) AS diagnosis_id, CAST(l.l_orderkey AS BIGINT) AS appointment_id,
