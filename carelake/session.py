@@ -39,3 +39,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="carelake-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def cluster_settings(input_bytes: int, executor_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run, sized from the bytes the jobs read.
+
+    * scans split at 256 MiB (``maxPartitionBytes``) so each task's input fits memory;
+    * shuffles start with one partition per ``target_partition_bytes`` of input (at
+      least twice the cores) and AQE coalesces them toward 128 MiB after seeing the
+      real sizes, so reduce tasks neither spill heavily nor become tiny;
+    * AQE skew handling splits partitions over 512 MiB that are 5x the median;
+    * broadcasts stay size-checked (AQE's runtime threshold, 64 MiB), never hinted.
+
+    Pass the result to ``SparkSession.builder.config(map=...)`` or ``spark-submit --conf``.
+    """
+    initial = max(2 * executor_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.parquet.filterPushdown": "true",
+    }

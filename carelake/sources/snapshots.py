@@ -1,0 +1,80 @@
+"""Versioned table snapshots on a shared file system.
+
+A table lives under ``<root>/<table>/<version>`` (zero-padded numbers).  A change
+job writes its result whole to the next version folder; Spark's ``_SUCCESS``
+marker makes the version complete, and readers always open the newest complete
+version.  Nothing is overwritten in place, so a reader never sees a half-written
+table and a failed write simply leaves an incomplete folder that is ignored (and
+rewritten by a retry of the same version).  Only directory listings go through
+the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .schema import SCHEMAS, TABLES
+from .tables import Tables
+
+WIDTH = 12
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def version_path(root: str, table: str, version: int) -> str:
+    return f"{root.rstrip('/')}/{table}/{version:0{WIDTH}d}"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    fs, p, jvm = _fs(spark, path)
+    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    """Complete versions of ``table``, oldest first."""
+    fs, p, _ = _fs(spark, f"{root.rstrip('/')}/{table}")
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.isdigit() and is_complete(spark, version_path(root, table, int(name))):
+            out.append(int(name))
+    return sorted(out)
+
+
+def current_version(spark: SparkSession, root: str, table: str, before: int | None = None) -> int | None:
+    vs = [v for v in versions(spark, root, table) if before is None or v < before]
+    return vs[-1] if vs else None
+
+
+def read_current(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
+    v = current_version(spark, root, table, before)
+    if v is None:
+        raise FileNotFoundError(f"no complete snapshot of {table} under {root}")
+    return spark.read.schema(SCHEMAS[table]).parquet(version_path(root, table, v))
+
+
+def write_version(df: DataFrame, root: str, table: str, version: int | None = None) -> int:
+    """Write ``df`` as ``version`` (default: one past the newest complete version).
+
+    An incomplete folder of the same version (a failed earlier attempt) is replaced.
+    """
+    spark = df.sparkSession
+    if version is None:
+        cur = current_version(spark, root, table)
+        version = 0 if cur is None else cur + 1
+    path = version_path(root, table, version)
+    if is_complete(spark, path):
+        raise FileExistsError(f"{path} is already complete")
+    df.write.mode("overwrite").parquet(path)
+    return version
+
+
+def load_current(spark: SparkSession, root: str) -> Tables:
+    """The newest complete snapshot of every clinic table."""
+    return Tables({name: read_current(spark, root, name) for name in TABLES})

@@ -5,14 +5,13 @@ entries arrive through Structured Streaming (any source with the payment batch
 schema: ``seq, bill_id, amount`` as text) and every micro-batch is applied with
 ``operators.changes.apply_payments`` against the current bill snapshot:
 
-    snapshot(n + 1) = apply_payments(snapshot(n), micro-batch n)
+    bill version (n + 1) = apply_payments(bill version <= n, micro-batch n)
 
-Snapshots live under ``<root>/bill/<n>`` (zero-padded), each written whole to a
-fresh folder and marked complete by Spark's ``_SUCCESS`` file, so readers never
-see a half-written table.  A replayed micro-batch (after a driver restart) finds
-its snapshot already complete and is skipped; an incomplete one is rewritten
-from the same base, so the result is exactly-once.  Refused payments are written
-to ``<root>/rejected/batch=<n>``.
+Versions are ``sources.snapshots`` folders, each written whole and marked complete
+by ``_SUCCESS``, so readers never see a half-written table.  A replayed
+micro-batch (after a driver restart) finds its version already complete and is
+skipped; an incomplete one is rewritten from the same base, so the result is
+exactly-once.  Refused payments go to ``<root>/rejected/batch=<n>``.
 """
 
 from __future__ import annotations
@@ -22,53 +21,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import apply_payments
-from ..sources.schema import BILL
+from ..sources import snapshots as SN
 
 PAYMENT_BATCH_SCHEMA = "seq long, bill_id string, amount string"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    fs, p, jvm = _fs(spark, path)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def snapshot_path(root: str, n: int) -> str:
-    return f"{root}/bill/{n:012d}"
-
-
-def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> str:
-    """Newest complete snapshot (optionally older than ``before``); listing only, no data."""
-    fs, p, jvm = _fs(spark, f"{root}/bill")
-    numbers = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.isdigit() and (before is None or int(name) < before):
-            if _complete(spark, snapshot_path(root, int(name))):
-                numbers.append(int(name))
-    if not numbers:
-        raise FileNotFoundError(f"no complete bill snapshot under {root}/bill")
-    return snapshot_path(root, max(numbers))
+def latest_snapshot(spark: SparkSession, root: str) -> str:
+    """Path of the newest complete bill version."""
+    v = SN.current_version(spark, root, "bill")
+    if v is None:
+        raise FileNotFoundError(f"no complete bill snapshot under {root}")
+    return SN.version_path(root, "bill", v)
 
 
 def start(spark: SparkSession, bills: DataFrame, root: str, payments: DataFrame,
           checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write ``bills`` as snapshot 0 (if none exists) and start applying ``payments``."""
-    if not _complete(spark, snapshot_path(root, 0)):
-        bills.write.mode("overwrite").parquet(snapshot_path(root, 0))
+    """Write ``bills`` as version 0 (if none exists) and start applying ``payments``."""
+    if SN.current_version(spark, root, "bill") is None:
+        SN.write_version(bills, root, "bill", 0)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         target = batch_id + 1
-        if _complete(spark, snapshot_path(root, target)):
+        if SN.is_complete(spark, SN.version_path(root, "bill", target)):
             return  # replay of an applied micro-batch
-        base = spark.read.schema(BILL).parquet(latest_snapshot(spark, root, before=target))
+        base = SN.read_current(spark, root, "bill", before=target)
         ch = apply_payments(base, batch)
-        ch.table.write.mode("overwrite").parquet(snapshot_path(root, target))
+        SN.write_version(ch.table, root, "bill", target)
         (ch.rejected.withColumn("errors", F.array_join("errors", "; "))
          .write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}"))
 

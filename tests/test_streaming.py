@@ -32,3 +32,23 @@ def test_payment_stream_snapshots(spark, seed):
     assert latest2 != latest
     b3 = spark.read.parquet(latest2).where("bill_id = 3").first()
     assert b3.amount_paid == Decimal("60000.00") and b3.payment_status == "Paid"
+
+
+def test_snapshot_versions(spark, seed, tmp_path):
+    from carelake.sources import snapshots as SN
+    root = str(tmp_path / "snap")
+    assert SN.current_version(spark, root, "bill") is None
+    assert SN.write_version(seed.bill, root, "bill") == 0
+    assert SN.write_version(seed.bill.where("bill_id < 5"), root, "bill") == 1
+    assert SN.read_current(spark, root, "bill").count() == 4
+    assert SN.read_current(spark, root, "bill", before=1).count() == 11
+    # an incomplete folder (no _SUCCESS) is ignored
+    (tmp_path / "snap" / "bill" / f"{2:012d}").mkdir()
+    assert SN.current_version(spark, root, "bill") == 1
+
+
+def test_cluster_settings():
+    from carelake.session import cluster_settings
+    s = cluster_settings(100 * 10**12, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert cluster_settings(10, 8)["spark.sql.shuffle.partitions"] == "16"
