@@ -15,7 +15,7 @@ def _d(s: str) -> dt.date:
     return dt.date.fromisoformat(s)
 
 
-# The sample rows of the reference schema script (ids in insertion order).
+# The sample rows of the original schema script (ids in insertion order).
 CLINICS = [
     ("Connaught Community Clinic", "Siaka Stevens Street, Freetown", "Western Area Urban", "+232-76-100001", "connaught@health.gov.sl", "2005-03-15"),
     ("Kissy Public Health Clinic", "Kissy Road, Freetown", "Western Area Urban", "+232-76-100002", "kissy@health.gov.sl", "2008-07-20"),
