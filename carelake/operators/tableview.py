@@ -73,18 +73,27 @@ def sort_keys(column: str) -> tuple[Column, Column, Column]:
     return is_text, num, txt
 
 
-def sort_order(column: str, ascending: bool = True, base_order: Sequence[Column] = ()) -> list[Column]:
-    """T3/T4 sort columns: the mixed-type keys in the chosen direction, then the page's
-    own order unflipped (a stable sort keeps the page order among equal keys)."""
-    keys = sort_keys(column)
-    directed = [k.asc() if ascending else k.desc() for k in keys]
-    return directed + list(base_order)
+def sort_order(column: str, ascending: bool = True, base_order: Sequence[Column] = (),
+               mode: str = "display") -> list[Column]:
+    """T3/T4 sort columns: the keys in the chosen direction, then the page's own order
+    unflipped (a stable sort keeps the page order among equal keys).
+
+    ``mode="display"`` applies the mixed number/text rule to the cell text (so
+    ``dd Mon yyyy`` dates sort as text, as on screen); ``mode="typed"`` sorts the
+    column's own values (real dates, amounts).
+    """
+    if mode == "typed":
+        c = F.col(f"`{column}`")
+        keys = [c.asc_nulls_first() if ascending else c.desc_nulls_last()]
+    else:
+        keys = [k.asc() if ascending else k.desc() for k in sort_keys(column)]
+    return keys + list(base_order)
 
 
 def typed_sort(df: DataFrame, column: str, ascending: bool = True,
-               base_order: Sequence[Column] = ()) -> DataFrame:
-    """Distributed sort of a display column by the mixed number/text rule."""
-    return df.orderBy(*sort_order(column, ascending, base_order))
+               base_order: Sequence[Column] = (), mode: str = "display") -> DataFrame:
+    """Distributed (range-partitioned) sort of one column, see :func:`sort_order`."""
+    return df.orderBy(*sort_order(column, ascending, base_order, mode))
 
 
 def toggle(current_column: int | None, current_reverse: bool, clicked: int) -> tuple[int, bool]:

@@ -227,3 +227,13 @@ def test_invariant_valid_plus_rejected(spark, seed):
     ch = C.apply_payments(seed.bill, pay)
     assert ch.accepted.agg(F.sum("payments")).first()[0] + ch.rejected.count() == 200
     assert ch.table.where("amount_paid > total_amount").count() == 0
+
+
+def test_typed_mode_sorts_real_values(spark, seed):
+    page = R.bill_list(seed, display=False)
+    got = [r.bill_id for r in TV.typed_sort(page, "bill_date", ascending=True,
+                                            base_order=[F.col("bill_id")], mode="typed").collect()]
+    assert got == list(range(1, 12))
+    disp = R.bill_list(seed, display=True)
+    as_text = [r.bill_date for r in TV.typed_sort(disp, "bill_date", base_order=[F.col("bill_id")]).collect()]
+    assert as_text[0] == "01 Jun 2024" and as_text[1] == "01 May 2024"
