@@ -57,3 +57,37 @@ def test_update_medications(spark, seed):
     rej = {r.seq: r.errors for r in ch.rejected.collect()}
     assert rej == {2: ["Unit is required"], 3: ["id does not exist"],
                    4: ["Stock Quantity must be a whole number, not negative"], 5: ["duplicate in batch"]}
+
+
+def test_insert_clinics_and_staff(spark, seed):
+    c = spark.createDataFrame([
+        (1, "New Clinic", "Road 1, Town", "District A", "+232-1", "  ", ""),
+        (2, "Other Clinic", "Road 2, Town", "District B", "+232-2", "x@y.z", "2020-2-29"),
+        (3, "Bad Clinic", "Road 3", "District C", "", "", "2021-02-29"),
+    ], "seq long, clinic_name string, location string, district string, phone string, email string, "
+       "established_date string")
+    ch = FM.insert_rows(seed, "clinic", c, high_water=5)
+    acc = {r.clinic_id: r for r in ch.accepted.collect()}
+    assert sorted(acc) == [6, 7]
+    assert acc[6].email is None and acc[6].established_date is None
+    assert str(acc[7].established_date) == "2020-02-29"
+    assert [r.errors for r in ch.rejected.collect()] == [[
+        "Phone is required", "Established Date must be a date (YYYY-MM-DD)"]]
+    s = spark.createDataFrame([
+        (1, "9", "Ada", "Lee", "Nurse", "Female", "+232-3", "", "2020-01-01"),
+        (2, "2", "Bo", "Kai", "Doctor", "Male", "+232-4", "bo@x.y", "2020-01-01"),
+    ], "seq long, clinic_id string, first_name string, last_name string, role string, gender string, "
+       "phone string, email string, hire_date string")
+    ch = FM.insert_rows(seed, "staff", s, high_water=8)
+    assert [(r.staff_id, r.clinic_id) for r in ch.accepted.collect()] == [(9, 2)]
+    assert [r.errors for r in ch.rejected.collect()] == [["Clinic does not exist"]]
+
+
+def test_update_appointment_to_null_free_fields(spark, seed):
+    u = spark.createDataFrame([(1, "12", "3", "1", "1", "2024-06-06", "9:15", "Respiratory re-check", "Cancelled")],
+                              "seq long, appointment_id string, patient_id string, staff_id string, clinic_id string, "
+                              "appointment_date string, appointment_time string, reason string, status string")
+    ch = FM.update_rows(seed, "appointment", u)
+    r = ch.table.where("appointment_id = 12").first()
+    assert (str(r.appointment_date), r.appointment_time, r.status) == ("2024-06-06", "09:15:00", "Cancelled")
+    assert ch.table.count() == 13
