@@ -133,18 +133,19 @@ def clinic_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
     )
 
-    lines = _lines(lineitem)
-    diagnosis = lines.join(part.select("p_partkey", "p_type", "p_name"),
-                           lines.l_partkey == part.p_partkey).select(
-        F.col("line_id").alias("diagnosis_id"),
-        F.col("l_orderkey").alias("appointment_id"),
-        F.col("p_type").alias("diagnosis_code"),
-        F.col("p_name").alias("description"),
-        F.when(F.col("l_returnflag") == "R", "Severe")
-        .when(F.col("l_returnflag") == "A", "Moderate")
-        .when(F.col("l_returnflag") == "N", "Mild").alias("severity"),
-        F.col("l_shipdate").cast("date").alias("diagnosed_date"),
-    )
+    def diagnosis() -> DataFrame:
+        lines = _lines(lineitem)
+        return conform(lines.join(part.select("p_partkey", "p_type", "p_name"),
+                                  lines.l_partkey == part.p_partkey).select(
+            F.col("line_id").alias("diagnosis_id"),
+            F.col("l_orderkey").alias("appointment_id"),
+            F.col("p_type").alias("diagnosis_code"),
+            F.col("p_name").alias("description"),
+            F.when(F.col("l_returnflag") == "R", "Severe")
+            .when(F.col("l_returnflag") == "A", "Moderate")
+            .when(F.col("l_returnflag") == "N", "Mild").alias("severity"),
+            F.col("l_shipdate").cast("date").alias("diagnosed_date"),
+        ), "diagnosis")
 
     mid = F.col("p_partkey")
     medication = part.select(
@@ -156,16 +157,18 @@ def clinic_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     qty = F.col("l_quantity").cast("int")
-    prescription = lines.where(F.col("l_partkey") % 10 != 0).select(
-        F.col("line_id").alias("prescription_id"),
-        F.col("line_id").alias("diagnosis_id"),
-        F.col("l_partkey").alias("medication_id"),
-        F.concat(qty.cast("string"), F.lit("mg")).alias("dosage"),
-        F.when(F.col("l_linestatus") == "F", "Once daily")
-        .when(F.col("l_linestatus") == "O", "Twice daily").alias("frequency"),
-        qty.alias("duration_days"),
-        F.col("l_shipdate").cast("date").alias("prescribed_date"),
-    )
+
+    def prescription() -> DataFrame:
+        return conform(_lines(lineitem).where(F.col("l_partkey") % 10 != 0).select(
+            F.col("line_id").alias("prescription_id"),
+            F.col("line_id").alias("diagnosis_id"),
+            F.col("l_partkey").alias("medication_id"),
+            F.concat(qty.cast("string"), F.lit("mg")).alias("dosage"),
+            F.when(F.col("l_linestatus") == "F", "Once daily")
+            .when(F.col("l_linestatus") == "O", "Twice daily").alias("frequency"),
+            qty.alias("duration_days"),
+            F.col("l_shipdate").cast("date").alias("prescribed_date"),
+        ), "prescription")
 
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     per_order = lineitem.groupBy("l_orderkey").agg(
@@ -186,5 +189,9 @@ def clinic_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     raw = {"clinic": clinic, "staff": staff, "patient": patient, "appointment": appointment,
-           "diagnosis": diagnosis, "medication": medication, "prescription": prescription, "bill": bill}
-    return Tables({name: conform(df, name) for name, df in raw.items()})
+           "medication": medication, "bill": bill}
+    out = Tables({name: conform(df, name) for name, df in raw.items()})
+    # built on first use: they need the numbered lineitems (one sort of lineitem per session)
+    out["diagnosis"] = diagnosis
+    out["prescription"] = prescription
+    return out

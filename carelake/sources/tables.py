@@ -15,7 +15,18 @@ from .schema import SCHEMAS, TABLES
 
 
 class Tables(dict):
-    """name -> DataFrame for the eight clinic tables (attribute access for brevity)."""
+    """name -> DataFrame for the eight clinic tables (attribute access for brevity).
+
+    A value may also be a zero-argument function building the DataFrame; it is
+    built on first access, so tables a job never reads are never planned.
+    """
+
+    def __getitem__(self, name: str) -> DataFrame:
+        v = dict.__getitem__(self, name)
+        if callable(v) and not isinstance(v, DataFrame):
+            v = v()
+            dict.__setitem__(self, name, v)
+        return v
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -23,6 +34,12 @@ class Tables(dict):
         except KeyError as exc:  # pragma: no cover - attribute protocol
             raise AttributeError(name) from exc
 
+    def items(self):
+        return [(k, self[k]) for k in self.keys()]
+
+    def values(self):
+        return [self[k] for k in self.keys()]
+
     def replace(self, **changed: DataFrame) -> "Tables":
         out = Tables(self)
         out.update(changed)
