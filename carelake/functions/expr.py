@@ -55,10 +55,19 @@ def thousands(x: ColumnOrName) -> Column:
 
 
 def money_text(x: ColumnOrName) -> Column:
-    """``Le 1,234``; NULL stays NULL."""
+    """``Le 1,234`` with halves rounded away from zero; NULL stays NULL."""
     return F.concat(F.lit(CURRENCY_PREFIX), thousands(x))
 
 
+def money_text_half_even(x: ColumnOrName) -> Column:
+    """``Le 1,234`` rounded half-even, as the dashboard cards format money.
+
+    Reports use :func:`money_text` (half away from zero); the two differ only on
+    amounts ending in exactly ``.50``.
+    """
+    return F.concat(F.lit(CURRENCY_PREFIX), F.format_number(F.bround(_c(x), 0), 0))
+
+
 def null_text(x: ColumnOrName) -> Column:
     """Display text of any value, ``-`` for NULL."""
     return F.coalesce(_c(x).cast("string"), F.lit(NULL_TEXT))

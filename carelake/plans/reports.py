@@ -92,8 +92,9 @@ def dashboard_metrics(t: Tables, display: bool = False) -> DataFrame:
     one = rows.agg(*[F.max(n).alias(n) for n in names])
     if not display:
         return one
+    # the dashboard cards format money half-even (X8), the report tables half-up
     return one.select(*[X.thousands(n).alias(n) for n in names[:4]],
-                      *[X.money_text(n).alias(n) for n in names[4:]])
+                      *[X.money_text_half_even(n).alias(n) for n in names[4:]])
 
 
 # ── Q2 / Q6 / Q15 appointment listings ──────────────────────────────────────
