@@ -27,8 +27,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a fresh scratch
-    folder created and registered.
+    Only a local session (tests on one machine) that names none gets a fresh
+    scratch folder; a cluster session must name a shared folder, since a folder
+    local to the driver is not visible to executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -36,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="carelake-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
