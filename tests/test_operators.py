@@ -237,3 +237,22 @@ def test_typed_mode_sorts_real_values(spark, seed):
     disp = R.bill_list(seed, display=True)
     as_text = [r.bill_date for r in TV.typed_sort(disp, "bill_date", base_order=[F.col("bill_id")]).collect()]
     assert as_text[0] == "01 Jun 2024" and as_text[1] == "01 May 2024"
+
+
+def test_invariant_restrict_delete_keeps_foreign_keys(spark, seed):
+    ids = spark.createDataFrame([(i, str(i)) for i in range(1, 14)], "seq long, id string")
+    for table in ("appointment", "patient", "clinic", "medication", "diagnosis"):
+        ch = C.delete_restrict(seed, table, ids)
+        after = seed.replace(**{table: ch.table})
+        assert K.foreign_key_orphans(after).agg(F.sum("orphan_rows")).first()[0] == 0, table
+
+
+def test_invariant_revenue_sums_equal_dashboard(spark):
+    from carelake.sources.adapter import clinic_tables
+    from conftest import SF_SMALL
+    t = clinic_tables(spark, SF_SMALL)
+    per_clinic = R.revenue_by_clinic(t).agg(F.sum("total_collected"), F.sum("total_outstanding"),
+                                            F.sum("visits")).first()
+    dash = R.dashboard_metrics(t).first()
+    assert (per_clinic[0], per_clinic[1]) == (dash.collected, dash.outstanding)
+    assert per_clinic[2] == dash.appointments
