@@ -145,6 +145,12 @@ def patient_list(t: Tables, display: bool = True) -> DataFrame:
         _date("registration_date", display))
 
 
+def patient_options(t: Tables) -> DataFrame:
+    """Patient picker rows (Q3 cut to id and name), by last then first name."""
+    return t.patient.orderBy(*_BY_NAME).select(
+        "patient_id", X.full_name("first_name", "last_name").alias("patient_name"))
+
+
 def patients_basic(t: Tables) -> DataFrame:
     """Q23: id, name, birth date, gender, phone by last then first name."""
     return t.patient.orderBy(*_BY_NAME).select(
@@ -597,6 +603,7 @@ REPORTS = {
     "appointment_options": appointment_options,
     "diagnosis_options": diagnosis_options,
     "staff_directory": staff_directory,
+    "patient_options": patient_options,
     "medication_stock_options": medication_stock_options,
     "revenue_by_clinic": revenue_by_clinic,
     "common_diagnoses": common_diagnoses,

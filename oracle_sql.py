@@ -156,6 +156,8 @@ FROM diagnosis d JOIN appointment a ON d.appointment_id = a.appointment_id
 JOIN patient p ON a.patient_id = p.patient_id"""),
     "staff_directory": _q("""
 SELECT staff_id, first_name || ' ' || last_name AS staff_name, role FROM staff"""),
+    "patient_options": _q("""
+SELECT patient_id, first_name || ' ' || last_name AS patient_name FROM patient"""),
     "medication_stock_options": _q("""
 SELECT medication_id, medication_name, CAST(stock_quantity AS BIGINT) AS stock_quantity FROM medication"""),
     "revenue_by_clinic": _q(f"""
