@@ -109,7 +109,11 @@ def update_by_key(base: DataFrame, updates: DataFrame, key: str, columns: Sequen
     u = first.valid.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns],
                            *[F.col(e).alias(f"_exp_{c}") for c, e in (expected or {}).items()],
                            F.col("seq").alias("_seq"))
-    current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
+    # only the base rows the batch touches (semi join against the batch's keys, which
+    # AQE broadcasts when the batch is small), so a small batch never shuffles the base
+    wanted = u.select(key).distinct()
+    current = (base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
+               .join(wanted, key, "left_semi"))
     exists = F.col("_cur_present").isNotNull()
     probe = u.join(current.withColumn("_cur_present", F.lit(True)), key, "left")
     guard_ok = F.lit(True)
@@ -273,14 +277,14 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
     key = PRIMARY_KEYS[table]
     base = t[table]
     req = delete_in.select("seq", F.col("id").alias("id_text"), V.parse_int("id").cast("long").alias(key))
-    found = req.join(base.select(key, *([guard[0]] if guard else [])), key, "left_semi")
+    found = req.join(V.keys_present(base, key, req, key, alias=key), key, "left_semi")
     blocked_by = None
     for child, fk, parent in FOREIGN_KEYS:
         if parent != table:
             continue
-        # distinct referencing keys: a parent referenced by a third of the child rows
-        # is reduced map-side before the semi join
-        refs = t[child].select(F.col(fk).alias(key)).distinct()
+        # referencing keys reduced to the requested ids (map-side distinct, batch ids
+        # broadcast when small), so a hot parent or a huge child table costs no shuffle skew
+        refs = V.keys_present(t[child], fk, req, key, alias=key)
         hit = req.join(refs, key, "left_semi").select("seq")
         blocked_by = hit if blocked_by is None else blocked_by.unionByName(hit)
     status = req.join(found.select("seq").withColumn("_f", F.lit(True)), "seq", "left")
@@ -289,7 +293,7 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
     else:
         status = status.withColumn("_b", F.lit(None).cast("boolean"))
     if guard:
-        ok = base.where(F.col(guard[0]) == F.lit(guard[1])).select(key)
+        ok = V.keys_present(base.where(F.col(guard[0]) == F.lit(guard[1])), key, req, key, alias=key)
         status = status.join(ok.withColumn("_g", F.lit(True)), key, "left")
     else:
         status = status.withColumn("_g", F.lit(True))

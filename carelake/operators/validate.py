@@ -116,16 +116,29 @@ def reference_exists(flag_col: str, label: str) -> Rule:
     return f"{label} does not exist", ~F.col(flag_col)
 
 
+def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str, alias: str = "_k") -> DataFrame:
+    """Distinct ids of ``wanted`` (column ``wanted_key``) that occur as ``key`` in ``keys``.
+
+    The large side is only semi-joined against the batch's distinct ids: AQE
+    broadcasts those when the batch is small, so a small batch never shuffles a
+    large parent table, and a large batch falls back to a sort-merge join.  The
+    result has at most one row per batch id.
+    """
+    ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
+    return keys.select(F.col(key).alias(alias)).join(ids, alias, "left_semi").distinct()
+
+
 def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str) -> DataFrame:
     """Add a boolean ``flag``: does ``id_expr`` exist as ``parent_key`` in ``parent``?
 
-    A left join against the parent's distinct keys (one row per key, so no fan-out);
-    AQE broadcasts the key set when it is small and sort-merges otherwise.
+    The parent keys are first reduced to the ids the batch asks for
+    (:func:`keys_present`), then left-joined back (one row per id, so no fan-out).
     """
-    keys = parent.select(F.col(parent_key).alias(f"_{flag}_key")).distinct().withColumn(flag, F.lit(True))
-    out = df.withColumn(f"_{flag}_probe", id_expr)
-    out = out.join(keys, out[f"_{flag}_probe"] == keys[f"_{flag}_key"], "left")
-    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(f"_{flag}_probe", f"_{flag}_key")
+    probe_col, key_col = f"_{flag}_probe", f"_{flag}_key"
+    out = df.withColumn(probe_col, id_expr)
+    found = keys_present(parent, parent_key, out, probe_col, alias=key_col).withColumn(flag, F.lit(True))
+    out = out.join(found, out[probe_col] == found[key_col], "left")
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(probe_col, key_col)
 
 
 @dataclass

@@ -71,3 +71,21 @@ def test_hot_visit_is_split(spark, seed):
     assert len(rows) == 180012
     assert sum(1 for r in rows if r.appointment_id == 1) == 60001
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_small_batch_does_not_shuffle_large_parent(spark, tmp_path):
+    """A small batch read from files (so its size is known when planning) is checked
+    against a large parent by a broadcast semi join: the parent is scanned, never shuffled."""
+    from carelake.operators import validate as V
+    parent = spark.range(0, 2_000_000).withColumnRenamed("id", "patient_id")
+    path = str(tmp_path / "batch")
+    spark.createDataFrame([(1, "5"), (2, "1999999"), (3, "2000001")],
+                          "seq long, patient_id string").write.parquet(path)
+    batch = spark.read.parquet(path)
+    df = V.mark_existing(batch, V.parse_int("patient_id").cast("long"), parent, "patient_id", "_has")
+    rows = {r.seq: r._has for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert rows == {1: True, 2: True, 3: False}
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi), plan
+    assert "hashpartitioning(id#" not in plan, plan
