@@ -109,11 +109,11 @@ def update_by_key(base: DataFrame, updates: DataFrame, key: str, columns: Sequen
     u = first.valid.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns],
                            *[F.col(e).alias(f"_exp_{c}") for c, e in (expected or {}).items()],
                            F.col("seq").alias("_seq"))
-    # only the base rows the batch touches (semi join against the batch's keys, which
-    # AQE broadcasts when the batch is small), so a small batch never shuffles the base
-    wanted = u.select(key).distinct()
-    current = (base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
-               .join(wanted, key, "left_semi"))
+    current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
+    if V.batch_is_small(u, base):
+        # only the base rows a small batch touches (broadcast semi join): the base is
+        # scanned, not shuffled
+        current = current.join(u.select(key).distinct(), key, "left_semi")
     exists = F.col("_cur_present").isNotNull()
     probe = u.join(current.withColumn("_cur_present", F.lit(True)), key, "left")
     guard_ok = F.lit(True)
@@ -282,8 +282,8 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
     for child, fk, parent in FOREIGN_KEYS:
         if parent != table:
             continue
-        # referencing keys reduced to the requested ids (map-side distinct, batch ids
-        # broadcast when small), so a hot parent or a huge child table costs no shuffle skew
+        # distinct referencing keys (map-side reduced, so a hot parent costs no skew),
+        # restricted to the requested ids when the request is small
         refs = V.keys_present(t[child], fk, req, key, alias=key)
         hit = req.join(refs, key, "left_semi").select("seq")
         blocked_by = hit if blocked_by is None else blocked_by.unionByName(hit)

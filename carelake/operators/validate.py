@@ -116,16 +116,36 @@ def reference_exists(flag_col: str, label: str) -> Rule:
     return f"{label} does not exist", ~F.col(flag_col)
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes for scans), without running a job."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - estimate unavailable
+        return None
+
+
+def batch_is_small(batch: DataFrame, table: DataFrame, factor: int = 10) -> bool:
+    """True when ``batch`` is under the broadcast threshold and ``factor`` times smaller
+    than ``table`` by the planner's estimates (unknown sizes count as large)."""
+    limit = batch.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    b, t = estimated_bytes(batch), estimated_bytes(table)
+    return b is not None and t is not None and 0 <= b <= limit and b * factor <= t
+
+
 def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str, alias: str = "_k") -> DataFrame:
-    """Distinct ids of ``wanted`` (column ``wanted_key``) that occur as ``key`` in ``keys``.
+    """Distinct values of ``key`` in ``keys``, restricted to the ids ``wanted`` names
+    when that batch is small.
 
-    The large side is only semi-joined against the batch's distinct ids: AQE
-    broadcasts those when the batch is small, so a small batch never shuffles a
-    large parent table, and a large batch falls back to a sort-merge join.  The
-    result has at most one row per batch id.
+    For a small batch the large side is only semi-joined against the batch's
+    distinct ids, which are broadcast, so the large table is scanned but never
+    shuffled.  For a batch comparable in size to the table this extra step would
+    not pay, and the distinct keys are joined directly (sort-merge).
     """
-    ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
-    return keys.select(F.col(key).alias(alias)).join(ids, alias, "left_semi").distinct()
+    ks = keys.select(F.col(key).alias(alias))
+    if batch_is_small(wanted, keys):
+        ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
+        ks = ks.join(ids, alias, "left_semi")
+    return ks.distinct()
 
 
 def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str) -> DataFrame:
