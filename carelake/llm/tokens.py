@@ -1,9 +1,10 @@
 """Token ids of whole texts by a ``tokenizers`` file, with a bounded cache of encoded words.
 
-A byte-level BPE with the usual word pattern never joins a space followed by a non-space
-character to what stands before it, so a text may be cut before every such space and
-the parts encoded on their own.  Parts repeat, and their ids (as little-endian unsigned
-32-bit bytes) are kept in two generations of a dictionary of at most ``MOST`` entries each.
+A byte-level BPE with the usual word pattern never joins a space followed by a visible
+character to what stands before it, so a text may be cut before such spaces and the parts
+encoded on their own.  Parts repeat: those of a block of texts are told apart by a 64-bit
+hash, only unseen ones go through the tokenizer, and their ids (little-endian unsigned 32-bit)
+are kept in two generations of at most ``MOST`` entries each.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MOST, LONGEST = 250_000, 64
-BLOCK_CHARS = 2 << 20
-_UNCUT = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r" (?=\S)")
+from carelake.llm.common import Rolling
+
+MOST, LONGEST = 400_000, 64
+BLOCK_CHARS = 1 << 20
+_CUT = re.compile(" (?=[!-~])")
+#: Bytes that may follow a cut: visible ASCII and lead bytes of letters none of which is a space.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_VISIBLE[0xC3:0xE0] = True
+_VISIBLE[0xE4:] = True
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,50 +49,115 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == space]] = True
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.rolling = Rolling(1)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Id bytes of each text, in order; texts are taken in blocks of bounded size."""
+        block: list[str] = []
+        owners: list[int] = []  # pieces of a text that is longer than a block carry its number
+        done: list[bytes] = []
+        size = at = 0
+        for i, text in enumerate(texts):
+            for piece in self._pieces(text):
+                block.append(piece)
+                owners.append(i)
+                size += len(piece)
+                if size >= BLOCK_CHARS:
+                    for owner, ids in zip(owners, self._block(block), strict=True):
+                        while at < owner:
+                            yield b"".join(done)
+                            done, at = [], at + 1
+                        done.append(ids)
+                    block, owners, size = [], [], 0
+        for owner, ids in zip(owners, self._block(block), strict=True):
+            while at < owner:
+                yield b"".join(done)
+                done, at = [], at + 1
+            done.append(ids)
+        if texts:
+            yield b"".join(done)
+
+    @staticmethod
+    def _pieces(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > BLOCK_CHARS and (found := _CUT.search(text, at + BLOCK_CHARS)):
+            yield text[at: found.start()]
+            at = found.start()
+        yield text[at:] if at else text
 
     def _fresh(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of every word, as if a space stood before it."""
+    def _words(self, words: list[str], together: int = 200) -> list[bytes]:
+        """Ids of parts that are a space and no other space, many to a call.
+
+        In the ids of joined words, a word begins at each id whose token begins with a space.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            groups = [words[i: i + together] for i in range(at, min(at + 20_000, len(words)), together)]
+            for group, found in zip(groups, self._fresh(["".join(g) for g in groups]), strict=True):
+                starts = (np.flatnonzero(self.opens[np.frombuffer(found, "<u4")]) * 4).tolist()
+                if len(starts) == len(group):
+                    out += [found[a:b] for a, b in zip(starts, starts[1:] + [len(found)], strict=True)]
+                else:
+                    out += self._fresh(group)
+        return out
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        data = b"".join(raw)
+        if not data:
+            yield from (b"" for _ in texts)
+            return
+        values = np.frombuffer(data, np.uint8)
+        if len(self.rolling.up) <= len(values):
+            self.rolling = Rolling(len(values) + len(values) // 4)
+        edges = np.cumsum([0] + [len(r) for r in raw])
+        cut = np.zeros(len(values), bool)
+        cut[:-1] = (values[:-1] == 0x20) & _VISIBLE[values[1:]]
+        cut[edges[:-1][edges[:-1] < len(values)]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.r_[starts[1:], len(values)]
+        hashes = self.rolling.ranges(self.rolling.prefix(values), starts, ends)
+        hashes ^= (ends - starts).astype(np.uint64) << np.uint64(48)
+        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        found = self._look_up(different.tolist(), data, starts[first], ends[first])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(found), "<u4")
+        lengths = sizes[which]
+        upto = np.cumsum(lengths)
+        ids = flat[np.repeat(begin[which] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        part = np.searchsorted(starts, edges)  # the first part of each text
+        places = np.r_[0, upto][part]
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            yield ids[a:b].tobytes()
+
+    def _look_up(self, keys: list[int], data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         if len(self.young) > MOST:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        kept = {}
-        missing = []
-        for w in words - young.keys():
-            if (v := old.get(w)) is not None:
-                young[w] = v
-            else:
-                missing.append(w)
-        for i in range(0, len(missing), 20_000):
-            some = missing[i: i + 20_000]
-            for w, v in zip(some, self._fresh([" " + w for w in some]), strict=True):
-                (young if len(w) <= LONGEST else kept)[w] = v
-        return kept
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Id bytes of each text, in order; texts are taken in blocks of bounded size."""
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= BLOCK_CHARS or i + 1 == len(texts):
-                yield from self._block(texts[start: i + 1])
-                start, size = i + 1, 0
-
-    def _block(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [_CUT.split(t) if _UNCUT.search(t) else t.split(" ") for t in texts]
-        words: set[str] = set()
-        for p in parts:
-            words.update(p[1:])
-        rare = self._learn(words)
-        heads = self._fresh([p[0] for p in parts])
-        young = self.young
-        for head, p in zip(heads, parts, strict=True):
-            if rare:
-                yield head + b"".join([young[w] if w in young else rare[w] for w in p[1:]])
-            else:
-                yield head + b"".join(map(young.__getitem__, p[1:]))
+        found = [young.get(k) for k in keys]
+        words: list[int] = []
+        others: list[int] = []
+        for i, v in enumerate(found):
+            if v is None:
+                if (v := old.get(keys[i])) is not None:
+                    young[keys[i]] = found[i] = v
+                else:
+                    part = data[starts[i]: ends[i]]
+                    plain = part[0] == 0x20 and len(part) > 1 and _VISIBLE[part[1]] and part.count(b" ") == 1
+                    (words if plain else others).append(i)
+        for some, made in ((words, self._words), (others, self._fresh)):
+            for i, v in zip(some, made([data[starts[i]: ends[i]].decode() for i in some]), strict=True):
+                found[i] = v
+                if ends[i] - starts[i] <= LONGEST:
+                    young[keys[i]] = v
+        return found
