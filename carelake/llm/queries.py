@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, near_vectors, packing, quality
+from carelake.llm import ann, chat, html, near_vectors, packing, quality
 from carelake.llm.common import importable
 
 
@@ -25,6 +25,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), 2048)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more among all embeddings: counts, components, the kept ones."""
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
@@ -46,6 +51,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_search": op3_ann_search,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
