@@ -111,3 +111,54 @@ class Rolling:
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((prefix[end] - prefix[start]) * self.down[start])
+
+
+# --- words: lower-cased A-Z, runs of bytes other than ASCII white space ------------------
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WORD_BLOCK = 1 << 20
+
+
+class Words:
+    """64-bit hashes of the words of whole texts, in blocks cut at white space."""
+
+    def __init__(self):
+        self.rolling = Rolling(WORD_BLOCK + (1 << 12))
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        data = _LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
+        if len(data) <= WORD_BLOCK:
+            return self._block(data)
+        out, at = [], 0
+        while at < len(data):
+            end = min(at + WORD_BLOCK, len(data))
+            while end < len(data) and not _SPACE[data[end]]:
+                ahead = np.flatnonzero(_SPACE[data[end: end + WORD_BLOCK]])
+                end += int(ahead[0]) if len(ahead) else WORD_BLOCK
+            end = min(end, len(data))
+            out.append(self._block(data[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _block(self, data: np.ndarray) -> np.ndarray:
+        if len(self.rolling.up) <= len(data):
+            self.rolling = Rolling(len(data) + len(data) // 4)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~_SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        return self.rolling.ranges(self.rolling.prefix(data), starts, ends) ^ mix64((ends - starts).astype(np.uint64))
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of a word sequence (order matters)."""
+    if len(words) < n:
+        return words[:0]
+    out = words[: len(words) - n + 1].copy()
+    with np.errstate(over="ignore"):
+        for i in range(1, n):
+            out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + words[i: len(words) - n + 1 + i] + np.uint64(i))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, html, near_vectors, packing, quality
+from carelake.llm import ann, chat, html, lm, near_vectors, packing, quality
 from carelake.llm.common import importable
 
 
@@ -30,6 +30,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by the counts of all others."""
+    return lm.score(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more among all embeddings: counts, components, the kept ones."""
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
@@ -52,11 +58,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_search": op3_ann_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_lm_scoring": lm.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
 }
