@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, html, lm, near_vectors, packing, quality
+from carelake.llm import ann, chat, html, lm, near_vectors, packing, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of any 400-byte string that starts twice in the corpus."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every embedding whose id is divisible by 20."""
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -55,6 +61,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_ann_search": op3_ann_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
