@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,26 +51,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def text_blocks(batches: Iterator, most_bytes: int = 8 << 20) -> Iterator:
-    """Arrow batches cut so that a piece's first text column stays near ``most_bytes``."""
-    for batch in batches:
-        start, size = 0, 0
-        lengths = _lengths(batch.column("text"))
-        for i, n in enumerate(lengths):
-            if size and size + n > most_bytes:
-                yield batch.slice(start, i - start)
-                start, size = i, 0
-            size += int(n)
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
-def _lengths(col) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -157,8 +136,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of a word sequence (order matters)."""
     if len(words) < n:
         return words[:0]
-    out = words[: len(words) - n + 1].copy()
-    with np.errstate(over="ignore"):
-        for i in range(1, n):
-            out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + words[i: len(words) - n + 1 + i] + np.uint64(i))
-    return out
+    size = len(words) - n + 1
+    out = words[:size]
+    for i in range(1, n):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + words[i: size + i]
+    return mix64(out + np.uint64(n)) if n > 1 else out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, html, lm, near_vectors, packing, quality, repeats
+from carelake.llm import ann, chat, html, jaccard, lm, near_vectors, packing, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -42,6 +42,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under shingle Jaccard of 0.75 or more."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more among all embeddings: counts, components, the kept ones."""
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
