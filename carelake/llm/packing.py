@@ -246,11 +246,13 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = keyed.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
+    # names of its own: both sides come from one table, whose columns Spark would otherwise confuse when it prunes them
+    offsets = counts.select(F.col("bucket").alias("in_bucket"), F.col("length").alias("of_length"),
+                            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
 
     def place(rows: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
-        base = dict(zip(ranked["length"], ranked["ranked"], strict=True))
+        base = dict(zip(ranked["of_length"], ranked["ranked"], strict=True))
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         lengths = rows["length"].to_numpy()
         edges = np.r_[0, np.flatnonzero(np.diff(lengths)) + 1, len(lengths)]
@@ -262,5 +264,5 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             offset[a:b] = at[run]
         return rows.drop(columns="bucket").assign(sequence_id=sequence, offset=offset)
 
-    return (keyed.groupBy("bucket").cogroup(offsets.groupBy("bucket"))
+    return (keyed.groupBy("bucket").cogroup(offsets.groupBy("in_bucket"))
             .applyInPandas(place, PIECES + ", sequence_id long, offset long"))

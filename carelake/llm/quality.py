@@ -233,22 +233,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     return train_network(context, matrix, (table["label"] > 0.5).to_numpy())
 
 
-def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1, higher: better) and predicted (1 from ``THRESHOLD``) of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with score (0 to 1, higher: better) and predicted (1 from ``THRESHOLD``).
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index, shapes, made = index_vectors(WORDS, 1), index_vectors(SHAPES, 2), shared.value
-        for frame in frames:
-            if made is None:
-                value = np.full(len(frame), 0.5)
+        for texts in batches:
+            if made is None or not len(texts):
+                yield pd.Series(np.full(len(texts), 0.5))
             else:
-                found = [pooled(t, index, shapes, made.context) for t in frame["text"]]
-                value = made.score(np.stack(found)) if found else np.zeros(0)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": value, "predicted": (value >= THRESHOLD).astype(int)})
+                yield pd.Series(made.score(np.stack([pooled(t, index, shapes, made.context) for t in texts])))
 
-    return pick(docs, doc_id=doc_id, text=text).mapInPandas(run, "doc_id long, score double, predicted int")
+    scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col(f"`{text}`")))
+    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score and predicted of every document."""
+    return with_score(pick(docs, doc_id=doc_id, text=text), model).select("doc_id", "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -285,30 +285,57 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     return starts.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text",
-                   most_group: int = MOST_GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
-    rows = pick(docs, doc_id=doc_id, text=text)
-    keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"),
-                        F.xxhash64("text", F.length("text")).alias("th"))
-    spans = _spans(keyed.select("id", "th", "text"), length, most_group)
+def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group: int) -> DataFrame:
+    """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept."""
+    known = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_th", "_starts")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in known],
+                        F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).cast("long").alias("_id"),
+                        F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`"))).alias("_th"))
+    spans = _spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col(f"`{text}`").alias("text")), length, most_group)
+    spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for key, t, starts in zip(f["doc_id"], f["text"], f["starts"], strict=True):
+            for t, starts in zip(f[text], f["_starts"], strict=True):
                 data = np.frombuffer(_raw(t), np.uint8)
                 if starts is None or not len(starts):
-                    out.append((key, len(data), 0, 0, data.tobytes()))
+                    out.append((len(data), 0, 0, data.tobytes()))
                     continue
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, [r["lo"] for r in starts], 1)
                 np.add.at(step, [r["hi"] + length - 1 for r in starts], -1)
                 gone = np.cumsum(step[:-1]) > 0
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((key, len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
+            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            yield pd.concat([f[known].reset_index(drop=True), made], axis=1)
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in known)
+    return keyed.join(spans, ["_id", "_th"], "left").mapInPandas(
+        drop, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text",
+                   most_group: int = MOST_GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
+    rows = pick(docs, doc_id=doc_id, text=text)
+    return _with_kept(rows, "doc_id", "text", length, most_group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and others) with the kept text; rows that lose nothing are unchanged.
+
+    What a removed run leaves of a character at its edges goes too.
+    """
+    found = _with_kept(docs, "doc_id", "text", length, MOST_GROUP)
+
+    def decode(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return (keyed.join(spans, ["id", "th"], "left").select("doc_id", "text", "starts")
-            .mapInPandas(drop, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    cut = F.pandas_udf(decode, "string")(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.lit(b"")))
+    found = found.withColumn("cut", cut)
+    changed = F.col("n_removed") > 0
+    return found.select(*[F.when(changed, F.col("cut")).otherwise(F.col("text")).alias("text") if c == "text"
+                          else F.when(changed, F.length("cut").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
+                          else F.col(f"`{c}`") for c in docs.columns])

@@ -77,4 +77,6 @@ def blocks(members: DataFrame, probers: DataFrame, key: str, most_members: int,
             .withColumn("ppart", each(parts(p, key))))
     right = (probers.withColumn("ppart", F.pmod(F.xxhash64("vec_id"), parts(p, key)).cast("int"))
              .withColumn("mpart", each(parts(m, key))))
+    # columns of its own on one side: both may come from one table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(key, "mpart", "ppart"), right.groupBy(key, "mpart", "ppart")
