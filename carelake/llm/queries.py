@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, html, jaccard, lm, near_vectors, packing, quality, repeats
+from carelake.llm import ann, chat, html, jaccard, lm, near_vectors, packing, pieces, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again: ids' count and crc32, the hash of the text that comes back."""
+    back = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of any 400-byte string that starts twice in the corpus."""
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400).select(
@@ -66,6 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_ann_search": op3_ann_search,
     "op4_best_fit_packing": op4_best_fit_packing,

@@ -110,6 +110,18 @@ class Encoder:
                     out += self._fresh(group)
         return out
 
+    def _cuts(self, values: np.ndarray) -> np.ndarray:
+        """Where a part may begin."""
+        cut = np.zeros(len(values), bool)
+        cut[:-1] = (values[:-1] == 0x20) & _VISIBLE[values[1:]]
+        return cut
+
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        plain = [p[0] == 0x20 and len(p) > 1 and bool(_VISIBLE[p[1]]) and p.count(b" ") == 1 for p in parts]
+        words = iter(self._words([p.decode() for p, yes in zip(parts, plain, strict=True) if yes]))
+        others = iter(self._fresh([p.decode() for p, yes in zip(parts, plain, strict=True) if not yes]))
+        return [next(words if yes else others) for yes in plain]
+
     def _block(self, texts: list[str]) -> Iterator[bytes]:
         raw = [t.encode("utf-8", "replace") for t in texts]
         data = b"".join(raw)
@@ -120,8 +132,7 @@ class Encoder:
         if len(self.rolling.up) <= len(values):
             self.rolling = Rolling(len(values) + len(values) // 4)
         edges = np.cumsum([0] + [len(r) for r in raw])
-        cut = np.zeros(len(values), bool)
-        cut[:-1] = (values[:-1] == 0x20) & _VISIBLE[values[1:]]
+        cut = self._cuts(values)
         cut[edges[:-1][edges[:-1] < len(values)]] = True
         starts = np.flatnonzero(cut)
         ends = np.r_[starts[1:], len(values)]
@@ -145,19 +156,16 @@ class Encoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = [young.get(k) for k in keys]
-        words: list[int] = []
-        others: list[int] = []
+        missing: list[int] = []
         for i, v in enumerate(found):
             if v is None:
                 if (v := old.get(keys[i])) is not None:
                     young[keys[i]] = found[i] = v
                 else:
-                    part = data[starts[i]: ends[i]]
-                    plain = part[0] == 0x20 and len(part) > 1 and _VISIBLE[part[1]] and part.count(b" ") == 1
-                    (words if plain else others).append(i)
-        for some, made in ((words, self._words), (others, self._fresh)):
-            for i, v in zip(some, made([data[starts[i]: ends[i]].decode() for i in some]), strict=True):
-                found[i] = v
-                if ends[i] - starts[i] <= LONGEST:
-                    young[keys[i]] = v
+                    missing.append(i)
+        made = self._encode_parts([data[starts[i]: ends[i]] for i in missing])
+        for i, v in zip(missing, made, strict=True):
+            found[i] = v
+            if ends[i] - starts[i] <= LONGEST:
+                young[keys[i]] = v
         return found
