@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from carelake.llm.common import Words, gram_hashes, pick, written
 
 ORDER, BACKOFF = 2, 0.4
-BLOCK_ROWS, PARTITION_BYTES = 8192, 8 << 20
+BLOCK_ROWS, PARTITION_BYTES = 4096, 8 << 20
 
 
 def _blocked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -102,28 +102,32 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
         texts = [words.hashes(t) for t in documents["text"]]
         sizes = np.array([len(t) for t in texts])
         counted = counted.sort_values(["n", "part"])
-        # per order: the total and the document's own count of each n-gram occurrence, documents in a row
-        totals, owns, keep = {}, {}, {}
+        # per order: what all other documents count of each n-gram occurrence, documents in a row
+        left: dict[int, np.ndarray] = {}
+        starts: dict[int, np.ndarray] = {}
         for n in range(1, order + 1):
-            grams = np.concatenate([gram_hashes(t, n) for t in texts]) if texts else np.zeros(0, np.uint64)
-            _, place = np.unique(grams, return_inverse=True)
+            grams = np.concatenate([gram_hashes(t, n) for t in texts])
+            place = np.unique(grams, return_inverse=True)[1].astype(np.int32)
+            del grams
             found = np.frombuffer(b"".join(counted.loc[counted["n"] == n, "totals"]), np.int64)
-            owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - n + 1, 0))
-            pair = owner.astype(np.int64) * max(1, len(found)) + place
-            _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
-            totals[n], owns[n] = found[place] if len(place) else place, own[at] if len(at) else at
-            keep[n] = np.cumsum(np.r_[0, np.maximum(sizes - n + 1, 0)])
+            starts[n] = np.cumsum(np.r_[0, np.maximum(sizes - n + 1, 0)])
+            left[n] = found[place] if len(place) else found[:0]
+            for a, b in zip(starts[n][:-1], starts[n][1:], strict=True):
+                _, at, own = np.unique(place[a:b], return_inverse=True, return_counts=True)
+                left[n][a:b] -= own[at]
         out = np.zeros(len(texts))
         for d, size in enumerate(sizes):
             if not size:
                 continue
             rest = max(words_total - int(size), 1)
-            left = {n: (totals[n][keep[n][d]: keep[n][d + 1]] - owns[n][keep[n][d]: keep[n][d + 1]]) for n in range(1, order + 1)}
-            logs = np.log(np.maximum(left[1], 1) / rest)
+            one = left[1][starts[1][d]: starts[1][d + 1]]
+            logs = np.log(np.maximum(one, 1) / rest)
+            shorter = one
             for n in range(2, min(order, size) + 1):
-                seen = left[n] > 0
-                context = left[n - 1][: len(left[n])]
-                logs[n - 1:] = np.where(seen, np.log(np.maximum(left[n], 1) / np.maximum(context, 1)), np.log(BACKOFF) + logs[n - 1:])
+                now = left[n][starts[n][d]: starts[n][d + 1]]
+                context = shorter[: len(now)]
+                logs[n - 1:] = np.where(now > 0, np.log(np.maximum(now, 1) / np.maximum(context, 1)), np.log(BACKOFF) + logs[n - 1:])
+                shorter = now
             out[d] = logs.sum()
         return pd.DataFrame({"doc_id": documents["doc_id"], "n_tokens": sizes, "log_score": out,
                              "mean_log": [s / n if n else None for s, n in zip(out, sizes, strict=True)]})
