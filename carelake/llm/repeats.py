@@ -220,17 +220,31 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = Segmenter(length)
+        keys: list[tuple[int, int, int]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def table() -> pd.DataFrame:
+            sizes = [k[2] for k in keys]
+            s, n, a, fp, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out = pd.DataFrame({"id": np.repeat(np.array([k[0] for k in keys], np.int64), sizes),
+                                "th": np.repeat(np.array([k[1] for k in keys], np.int64), sizes),
+                                "s": s, "n": n.astype(np.int32), "a": a.astype(np.int32), "f": fp, "h": h})
+            keys.clear()
+            parts.clear()
+            return out
+
+        held = 0
         for f in frames:
-            out, held = [], 0
             for key, th, t in zip(f["id"], f["th"], f["text"], strict=True):
-                for s, n, a, fp, h in maker.segments(np.frombuffer(_raw(t), np.uint8)):
-                    out.append(pd.DataFrame({"id": key, "th": th, "s": s, "n": n.astype(np.int32), "a": a.astype(np.int32), "f": fp, "h": h}))
-                    held += len(s)
-                if held > 50_000:
-                    yield pd.concat(out)
-                    out, held = [], 0
-            if out:
-                yield pd.concat(out)
+                for part in maker.segments(np.frombuffer(_raw(t), np.uint8)):
+                    keys.append((key, th, len(part[0])))
+                    parts.append(part)
+                    held += len(part[0])
+                    if held > 100_000:
+                        yield table()
+                        held = 0
+        if keys:
+            yield table()
 
     found = written(docs.mapInPandas(cut, "id long, th long, s long, n int, a int, f long, h long"), "segments")
     different = found.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "s")).alias("at"))
@@ -240,18 +254,38 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     twice = different.where("c > 1").select(*SEGMENT, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     places = different.join(shared, "f").select(*SEGMENT, "g", "c", "at.*")
     wanted = places.groupBy("id", "th").agg(F.collect_list(F.struct(*SEGMENT, "g", "c", "s")).alias("wanted"))
-    texts = docs.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
+    columns = [*SEGMENT, "g", "c", "s"]
+    texts = (docs.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
+             .select("text", *[F.col(f"wanted.{x}").alias(x) for x in columns]))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[np.ndarray]] = {x: [] for x in columns[:-1]}
+        cut_texts: list[bytes] = []
+        size = 0
+
+        def table() -> pd.DataFrame:
+            out = pd.DataFrame({x: np.concatenate(v) for x, v in held.items()}).assign(text=cut_texts)
+            for v in held.values():
+                v.clear()
+            cut_texts.clear()
+            return out
+
         for f in frames:
-            for t, wanted in zip(f["text"], f["wanted"], strict=True):
-                data = _raw(t)
-                for at in range(0, len(wanted), 4096):
-                    some = wanted[at: at + 4096]
-                    rows = pd.DataFrame([(w["f"], w["h"], w["n"], w["a"], w["g"], w["c"]) for w in some], columns=[*SEGMENT, "g", "c"])
-                    yield rows.assign(text=[data[w["s"]: w["s"] + w["n"] + length - 1] for w in some])
-
-    shown = written(texts.select("text", "wanted").mapInPandas(read, "f long, h long, n int, a int, g long, c long, text binary"), "shown")
+            for t, *arrays in zip(f["text"], *[f[x] for x in columns], strict=True):
+                data, row = _raw(t), dict(zip(columns, arrays, strict=True))
+                for at in range(0, len(row["s"]), 4096):
+                    for x in held:
+                        held[x].append(row[x][at: at + 4096])
+                    for s, n in zip(row["s"][at: at + 4096].tolist(), row["n"][at: at + 4096].tolist(), strict=True):
+                        cut_texts.append(data[s: s + n + length - 1])
+                        size += n + length - 1
+                    if size > 8 << 20:
+                        yield table()
+                        size = 0
+        if cut_texts:
+            yield table()
+
+    shown = written(texts.mapInPandas(read, "f long, h long, n int, a int, g long, c long, text binary"), "shown")
     count = shown.count()
     shards = max(1, -(-count // SHARD_ROWS))
     runs = "f long, h long, n int, a int, runs array<struct<lo:int,hi:int>>"
@@ -287,24 +321,25 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
 
 def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group: int) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept."""
-    known = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_th", "_starts")]
+    known = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_th", "_lo", "_hi")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in known],
                         F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).cast("long").alias("_id"),
                         F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`"))).alias("_th"))
     spans = _spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col(f"`{text}`").alias("text")), length, most_group)
-    spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
+    spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"),
+                         F.col("starts.lo").alias("_lo"), F.col("starts.hi").alias("_hi"))
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for t, starts in zip(f[text], f["_starts"], strict=True):
+            for t, low, high in zip(f[text], f["_lo"], f["_hi"], strict=True):
                 data = np.frombuffer(_raw(t), np.uint8)
-                if starts is None or not len(starts):
+                if low is None or not len(low):
                     out.append((len(data), 0, 0, data.tobytes()))
                     continue
                 step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, [r["lo"] for r in starts], 1)
-                np.add.at(step, [r["hi"] + length - 1 for r in starts], -1)
+                np.add.at(step, low, 1)
+                np.add.at(step, high + (length - 1), -1)
                 gone = np.cumsum(step[:-1]) > 0
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
