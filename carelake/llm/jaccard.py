@@ -285,18 +285,22 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = rows.join(jobs, "id")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for text, cls, blocks in _texts(frames, ["text", "cls", "blocks"]):
+        words, out, held = Words(), [], 0
+        for text, cls, blocks, asks in _texts(frames, ["text", "cls", "block", "asks"]):
             found = shingles(words, text, size)
             if class_of(found) != cls:  # another row of the same id
                 continue
             data = found.tobytes()
-            step = max(1, (8 << 20) // len(data))
-            for at in range(0, len(blocks), step):
-                some = blocks[at: at + step]
-                yield pd.DataFrame({"block": [b["block"] for b in some], "cls": cls, "asks": [b["asks"] for b in some], "shingles": data})
-
-    return texts.select("text", "cls", "blocks").mapInPandas(read, "block long, cls long, asks boolean, shingles binary")
+            for block, ask in zip(blocks, asks, strict=True):
+                out.append((block, cls, ask, data))
+                held += len(data)
+                if held > 8 << 20:
+                    yield pd.DataFrame(out, columns=["block", "cls", "asks", "shingles"])
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["block", "cls", "asks", "shingles"])
+
+    return texts.select("text", "cls", F.col("blocks.block").alias("block"), F.col("blocks.asks").alias("asks")).mapInPandas(read, "block long, cls long, asks boolean, shingles binary")
 
 
 def _links_of_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, similarity: int) -> DataFrame:
