@@ -64,9 +64,9 @@ def register_appointments(t: Tables, batch: DataFrame, high_water: int) -> Chang
     A blank status takes the declared default ``Scheduled``.
     """
     text_cols = batch.columns
-    b = V.mark_existing(batch, V.parse_int("patient_id").cast("long"), t.patient, "patient_id", "_has_patient")
-    b = V.mark_existing(b, V.parse_int("staff_id").cast("long"), t.staff, "staff_id", "_has_staff")
-    b = V.mark_existing(b, V.parse_int("clinic_id").cast("long"), t.clinic, "clinic_id", "_has_clinic")
+    b = V.mark_existing(batch, V.parse_id("patient_id"), t.patient, "patient_id", "_has_patient")
+    b = V.mark_existing(b, V.parse_id("staff_id"), t.staff, "staff_id", "_has_staff")
+    b = V.mark_existing(b, V.parse_id("clinic_id"), t.clinic, "clinic_id", "_has_clinic")
     rules = [
         V.required_text("reason", "Reason"),
         V.max_length("reason", VARCHAR_LENGTHS[("appointment", "reason")], "Reason"),
@@ -78,12 +78,12 @@ def register_appointments(t: Tables, batch: DataFrame, high_water: int) -> Chang
         V.reference_exists("_has_clinic", "Clinic"),
     ]
     typed = {
-        "patient_id": V.parse_int("patient_id").cast("long"),
-        "staff_id": V.parse_int("staff_id").cast("long"),
-        "clinic_id": V.parse_int("clinic_id").cast("long"),
+        "patient_id": V.parse_id("patient_id"),
+        "staff_id": V.parse_id("staff_id"),
+        "clinic_id": V.parse_id("clinic_id"),
         "appointment_date": V.parse_date("appointment_date"),
         "appointment_time": V.parse_time("appointment_time"),
-        "reason": F.trim("reason"),
+        "reason": V.stripped("reason"),
         "status": F.coalesce(V.blank_to_null("status"), F.lit("Scheduled")),
     }
     checked = V.validate(b, rules, typed)
@@ -106,27 +106,19 @@ def update_by_key(base: DataFrame, updates: DataFrame, key: str, columns: Sequen
     """
     upd_cols = updates.columns
     first = V.first_per_key(updates, key)
-    u = first.valid.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns],
-                           *[F.col(e).alias(f"_exp_{c}") for c, e in (expected or {}).items()],
-                           F.col("seq").alias("_seq"))
-    current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})])
-    if V.batch_is_small(u, base):
-        # only the base rows a small batch touches (broadcast semi join): the base is
-        # scanned, not shuffled
-        current = current.join(u.select(key).distinct(), key, "left_semi")
-    exists = F.col("_cur_present").isNotNull()
-    probe = u.join(current.withColumn("_cur_present", F.lit(True)), key, "left")
+    u = first.valid.select(F.col(key), *[F.col(c).alias(f"_upd_{c}") for c in upd_cols])
+    current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})]).withColumn("_cur_present", F.lit(True))
+    probe = u.join(current, key, "left")
     guard_ok = F.lit(True)
-    for c in (expected or {}):
-        guard_ok = guard_ok & (F.col(f"_exp_{c}").isNull() | (F.col(f"_exp_{c}") == F.col(f"_cur_{c}")))
-    err = (F.when(~exists, F.lit("id does not exist"))
+    for c, e in (expected or {}).items():
+        guard_ok = guard_ok & (F.col(f"_upd_{e}").isNull() | (F.col(f"_upd_{e}") == F.col(f"_cur_{c}")))
+    err = (F.when(F.col("_cur_present").isNull(), F.lit("id does not exist"))
            .when(~guard_ok, F.lit("current value differs from the expected one")))
     probe = probe.withColumn("_err", err)
-    applied = probe.where(F.col("_err").isNull()).select(key, *[f"_new_{c}" for c in columns], "_seq")
-    refused = (probe.where(F.col("_err").isNotNull()).select(key, "_seq", "_err")
-               .join(updates.withColumnRenamed("seq", "_seq"), [key, "_seq"])
-               .select(*[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in upd_cols],
-                       F.array("_err").alias("errors")))
+    applied = probe.where(F.col("_err").isNull()).select(
+        key, *[F.col(f"_upd_{c}").alias(f"_new_{c}") for c in columns], F.col("_upd_seq").alias("_seq"))
+    refused = probe.where(F.col("_err").isNotNull()).select(
+        *[F.col(f"_upd_{c}").alias(c) for c in upd_cols], F.array("_err").alias("errors"))
     hit = applied.withColumn("_hit", F.lit(True))
     joined = base.join(hit, key, "left")
     matched = F.coalesce(F.col("_hit"), F.lit(False))
@@ -143,12 +135,12 @@ def change_status(appointment: DataFrame, status_in: DataFrame) -> Changed:
     No state machine: any listed status may follow any other, as in the forms.
     """
     text_cols = status_in.columns
-    rules = [V.positive_int("appointment_id", "Appointment"),
+    rules = [V.positive_id("appointment_id", "Appointment"),
              V.in_domain("status", APPOINTMENT_STATUSES, "Status"),
              V.in_domain("expected_status", APPOINTMENT_STATUSES, "Expected status", optional=True)]
     checked = V.validate(status_in, rules, {
-        "appointment_id": V.parse_int("appointment_id").cast("long"),
-        "status": F.trim("status"),
+        "appointment_id": V.parse_id("appointment_id"),
+        "status": V.stripped("status"),
         "expected_status": V.blank_to_null("expected_status")})
     ch = update_by_key(appointment, checked.valid, "appointment_id", ["status"],
                        expected={"status": "expected_status"})
@@ -170,15 +162,21 @@ def restock(medication: DataFrame, restock_in: DataFrame) -> Changed:
     if "medication_id" not in text_cols:
         names = medication.select(F.col("medication_name").alias("_name"),
                                   F.col("medication_id").cast("string").alias("medication_id"))
-        restock_in = (restock_in.join(names, F.trim(restock_in["medication_name"]) == names["_name"], "left")
+        restock_in = (restock_in.join(names, V.stripped("medication_name") == names["_name"], "left")
                       .drop("_name"))
-    b = V.mark_existing(restock_in, V.parse_int("medication_id").cast("long"), medication,
+    b = V.mark_existing(restock_in, V.parse_id("medication_id"), medication,
                         "medication_id", "_has_med")
     rules = [V.positive_int("quantity", "Quantity"), V.reference_exists("_has_med", "Medication")]
-    checked = V.validate(b, rules, {"medication_id": V.parse_int("medication_id").cast("long"),
-                                    "quantity": V.parse_int("quantity")})
-    per_med = checked.valid.groupBy("medication_id").agg(
+    checked = V.validate(b.withColumn("_row", F.struct(*text_cols)), rules,
+                         {"medication_id": V.parse_id("medication_id"), "quantity": V.parse_int("quantity")}, keep=("seq", "_row"))
+    summed = checked.valid.groupBy("medication_id").agg(
         F.sum("quantity").alias("added"), F.count(F.lit(1)).alias("deliveries"))
+    stock = medication.select("medication_id", F.col("stock_quantity").cast("long").alias("_stock"))
+    fits = F.col("_stock") + F.col("added") <= F.lit(2147483647)
+    judged = summed.join(stock, "medication_id")
+    per_med = judged.where(fits).drop("_stock")
+    over = (checked.valid.join(judged.where(~fits).select("medication_id"), "medication_id", "left_semi")
+            .select("_row.*", F.array(F.lit("Stock would exceed its limit")).alias("errors")))
     joined = medication.join(per_med, "medication_id", "left")
     new = joined.select(*[(F.col("stock_quantity") + F.coalesce(F.col("added"), F.lit(0))).cast("int")
                           .alias("stock_quantity") if c == "stock_quantity" else F.col(c)
@@ -187,7 +185,7 @@ def restock(medication: DataFrame, restock_in: DataFrame) -> Changed:
                              "medication_id")
                 .select("medication_id", "deliveries", F.col("added").cast("long").alias("added"),
                         "stock_before", (F.col("stock_before") + F.col("added")).cast("int").alias("stock_after")))
-    return Changed(new, accepted, checked.rejected.select(*text_cols, "errors"))
+    return Changed(new, accepted, checked.rejected.select(*text_cols, "errors").unionByName(over.select(*text_cols, "errors")))
 
 
 # ── C6 create bills ─────────────────────────────────────────────────────────
@@ -198,10 +196,10 @@ def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
     appointment in the batch is rejected (the lowest ``seq`` wins).
     """
     text_cols = bill_in.columns
-    appt_id = V.parse_int("appointment_id").cast("long")
+    appt_id = V.parse_id("appointment_id")
     b = V.mark_existing(bill_in, appt_id, t.appointment, "appointment_id", "_has_appt")
     b = V.mark_existing(b, appt_id, t.bill, "appointment_id", "_billed")
-    paid_text = F.when(F.trim("amount_paid") == "", F.lit("0")).otherwise(F.col("amount_paid"))
+    paid_text = F.when(V.stripped("amount_paid") == "", F.lit("0")).otherwise(F.col("amount_paid"))
     b = b.withColumn("_paid_text", paid_text)
     rules = [
         V.reference_exists("_has_appt", "Appointment"),
@@ -211,16 +209,16 @@ def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
         V.not_above(V.parse_amount("_paid_text"), V.parse_amount("total_amount"), "Paid cannot exceed total"),
         V.required_date("bill_date", "Bill Date"),
     ]
+    b = b.withColumn("_row", F.struct(*text_cols))
     checked = V.validate(b, rules, {
         "appointment_id": appt_id, "total_amount": V.parse_amount("total_amount"),
-        "amount_paid": V.parse_amount("_paid_text"), "bill_date": V.parse_date("bill_date")})
+        "amount_paid": V.parse_amount("_paid_text"), "bill_date": V.parse_date("bill_date")}, keep=("seq", "_row"))
     once = V.first_per_key(checked.valid, "appointment_id")
     with_patient = once.valid.join(t.appointment.select("appointment_id", "patient_id"), "appointment_id")
-    priced = with_patient.withColumn(
+    priced = with_patient.drop("_row").withColumn(
         "payment_status", F.when(F.col("amount_paid") == F.col("total_amount"), "Paid")
         .when(F.col("amount_paid") > 0, "Partial").otherwise("Unpaid"))
-    dup = (once.rejected.select("seq", "errors")
-           .join(bill_in, "seq").select(*text_cols, "errors"))
+    dup = once.rejected.select("_row.*", "errors").select(*text_cols, "errors")
     rejected = checked.rejected.select(*text_cols, "errors").unionByName(dup)
     ch = Changed(None, lambda: conform(assign_ids(priced, "bill_id", high_water), "bill"), rejected)
     ch._parts["table"] = lambda: t.bill.unionByName(ch.accepted)
@@ -237,7 +235,7 @@ def apply_payments(bill: DataFrame, payment_in: DataFrame) -> Changed:
     is reported as ``unapplied``.
     """
     text_cols = payment_in.columns
-    bid = V.parse_int("bill_id").cast("long")
+    bid = V.parse_id("bill_id")
     open_bills = bill.where(F.col("total_amount") > F.col("amount_paid"))
     b = V.mark_existing(payment_in, bid, bill, "bill_id", "_has_bill")
     b = V.mark_existing(b, bid, open_bills, "bill_id", "_is_open")
@@ -276,7 +274,7 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
     """
     key = PRIMARY_KEYS[table]
     base = t[table]
-    req = delete_in.select("seq", F.col("id").alias("id_text"), V.parse_int("id").cast("long").alias(key))
+    req = delete_in.select("seq", F.col("id").alias("id_text"), V.parse_id("id").alias(key))
     found = req.join(V.keys_present(base, key, req, key, alias=key), key, "left_semi")
     blocked_by = None
     for child, fk, parent in FOREIGN_KEYS:
@@ -310,14 +308,24 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
 
 
 # ── C10 re-key with ON UPDATE CASCADE ───────────────────────────────────────
-def rekey(t: Tables, table: str, key_map: DataFrame) -> Tables:
-    """Change primary keys of ``table`` (``old_id``, ``new_id``) and cascade to
-    every child foreign key.  Returns all tables (unchanged ones are the same plans).
-
-    The map must be one-to-one; each table is joined once with it (N:1 on the old key).
+def rekey(t: Tables, table: str, key_map: DataFrame) -> tuple[Tables, DataFrame]:
+    """Change primary keys of ``table`` (``old_id``, ``new_id``) and cascade to every child
+    foreign key.  Returns all tables (unchanged ones are the same plans) and the refused map rows
+    with an ``errors`` array: an id that is missing, named twice (as old or as new), or a new id
+    that is in use.  Each table is joined once with the rest (N:1 on the old key).
     """
     key = PRIMARY_KEYS[table]
     m = key_map.select(F.col("old_id").cast("long").alias("_old"), F.col("new_id").cast("long").alias("_new"))
+    for side in ("_old", "_new"):
+        m = m.join(m.groupBy(side).agg(F.count(F.lit(1)).alias(f"{side}_times")), side, "left")
+        known = V.keys_present(t[table], key, m, side, alias=side).withColumn(f"{side}_known", F.lit(True))
+        m = m.join(known, side, "left")
+    rules = [("Old id does not exist", F.col("_old_known").isNull()), ("Old id is named twice", F.col("_old_times") > 1),
+             ("New id is missing", F.col("_new").isNull()), ("New id is named twice", F.col("_new_times") > 1),
+             ("New id is in use", F.col("_new_known").isNotNull())]
+    m = m.withColumn("errors", V.errors_column([(msg, F.coalesce(bad, F.lit(False))) for msg, bad in rules]))
+    refused = m.where(F.size("errors") > 0).select(F.col("_old").alias("old_id"), F.col("_new").alias("new_id"), "errors")
+    m = m.where(F.size("errors") == 0).select("_old", "_new")
 
     def remap(df: DataFrame, col: str) -> DataFrame:
         j = df.join(m, df[col] == m["_old"], "left")
@@ -329,10 +337,4 @@ def rekey(t: Tables, table: str, key_map: DataFrame) -> Tables:
     for child, fk, parent in FOREIGN_KEYS:
         if parent == table:
             out[child] = remap(out[child], fk)
-    return out
-
-
-def fill_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Apply declared defaults to NULL cells (used by K5)."""
-    return df.select(*[F.coalesce(F.col(c), defaults[c]).alias(c) if c in defaults else F.col(c)
-                       for c in df.columns])
+    return out, refused

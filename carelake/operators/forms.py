@@ -91,15 +91,16 @@ def _flag(field: Field) -> str:
     return f"_has_{field.name}"
 
 
-def _enum_value(table: str, field: Field) -> Column:
+def _enum_value(table: str, field: Field, editing: bool = False) -> Column:
+    """The chosen value; a blank takes the declared default in a new row, never in an edit."""
     v = V.blank_to_null(field.name)
     if field.kind == "opt_enum":
         return F.when(v == "None", F.lit(None).cast("string")).otherwise(v)
-    default = DEFAULTS.get((table, field.name))
+    default = None if editing else DEFAULTS.get((table, field.name))
     return F.coalesce(v, F.lit(default)) if default is not None else v
 
 
-def field_rules(table: str, field: Field) -> list[V.Rule]:
+def field_rules(table: str, field: Field, editing: bool = False) -> list[V.Rule]:
     c, label, k = field.name, field.label, field.kind
     if k == "text":
         rules = [V.required_text(c, label)]
@@ -116,7 +117,7 @@ def field_rules(table: str, field: Field) -> list[V.Rule]:
     elif k == "nonneg_int":
         return [V.nonnegative_int(c, label)]
     elif k in ("enum", "opt_enum"):
-        v = _enum_value(table, field)
+        v = _enum_value(table, field, editing)
         ok = v.isin(*field.domain) | (v.isNull() if k == "opt_enum" else F.lit(False))
         return [(f"{label} must be one of {', '.join(field.domain)}", ~F.coalesce(ok, F.lit(False)))]
     elif k == "ref":
@@ -129,10 +130,10 @@ def field_rules(table: str, field: Field) -> list[V.Rule]:
     return rules
 
 
-def field_value(table: str, field: Field) -> Column:
+def field_value(table: str, field: Field, editing: bool = False) -> Column:
     c, k = field.name, field.kind
     if k == "text":
-        return F.trim(F.col(c))
+        return V.stripped(c)
     if k == "opt_text":
         return V.blank_to_null(c)
     if k in ("date", "opt_date"):
@@ -142,9 +143,9 @@ def field_value(table: str, field: Field) -> Column:
     if k in ("pos_int", "nonneg_int"):
         return V.parse_int(c)
     if k in ("enum", "opt_enum"):
-        return _enum_value(table, field)
+        return _enum_value(table, field, editing)
     if k == "ref":
-        return V.parse_int(c).cast("long")
+        return V.parse_id(c)
     raise ValueError(k)  # pragma: no cover
 
 
@@ -160,12 +161,12 @@ def check_form(t: Tables, table: str, batch: DataFrame, with_key: bool = False)
     typed: dict[str, Column] = {}
     key = PRIMARY_KEYS[table]
     if with_key:
-        rules.append(V.positive_int(key, "Id"))
-        typed[key] = V.parse_int(key).cast("long")
+        rules.append(V.positive_id(key, "Id"))
+        typed[key] = V.parse_id(key)
     for f in fields:
-        rules.extend(field_rules(table, f))
-        typed[f.name] = field_value(table, f)
-    checked = V.validate(b, rules, typed)
+        rules.extend(field_rules(table, f, with_key))
+        typed[f.name] = field_value(table, f, with_key)
+    checked = V.validate(b.withColumn("_row", F.struct(*text_cols)), rules, typed, keep=("seq", "_row"))
     return V.Checked(checked.valid, checked.rejected.select(*text_cols, "errors"))
 
 
@@ -173,7 +174,7 @@ def insert_rows(t: Tables, table: str, batch: DataFrame, high_water: int) -> Cha
     """C1 for any table: validate the form batch, give the valid rows new ids, append."""
     checked = check_form(t, table, batch)
     key = PRIMARY_KEYS[table]
-    ch = Changed(None, lambda: conform(assign_ids(checked.valid, key, high_water), table), checked.rejected)
+    ch = Changed(None, lambda: conform(assign_ids(checked.valid.drop("_row"), key, high_water), table), checked.rejected)
     ch._parts["table"] = lambda: t[table].unionByName(ch.accepted)
     return ch
 
@@ -187,7 +188,7 @@ def update_rows(t: Tables, table: str, batch: DataFrame) -> Changed:
     key = PRIMARY_KEYS[table]
     cols = [f.name for f in FORMS[table]]
     ch = update_by_key(t[table], checked.valid, key, cols)
-    refused = ch.rejected.select("seq", "errors").join(batch, "seq").select(*batch.columns, "errors")
+    refused = ch.rejected.select("_row.*", "errors").select(*batch.columns, "errors")
     accepted = ch.accepted.select("seq", *[F.col(c).cast(t[table].schema[c].dataType).alias(c)
                                            for c in [key, *cols]])
     return Changed(conform(ch.table, table), accepted, checked.rejected.unionByName(refused))

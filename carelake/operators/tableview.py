@@ -92,8 +92,13 @@ def sort_order(column: str, ascending: bool = True, base_order: Sequence[Column]
 
 def typed_sort(df: DataFrame, column: str, ascending: bool = True,
                base_order: Sequence[Column] = (), mode: str = "display") -> DataFrame:
-    """Distributed (range-partitioned) sort of one column, see :func:`sort_order`."""
-    return df.orderBy(*sort_order(column, ascending, base_order, mode))
+    """Distributed (range-partitioned) sort of one column, see :func:`sort_order`.
+
+    Without a ``base_order`` equal cells are ordered by all columns, so a value that many rows
+    share is spread over sort partitions and the order is the same in every run.
+    """
+    ties = list(base_order) or [F.col(f"`{c}`") for c in df.columns]
+    return df.orderBy(*sort_order(column, ascending, ties, mode))
 
 
 def toggle(current_column: int | None, current_reverse: bool, clicked: int) -> tuple[int, bool]:
@@ -137,7 +142,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     index inside that partition (``monotonically_increasing_id``); this is written
     once as Parquet under ``spark.checkpoint.dir``, which cuts the lineage and makes
     both values stable however the files are read back.  A row's position is the
-    count of rows in earlier partitions (one small row per partition, broadcast)
+    count of rows in earlier partitions (one small row per partition)
     plus its index in its own partition.
     """
     spark = df.sparkSession
@@ -151,7 +156,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     offsets = per_part.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    # one row per sort partition: bounded by the partition count, safe to broadcast
-    out = ranked.join(F.broadcast(offsets), "_pid")
+    # one row per sort partition; Spark chooses the join by its size
+    out = ranked.join(offsets, "_pid")
     return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
             .drop("_pid", "_local", "_off"))

@@ -18,44 +18,57 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 Rule = tuple[str, Column]
 
 
 # ── parsers (text -> typed, NULL when unparseable) ─────────────────────────
+def stripped(c: str) -> Column:
+    """Text without white space (blanks, tabs, line breaks and the like) at either end."""
+    return F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c: str) -> Column:
-    """Optional text: trimmed, and NULL when blank."""
-    return F.nullif(F.trim(F.col(c)), F.lit(""))
+    """Optional text: stripped, and NULL when blank."""
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def parse_date(c: str) -> Column:
-    """V2: ``yyyy-M-d`` after trimming; accepts ``2024-5-1``, rejects ``2024-02-30``."""
-    return F.try_to_date(F.trim(F.col(c)), "yyyy-M-d")
+    """V2: ``yyyy-M-d`` after stripping; accepts ``2024-5-1``, rejects ``2024-02-30`` and ``2024-05-001``."""
+    text = stripped(c)
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
 def parse_time(c: str) -> Column:
-    """V4: ``H:m`` after trimming, stored as ``HH:mm:ss`` text; rejects ``24:00``."""
-    ts = F.try_to_timestamp(F.trim(F.col(c)), F.lit("H:m"))
-    return F.date_format(ts, "HH:mm:ss")
+    """V4: ``H:m`` after stripping, stored as ``HH:mm:ss`` text; rejects ``24:00`` and ``009:05``."""
+    text = stripped(c)
+    ts = F.try_to_timestamp(text, F.lit("H:m"))
+    return F.when(text.rlike(r"^[0-9]{1,2}:[0-9]{1,2}$"), F.date_format(ts, "HH:mm:ss"))
 
 
 def parse_int(c: str) -> Column:
-    """V5: whole number; ``+5`` and `` 7 `` accepted, ``5.0`` and ``abc`` rejected."""
-    return F.trim(F.col(c)).try_cast("int")
+    """V5: whole number of a quantity; ``+5`` and `` 7 `` accepted, ``5.0`` and ``abc`` rejected."""
+    return stripped(c).try_cast("int")
+
+
+def parse_id(c: str) -> Column:
+    """Whole number of a key: as wide as the id columns (64 bits)."""
+    return stripped(c).try_cast("bigint")
 
 
 def parse_amount(c: str) -> Column:
-    """V6: decimal amount quantised to cents half-even (X16); NaN, infinities and
-    amounts beyond DECIMAL(10,2) are rejected (NULL)."""
-    wide = F.trim(F.col(c)).try_cast("decimal(20,6)")
+    """V6: decimal amount quantised to cents half-even (X16), rounded once; NaN, infinities and
+    amounts beyond DECIMAL(10,2) are rejected (NULL).  Read with 28 decimals."""
+    wide = stripped(c).try_cast("decimal(38,28)")
     return F.bround(wide, 2).try_cast("decimal(10,2)")
 
 
 # ── rule builders ───────────────────────────────────────────────────────────
 def required_text(c: str, label: str) -> Rule:
     """V1."""
-    return f"{label} is required", F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    return f"{label} is required", F.coalesce(stripped(c) == "", F.lit(True))
 
 
 def required_date(c: str, label: str) -> Rule:
@@ -79,6 +92,12 @@ def positive_int(c: str, label: str) -> Rule:
     return f"{label} must be a whole number greater than zero", v.isNull() | (v <= 0)
 
 
+def positive_id(c: str, label: str) -> Rule:
+    """V5 (> 0) for a key."""
+    v = parse_id(c)
+    return f"{label} must be a whole number greater than zero", v.isNull() | (v <= 0)
+
+
 def nonnegative_int(c: str, label: str) -> Rule:
     """V5 (>= 0)."""
     v = parse_int(c)
@@ -99,7 +118,7 @@ def not_above(lower: Column, upper: Column, message: str) -> Rule:
 
 def max_length(c: str, n: int, label: str) -> Rule:
     """V8: VARCHAR(n) length."""
-    return f"{label} is longer than {n} characters", F.coalesce(F.length(F.trim(F.col(c))) > n, F.lit(False))
+    return f"{label} is longer than {n} characters", F.coalesce(F.length(stripped(c)) > n, F.lit(False))
 
 
 def in_domain(c: str, values: Sequence[str], label: str, optional: bool = False) -> Rule:
@@ -116,36 +135,14 @@ def reference_exists(flag_col: str, label: str) -> Rule:
     return f"{label} does not exist", ~F.col(flag_col)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (file sizes for scans), without running a job."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return None
-
-
-def batch_is_small(batch: DataFrame, table: DataFrame, factor: int = 10) -> bool:
-    """True when ``batch`` is under the broadcast threshold and ``factor`` times smaller
-    than ``table`` by the planner's estimates (unknown sizes count as large)."""
-    limit = batch.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    b, t = estimated_bytes(batch), estimated_bytes(table)
-    return b is not None and t is not None and 0 <= b <= limit and b * factor <= t
-
-
 def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str, alias: str = "_k") -> DataFrame:
-    """Distinct values of ``key`` in ``keys``, restricted to the ids ``wanted`` names
-    when that batch is small.
+    """The distinct ids of ``wanted`` that occur as ``key`` in ``keys``.
 
-    For a small batch the large side is only semi-joined against the batch's
-    distinct ids, which are broadcast, so the large table is scanned but never
-    shuffled.  For a batch comparable in size to the table this extra step would
-    not pay, and the distinct keys are joined directly (sort-merge).
+    One plan for every size: the batch's distinct ids meet the large side in a semi join,
+    which Spark broadcasts or sorts by their measured size, so only matching keys go on.
     """
-    ks = keys.select(F.col(key).alias(alias))
-    if batch_is_small(wanted, keys):
-        ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
-        ks = ks.join(ids, alias, "left_semi")
-    return ks.distinct()
+    ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
+    return keys.select(F.col(key).alias(alias)).join(ids, alias, "left_semi").distinct()
 
 
 def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str) -> DataFrame:
@@ -187,11 +184,14 @@ def validate(df: DataFrame, rules: Sequence[Rule], typed: dict[str, Column],
 def first_per_key(df: DataFrame, key: str, order: str = "seq", reason: str = "duplicate in batch") -> Checked:
     """Keep the lowest-``order`` row per key; the others are rejected with ``reason``.
 
-    Uses an algebraic aggregate (no window), so a hot key is reduced map-side.
+    The lowest ``order`` is an algebraic aggregate, so a hot key is reduced map-side; only
+    rows that tie on it are numbered, by all their columns, and one of them stays.
     """
     first = df.groupBy(key).agg(F.min(order).alias("_first"))
     marked = df.join(first, key)
-    keep = marked.where(F.col(order) == F.col("_first")).drop("_first")
-    dup = marked.where(F.col(order) != F.col("_first")).drop("_first").withColumn(
-        "errors", F.array(F.lit(reason)))
-    return Checked(keep, dup)
+    least = marked.where(F.col(order) == F.col("_first")).drop("_first")
+    ranked = least.withColumn("_tie", F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in df.columns])))
+    refused = F.array(F.lit(reason))
+    late = marked.where(F.col(order) != F.col("_first")).drop("_first").withColumn("errors", refused)
+    tied = ranked.where("_tie > 1").drop("_tie").withColumn("errors", refused)
+    return Checked(ranked.where("_tie = 1").drop("_tie"), late.unionByName(tied))

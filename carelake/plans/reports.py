@@ -389,8 +389,8 @@ def full_visit_history(t: Tables) -> DataFrame:
 
 # ── Q13 / Q25 appointment filters ───────────────────────────────────────────
 def unbilled_appointments(t: Tables, display: bool = True) -> DataFrame:
-    """Q13: appointments without any bill (anti join), newest first."""
-    a = t.appointment.join(t.bill.select("appointment_id"), "appointment_id", "left_anti")
+    """Q13: appointments without any bill (anti join against the billed ids, each once), newest first."""
+    a = t.appointment.join(t.bill.select("appointment_id").distinct(), "appointment_id", "left_anti")
     return (a.join(_patients(t), "patient_id").join(_clinic_names(t), "clinic_id")
             .orderBy(*_newest())
             .select("appointment_id", "patient_id", "patient_name",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,22 +24,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session (tests on one machine) that names none gets a fresh
-    scratch folder; a cluster session must name a shared folder, since a folder
-    local to the driver is not visible to executors.
+    Where the session names none (tests on one machine) a folder under the warehouse is
+    set, which a cluster shares as well.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="carelake-ckpt-")
-    sc.setCheckpointDir(configured)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_carelake_scratch"
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

@@ -1,12 +1,12 @@
 """S1 table scan: the clinic tables as typed DataFrames.
 
 ``Tables`` is a plain name -> DataFrame mapping. Readers apply the declared
-schema (no inference) so that a bad file fails loudly instead of drifting.
+schema (no inference); a column that a file lacks reads as NULL, which the integrity checks report.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +51,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
-    """Read ``{path}/{table}`` for every clinic table with its fixed schema."""
+def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", names: Sequence[str] = TABLES) -> Tables:
+    """Read ``{path}/{table}`` for every clinic table (or those named) with its fixed schema."""
     out = Tables()
-    for name in TABLES:
+    for name in names:
         out[name] = spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{path}/{name}")
     return out
 

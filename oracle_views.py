@@ -68,7 +68,7 @@ SELECT CAST(line_id AS BIGINT) AS prescription_id, CAST(line_id AS BIGINT) AS di
        CASE l_linestatus WHEN 'F' THEN 'Once daily' WHEN 'O' THEN 'Twice daily' END AS frequency,
        CAST(l_quantity AS INTEGER) AS duration_days,
        CAST(l_shipdate AS DATE) AS prescribed_date
-FROM line WHERE l_partkey % 10 <> 0""",
+FROM line""",
     "bill": """
 SELECT CAST(t.l_orderkey AS BIGINT) AS bill_id, CAST(o.o_custkey AS BIGINT) AS patient_id,
        CAST(t.l_orderkey AS BIGINT) AS appointment_id,

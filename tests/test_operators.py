@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions import expr as X
 from carelake.operators import changes as C
+from carelake.operators import validate as V
 from carelake.operators import integrity as K
 from carelake.operators import tableview as TV
 from carelake.plans import reports as R
@@ -189,13 +190,60 @@ def test_delete_restrict(spark, seed):
 
 def test_rekey_cascades(spark, seed):
     m = spark.createDataFrame([(1, 101)], "old_id long, new_id long")
-    t = C.rekey(seed, "patient", m)
+    t, refused = C.rekey(seed, "patient", m)
+    assert refused.count() == 0
     assert t.patient.where("patient_id = 101").count() == 1
     assert t.appointment.where("patient_id = 101").count() == 2
     assert t.bill.where("patient_id = 101").count() == 2
     assert K.foreign_key_orphans(t).agg(F.sum("orphan_rows")).first()[0] == 0
 
 
+def test_rekey_refuses_unsafe_rows(spark, seed):
+    """A map that would give two patients one id, or one patient two, changes nothing."""
+    m = spark.createDataFrame([(1, 2), (3, 100), (3, 101), (4, 200), (5, 200), (999, 300), (6, 3_000_000_006)], "old_id long, new_id long")
+    t, refused = C.rekey(seed, "patient", m)
+    errors = {(r.old_id, r.new_id): r.errors for r in refused.collect()}
+    assert errors == {(1, 2): ["New id is in use"], (3, 100): ["Old id is named twice"], (3, 101): ["Old id is named twice"],
+                      (4, 200): ["New id is named twice"], (5, 200): ["New id is named twice"], (999, 300): ["Old id does not exist"]}
+    assert sorted(r.patient_id for r in t.patient.collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 3_000_000_006]
+    assert t.bill.count() == seed.bill.count()
+
+
+def test_ids_are_64_bit(spark, seed):
+    bill = seed.bill.withColumn("bill_id", F.col("bill_id") + 2_999_999_997)
+    pay = spark.createDataFrame([(1, "3000000000", "100")], "seq long, bill_id string, amount string")
+    ch = C.apply_payments(bill, pay)
+    assert [(r.bill_id, str(r.paid_now)) for r in ch.accepted.collect()] == [(3_000_000_000, "100.00")]
+    assert ch.rejected.count() == 0
+
+
+def test_equal_seq_keeps_one_row(spark, seed):
+    """Two changes of one appointment with the same seq: one applies, the table keeps its size."""
+    b = spark.createDataFrame([(1, "1", "Completed", ""), (1, "1", "Cancelled", ""), (1, "1", "Cancelled", "")],
+                              "seq long, appointment_id string, status string, expected_status string")
+    ch = C.change_status(seed.appointment, b)
+    assert (ch.accepted.count(), ch.rejected.count(), ch.table.count()) == (1, 2, seed.appointment.count())
+
+
+def test_restock_beyond_the_limit_is_refused(spark, seed):
+    b = spark.createDataFrame([(1, "1", "2147483647"), (2, "2", "5")], "seq long, medication_id string, quantity string")
+    ch = C.restock(seed.medication, b)
+    assert [r.medication_id for r in ch.accepted.collect()] == [2]
+    assert [(r.seq, r.errors) for r in ch.rejected.collect()] == [(1, ["Stock would exceed its limit"])]
+    assert ch.table.count() == seed.medication.count()
+
+
+def test_parsers_follow_the_forms(spark):
+    """White space of any kind is stripped, amounts are rounded once, digits are counted."""
+    rows = [("\t7\n", "0.0149999999", "2024-05-1", "9:05", "\t"), ("x", "0.015", "2024-05-001", "009:05", "a"),
+            ("3000000000", "0.025", "2024-5-1 ", "09:005", "\u00a0")]
+    df = spark.createDataFrame(rows, "i string, a string, d string, t string, x string")
+    got = df.select(V.parse_id("i").alias("i"), V.parse_amount("a").cast("string").alias("a"), V.parse_date("d").cast("string").alias("d"),
+                    V.parse_time("t").alias("t"), V.required_text("x", "X")[1].alias("x")).collect()
+    assert [tuple(r) for r in got] == [(7, "0.01", "2024-05-01", "09:05:00", True), (None, "0.02", None, None, False),
+                                       (3_000_000_000, "0.02", "2024-05-01", None, True)]
+
+
 def test_integrity(spark, seed):
     assert K.primary_key_violations(seed).agg(F.sum("duplicate_keys")).first()[0] == 0
     assert K.foreign_key_orphans(seed).agg(F.sum("orphan_rows")).first()[0] == 0
