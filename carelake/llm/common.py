@@ -6,6 +6,7 @@ import os
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,47 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+BITMAP_RANGES = 16
+
+
+def only_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` may be among the single column of ``ids``: a filter before a join.
+
+    The ids become one bitmap of their hashes, 16 bits an id up to 16 MB in all, so what is
+    sent to the tasks is bounded; beyond that more rows pass, and the join still decides.
+    """
+    spark = rows.sparkSession
+    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(ids.count(), 1))), 16, 27))
+    width = bits // BITMAP_RANGES
+
+    def place(keys) -> np.ndarray:
+        return (mix64(np.asarray(keys, np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+    def mark(frames):
+        seen = np.zeros(bits, bool)
+        for f in frames:
+            seen[place(f.iloc[:, 0].dropna())] = True
+        yield pd.DataFrame({"range": range(BITMAP_RANGES),
+                            "bits": [np.packbits(seen[i * width: (i + 1) * width]).tobytes() for i in range(BITMAP_RANGES)]})
+
+    def either(f: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in f["bits"]])
+        return pd.DataFrame({"range": f["range"].iloc[:1], "bits": [whole.tobytes()]})
+
+    parts = ids.mapInPandas(mark, "range int, bits binary").groupBy("range").applyInPandas(either, "range int, bits binary").collect()
+    data = b"".join(bytes(r["bits"]) for r in sorted(parts, key=lambda r: r["range"]))
+    shared = spark.sparkContext.broadcast(np.frombuffer(data or bytes(bits // 8), np.uint8))
+
+    def known(keys: pd.Series) -> pd.Series:
+        out = np.zeros(len(keys), bool)
+        there = keys.notna().to_numpy()
+        at = place(keys[there])
+        out[there] = (shared.value[at >> 3] >> (7 - (at & 7))) & 1
+        return pd.Series(out)
+
+    return rows.where(F.pandas_udf(known, "boolean")(F.col(column)))
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

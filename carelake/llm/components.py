@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from carelake.llm.common import written
 
 
+#: Links a partition; there are never more partitions than that needs.
+ROWS = 250_000
+
+
 def _down(pairs: DataFrame) -> DataFrame:
     """Links as distinct (u, v) with u > v."""
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
@@ -22,18 +26,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(_down(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     before = mark(now)
+    parts = max(8, before[0] // ROWS)
     while True:
         # large star: every larger neighbour of a node is linked to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(now.join(least, "u").where("m < u").select("u", F.col("m").alias("v")))
-        large = _down(large)
+        large = _down(large.coalesce(parts)).coalesce(parts)
         # small star: all smaller neighbours of a node are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = written(_down(small), "links")
+        now = written(_down(small.coalesce(parts)).coalesce(parts), "links")
         after = mark(now)
         if after == before:
             break

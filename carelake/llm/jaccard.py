@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, gram_hashes, mix64, pick, written
+from carelake.llm.common import Words, gram_hashes, mix64, only_ids, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
-LEAST_SLOT_BITS, MOST_SLOT_BITS, SLOT_RANGES = 20, 26, 64
+LEAST_SLOT_BITS, MOST_SLOT_BITS, SLOT_RANGES = 20, 22, 64
 PARTITION_BYTES, FLUSH = 8 << 20, 2_000_000
-MOST_LIST, CHUNK, HUBS = 256, 1024, 8
+MOST_LIST, CHUNK, HUBS = 64, 4096, 8
 
 
 def shingles(words: Words, text: str | None, size: int = SIZE) -> np.ndarray:
@@ -179,14 +179,14 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
             counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
         if counts.any():
             yield pd.DataFrame({"id": None, "n": 0, "cls": 0, "range": np.arange(SLOT_RANGES),
-                                "counts": [counts[i * width: (i + 1) * width].tobytes() for i in range(SLOT_RANGES)]})
+                                "counts": [np.minimum(counts[i * width: (i + 1) * width], 65535).astype(np.uint16).tobytes() for i in range(SLOT_RANGES)]})
 
     table = written(rows.mapInPandas(read, "id long, n long, cls long, range int, counts binary"), "sets")
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for c in f["counts"]:
-            total += np.frombuffer(c, np.uint32)
+            total += np.frombuffer(c, np.uint16)
         return pd.DataFrame({"range": f["range"].iloc[:1], "total": total.sum(), "counts": [total.tobytes()]})
 
     summed = table.where("range >= 0").groupBy("range").applyInPandas(add, "range int, total long, counts binary")
@@ -281,8 +281,9 @@ def prefix_of_sql(n: str, similarity: int):
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """block, cls, asks, shingles (bytes): the sets of the classes wanted in blocks (cls, id, block, asks)."""
+    wanted = written(wanted, "wanted")
     jobs = wanted.groupBy("id", "cls").agg(F.collect_list(F.struct("block", "asks")).alias("blocks"))
-    texts = rows.join(jobs, "id")
+    texts = only_ids(rows, "id", wanted.select("id").distinct()).join(jobs, "id")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, out, held = Words(), [], 0
