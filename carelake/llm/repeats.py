@@ -35,7 +35,7 @@ from carelake.llm.common import Rolling, mix64, pick, written
 
 LENGTH = 400
 BLOCK_STARTS = 1 << 18
-SHARD_ROWS, MOST_GROUP = 20_000, 4096
+SHARD_ROWS, MOST_GROUP = 10_000, 4096
 SEGMENT = ["f", "h", "n", "a"]
 
 
@@ -240,7 +240,7 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
                     keys.append((key, th, len(part[0])))
                     parts.append(part)
                     held += len(part[0])
-                    if held > 100_000:
+                    if held > 50_000:
                         yield table()
                         held = 0
         if keys:
@@ -279,7 +279,7 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
                     for s, n in zip(row["s"][at: at + 4096].tolist(), row["n"][at: at + 4096].tolist(), strict=True):
                         cut_texts.append(data[s: s + n + length - 1])
                         size += n + length - 1
-                    if size > 8 << 20:
+                    if size > 4 << 20:
                         yield table()
                         size = 0
         if cut_texts:
@@ -319,36 +319,42 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     return starts.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
-def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group: int) -> DataFrame:
-    """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept."""
-    known = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_th", "_lo", "_hi")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in known],
+ROWS = 250
+
+
+def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group: int, decode: bool = False) -> DataFrame:
+    """The rows of ``docs`` (without their text) with n_bytes, n_removed, n_spans, kept: bytes, or text if ``decode``."""
+    known = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept", "_text", "_id", "_th", "_lo", "_hi")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in known], F.col(f"`{text}`").alias("_text"),
                         F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).cast("long").alias("_id"),
                         F.xxhash64(F.col(f"`{text}`"), F.length(F.col(f"`{text}`"))).alias("_th"))
-    spans = _spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col(f"`{text}`").alias("text")), length, most_group)
+    spans = _spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_text").alias("text")), length, most_group)
     spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"),
                          F.col("starts.lo").alias("_lo"), F.col("starts.hi").alias("_hi"))
 
+    def row(t: str | None, low: np.ndarray | None, high: np.ndarray | None) -> tuple:
+        data = np.frombuffer(_raw(t), np.uint8)
+        if low is None or not len(low):
+            return len(data), 0, 0, t if decode else data.tobytes()
+        step = np.zeros(len(data) + 1, np.int32)
+        np.add.at(step, low, 1)
+        np.add.at(step, high + (length - 1), -1)
+        gone = np.cumsum(step[:-1]) > 0
+        n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        kept = data[~gone].tobytes()
+        return len(data), int(gone.sum()), n_spans, kept.decode("utf-8", "ignore") if decode else kept
+
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for t, low, high in zip(f[text], f["_lo"], f["_hi"], strict=True):
-                data = np.frombuffer(_raw(t), np.uint8)
-                if low is None or not len(low):
-                    out.append((len(data), 0, 0, data.tobytes()))
-                    continue
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, low, 1)
-                np.add.at(step, high + (length - 1), -1)
-                gone = np.cumsum(step[:-1]) > 0
-                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
-            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            yield pd.concat([f[known].reset_index(drop=True), made], axis=1)
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in known)
+            for at in range(0, len(f), ROWS):
+                part = f.iloc[at: at + ROWS]
+                made = [row(t, low, high) for t, low, high in zip(part["_text"], part["_lo"], part["_hi"], strict=True)]
+                made = pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+                yield pd.concat([part[known].reset_index(drop=True), made], axis=1)
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in known)
     return keyed.join(spans, ["_id", "_th"], "left").mapInPandas(
-        drop, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+        drop, f"{kinds}n_bytes long, n_removed long, n_spans long, kept {'string' if decode else 'binary'}")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text",
@@ -363,14 +369,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     What a removed run leaves of a character at its edges goes too.
     """
-    found = _with_kept(docs, "doc_id", "text", length, MOST_GROUP)
-
-    def decode(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    cut = F.pandas_udf(decode, "string")(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.lit(b"")))
-    found = found.withColumn("cut", cut)
-    changed = F.col("n_removed") > 0
-    return found.select(*[F.when(changed, F.col("cut")).otherwise(F.col("text")).alias("text") if c == "text"
-                          else F.when(changed, F.length("cut").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
+    found = _with_kept(docs, "doc_id", "text", length, MOST_GROUP, decode=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[F.col("kept").alias("text") if c == "text" else n_chars.alias("n_chars") if c == "n_chars"
                           else F.col(f"`{c}`") for c in docs.columns])
