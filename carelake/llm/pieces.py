@@ -27,7 +27,7 @@ from carelake.llm.common import Rolling, pick
 from carelake.llm.tokens import BLOCK_CHARS, Encoder
 
 MARK = "▁"
-LONG_WORD, TOGETHER = 64, 20_000
+LONG_WORD, TOGETHER, ROWS = 64, 20_000, 250
 NONE = np.iinfo(np.int64).max
 UNKNOWN_PENALTY = 10.0
 
@@ -96,6 +96,7 @@ class PieceEncoder(Encoder):
     """Encodes texts to ids; one per Python worker and model."""
 
     _made: dict[str, PieceEncoder] = {}
+    most = 150_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -307,28 +308,46 @@ class PieceEncoder(Encoder):
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for at in range(0, len(f), ROWS):
+            yield f.iloc[at: at + ROWS]
+
+
 def encode(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every document."""
     path = model or model_path()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder.of(path)
-        for f in frames:
+        for f in _slices(frames):
             texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "ids": list(encoder.encode(texts))})
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "ids": list(encoder.encode(texts))})
 
     return pick(docs, doc_id=doc_id, text=text).mapInPandas(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str | None = None, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id, n_ids, ids_crc32, text of every encoded document."""
+    """doc_id, text of every encoded document."""
+    path = model or model_path()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = PieceEncoder.of(path)
+        for f in _slices(frames):
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "text": [encoder.decode(bytes(x) if x is not None else b"") for x in f["ids"]]})
+
+    return pick(encoded, doc_id=doc_id, ids=ids).mapInPandas(run, "doc_id long, text string")
+
+
+def round_trip(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32, text decoded from the ids, of every document: both ways in one pass."""
     path = model or model_path()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder.of(path)
-        for f in frames:
-            found = [bytes(x) if x is not None else b"" for x in f["ids"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_ids": [len(x) // 4 for x in found], "ids_crc32": [zlib.crc32(x) for x in found],
-                                "text": [encoder.decode(x) for x in found]})
+        for f in _slices(frames):
+            found = list(encoder.encode([t if isinstance(t, str) else "" for t in f["text"]]))
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "n_ids": [len(x) // 4 for x in found],
+                                "ids_crc32": [zlib.crc32(x) for x in found], "text": [encoder.decode(x) for x in found]})
 
-    return pick(encoded, doc_id=doc_id, ids=ids).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    return pick(docs, doc_id=doc_id, text=text).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, text string")

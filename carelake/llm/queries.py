@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded to pieces and decoded again: ids' count and crc32, the hash of the text that comes back."""
-    back = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+    back = pieces.round_trip(_table(spark, sf_dir, "documents"))
     return back.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

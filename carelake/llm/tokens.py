@@ -37,6 +37,7 @@ class Encoder:
     """Encodes texts to id bytes; one per Python worker and tokenizer file."""
 
     _made: dict[str, Encoder] = {}
+    most = MOST
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -152,7 +153,7 @@ class Encoder:
             yield ids[a:b].tobytes()
 
     def _look_up(self, keys: list[int], data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        if len(self.young) > MOST:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = [young.get(k) for k in keys]

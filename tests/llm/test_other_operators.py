@@ -96,7 +96,7 @@ def test_near_vectors(sp, monkeypatch, most):
         if (new == root).all():
             break
         root = new
-    got = near_vectors.near_vectors(df).toPandas().set_index("vec_id")
+    got = near_vectors.near_vectors(df).toPandas().set_index("vec_id").sort_index()
     assert len(got) == 606
     assert got["n_links"][:600].tolist() == link.sum(1).tolist() and got["component_id"][:600].tolist() == root.tolist()
     assert (got["n_links"][600:] == 0).all() and got["kept"][600:].all()

@@ -52,7 +52,11 @@ def test_pieces_equal_the_library_and_come_back(sp):
     plain = [t for t in texts if "▁" not in t]
     assert [encoder.decode(x) for x, t in zip(found, texts) if "▁" not in t] == plain
     rows = pieces.decode(pieces.encode(frame(sp, [None, "", "  two  spaces ", "é<s>\n"]))).collect()
-    assert {r["doc_id"]: r["text"] for r in rows} == {0: "", 1: "", 2: "  two  spaces ", 3: "é<s>\n"}
+    want = {0: "", 1: "", 2: "  two  spaces ", 3: "é<s>\n"}
+    assert {r["doc_id"]: r["text"] for r in rows} == want
+    both = pieces.round_trip(frame(sp, [None, "", "  two  spaces ", "é<s>\n"])).collect()
+    assert {r["doc_id"]: r["text"] for r in both} == want
+    assert [r["n_ids"] for r in sorted(both)] == [len(library.encode(want[i])) for i in range(4)]
 
 
 def test_viterbi_fold_finds_the_best_path():
