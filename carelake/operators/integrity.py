@@ -1,6 +1,6 @@
 """Declared integrity as whole-table check jobs (K1-K5).
 
-Each check scans each table once and returns a small report DataFrame with one
+Each check is one job over the tables it needs (K2 reads a table once per edge) and returns a small report DataFrame with one
 row per table / edge / column, so an empty problem list is still a visible row
 with a zero count.
 """
