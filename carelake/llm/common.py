@@ -55,13 +55,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 BITMAP_RANGES = 16
 
 
-def only_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``rows`` whose ``column`` may be among the single column of ``ids``: a filter before a join.
+def may_be_among(ids: DataFrame):
+    """A test for columns: may a value be among the single column of ``ids``?  False is certain.
 
     The ids become one bitmap of their hashes, 16 bits an id up to 16 MB in all, so what is
-    sent to the tasks is bounded; beyond that more rows pass, and the join still decides.
+    sent to the tasks is bounded; beyond that more values pass.  It goes before a join, which decides.
     """
-    spark = rows.sparkSession
+    spark = ids.sparkSession
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(ids.count(), 1))), 16, 27))
     width = bits // BITMAP_RANGES
 
@@ -90,7 +90,7 @@ def only_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         out[there] = (shared.value[at >> 3] >> (7 - (at & 7))) & 1
         return pd.Series(out)
 
-    return rows.where(F.pandas_udf(known, "boolean")(F.col(column)))
+    return F.pandas_udf(known, "boolean")
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, gram_hashes, mix64, only_ids, pick, written
+from carelake.llm.common import Words, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
@@ -247,24 +247,32 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
         key, owner, n = key[fresh], owner[fresh], n[fresh]
         first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
         length = np.diff(np.r_[first, len(key)])
-        left, right = [], []
+        every, who = np.unique(owner, return_inverse=True)
+        sizes = np.zeros(len(every), np.int64)
+        sizes[who] = n
+        codes = []  # a pair of owners as one number, kept with its count as soon as a block of lists is done
+        times = []
         for size_ in np.unique(length[(length > 1) & (length <= most_list)]):
             at = first[length == size_]
             i, j = np.triu_indices(int(size_), 1)
-            step = max(1, 4_000_000 // len(i))
+            step = max(1, 400_000 // len(i))
             for s in range(0, len(at), step):
-                x, y = (at[s: s + step, None] + i).ravel(), (at[s: s + step, None] + j).ravel()
-                fits = 100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
-                left.append(x[fits])
-                right.append(y[fits])
+                x, y = who[(at[s: s + step, None] + i).ravel()], who[(at[s: s + step, None] + j).ravel()]
+                fits = 100 * np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+                code, count = np.unique(x[fits] * len(every) + y[fits], return_counts=True)
+                codes.append(code)
+                times.append(count)
+        code, place = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]), return_inverse=True)
+        shared = np.bincount(place, np.concatenate([*times, np.zeros(0, np.int64)]), len(code)).astype(np.int64)
         # a star per long list, from its least member
         many = np.flatnonzero(length > most_list)
-        spoke = np.concatenate([np.arange(first[m] + 1, first[m] + length[m]) for m in many]) if len(many) else np.zeros(0, np.int64)
-        centre = np.repeat(first[many], length[many] - 1)
-        x, y = (np.concatenate([*c, s]).astype(np.int64) for c, s in ((left, centre), (right, spoke)))
-        weight = np.r_[np.ones(len(x) - len(spoke), np.int64), np.zeros(len(spoke), np.int64)]
-        out = pd.DataFrame({"a": owner[x], "b": owner[y], "na": n[x], "nb": n[y], "shared": weight, "star": 1 - weight})
-        return out.groupby(["a", "b", "na", "nb"], as_index=False).agg({"shared": "sum", "star": "max"})
+        spoke = np.concatenate([np.zeros(0, np.int64), *[np.arange(first[m] + 1, first[m] + length[m]) for m in many]])
+        star = np.unique(who[np.repeat(first[many], length[many] - 1)] * len(every) + who[spoke])
+        both = np.r_[code, star]
+        x, y = both // len(every), both % len(every)
+        return pd.DataFrame({"a": every[x], "b": every[y], "na": sizes[x], "nb": sizes[y],
+                             "shared": np.r_[shared, np.zeros(len(star), np.int64)],
+                             "star": np.r_[np.zeros(len(code), np.int64), np.ones(len(star), np.int64)]})
 
     lists = rows.mapInPandas(prefixes, "part int, keys binary, owners binary, sizes binary")
     found = lists.groupBy("part").applyInPandas(pairs, "a long, b long, na long, nb long, shared long, star long")
@@ -283,7 +291,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """block, cls, asks, shingles (bytes): the sets of the classes wanted in blocks (cls, id, block, asks)."""
     wanted = written(wanted, "wanted")
     jobs = wanted.groupBy("id", "cls").agg(F.collect_list(F.struct("block", "asks")).alias("blocks"))
-    texts = only_ids(rows, "id", wanted.select("id").distinct()).join(jobs, "id")
+    texts = rows.where(may_be_among(wanted.select("id").distinct())(F.col("id"))).join(jobs, "id")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, out, held = Words(), [], 0

@@ -10,7 +10,7 @@ every stage and stays null where a stage doesn't change it; an empty table passe
 from __future__ import annotations
 
 from carelake.llm import jaccard, packing, quality, repeats
-from carelake.llm.common import importable, written
+from carelake.llm.common import importable, may_be_among, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +37,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = _documents(docs)
     importable(spark)
     found = jaccard.jaccard_components(docs)
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
+    dropped = written(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
+    # only texts that may go are shuffled
+    at_risk = may_be_among(dropped)(F.col("doc_id"))
+    rest = docs.where(~at_risk).unionByName(docs.where(at_risk).join(dropped, "doc_id", "left_anti").select(*COLUMNS))
     # rows that share an id are one group as well: the least text stays
     several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        return rest
     single = rest.join(several, "doc_id", "left_anti")
     kept = rest.join(several, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
     return single.select(*COLUMNS).unionByName(kept.select("doc_id", "row.*"))
