@@ -4,13 +4,16 @@ Equal vectors are one vector with a count, so a group of copies costs one row.
 most ``SAMPLE`` unit vectors (smallest hashes of their ids) a coarse k-means and, on its
 residuals, one codebook per subspace are fitted.  Every vector is filed in the inverted list
 of its nearest centroid with its residual codes and the error that the codes make; it probes
-the ``PROBES`` nearest lists.  In a list, table look-ups give the distance to each coded
+every list that may hold a vector within the threshold's distance.  A list is passed over only
+where that distance is less than the vector's to the ball around the list's centroid that holds all its
+members, or to the half space of what is nearer to that centroid than to the vector's own; both lose
+nothing, whatever the number of lists.  In a list, table look-ups give the distance to each coded
 vector; a pair is dropped only if that distance less the coding error exceeds the
-threshold's distance, which loses nothing, and the rest is decided by the exact cosine in
-double precision.  A pair that meets in both lists is counted once for each side.
+threshold's distance, which loses nothing either, and the rest is decided by the exact cosine in
+double precision.  Of two lists only one probes the other, so a pair meets once and counts for both sides.
 
-Lists are compared in blocks of bounded size, and a block hands on each vector's number
-of links and the links of a spanning forest only, never all pairs.
+Lists share shelves of about ``MOST_MEMBERS`` vectors, which are compared in blocks of bounded size;
+a block hands on each vector's number of links and the links of a spanning forest only, never all pairs.
 
 Defined cases: see ``vectors.usable`` for vectors that link with nothing (they get a row of
 their own; null ids share one, with a null component); rows with equal ids are one
@@ -30,9 +33,11 @@ from carelake.llm.common import pick, written
 from carelake.llm.components import components
 from carelake.llm.vectors import blocks, matrix, sample_rows, usable
 
-SAMPLE, LIST_ROWS, MOST_LISTS, PROBES = 20_000, 256, 4096, 24
+SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES, ROUNDS = 16, 64, 8
 MOST_MEMBERS, MOST_PROBERS = 1024, 2048
+#: More than rounding can make of a distance or a cosine here.
+SLACK, CLOSE = 1e-6, 1e-9
 
 
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -55,6 +60,11 @@ def nearest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x to the rows of y."""
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
+
+
 class Quantiser:
     """Coarse centroids and the codebooks of the residuals' subspaces; of bounded size."""
 
@@ -74,13 +84,29 @@ class Quantiser:
         """Codes of the residuals and the length of what they miss."""
         rest = self.split(x - self.centres[lists])
         codes = np.stack([nearest(rest[:, s], book, 1)[:, 0] for s, book in enumerate(self.books)], 1)
-        made = np.stack([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
-        return codes.astype(np.uint8), np.sqrt(((rest - made) ** 2).sum((1, 2)))
+        return codes.astype(np.uint8), np.sqrt(((rest - self.decoded(codes)) ** 2).sum((1, 2)))
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that the codes stand for, by subspace."""
+        return np.stack([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per subspace: inner products of every code with the rows."""
+        rows = self.split(x)
+        return [book @ rows[:, s].T for s, book in enumerate(self.books)]
 
-    def tables(self, x: np.ndarray, one: int) -> list[np.ndarray]:
-        """Per subspace: squared distances of the rows' residuals in a list to every code."""
-        rest = self.split(x - self.centres[one])
-        return [((rest[:, s, None, :] - book[None]) ** 2).sum(2) for s, book in enumerate(self.books)]
+    def reached(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row, filed in list ``home``, probes each of the lists, and its squared distance to their centroids.
+
+        No list that holds a vector within ``reach`` is left out, but for the turn: of two lists one probes the other.
+        """
+        centres, own = self.centres[lists], home[:, None]
+        far = squared(x, centres)
+        at_home = ((x - self.centres[home]) ** 2).sum(1)[:, None]
+        gap = np.sqrt(squared(self.centres[home], centres))
+        near = (np.sqrt(far) <= radius[lists] + reach) & (far - at_home <= 2 * reach * gap + SLACK)
+        turn = (own == lists) | (((own + lists) % 2 == 0) == (own < lists))
+        return near & turn, far
 
 
 def forest(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,46 +148,85 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
             for at in range(0, len(f), 2048):
                 part = f.iloc[at: at + 2048]
                 x = unit(matrix(part["vector"]))
-                probes = nearest(x, quantiser.centres, min(PROBES, len(quantiser.centres)))
-                codes, missed = quantiser.encode(x, probes[:, 0])
-                yield part.assign(list=probes[:, 0], probes=list(probes), codes=[c.tobytes() for c in codes], missed=missed)
+                lists = nearest(x, quantiser.centres, 1)[:, 0]
+                codes, missed = quantiser.encode(x, lists)
+                away = np.sqrt(((x - quantiser.centres[lists]) ** 2).sum(1))
+                yield part.assign(list=lists, away=away, codes=[c.tobytes() for c in codes], missed=missed)
 
-    filed = written(classes.mapInPandas(file, "vector binary, vec_id long, copies long, list int, probes array<int>, "
+    filed = written(classes.mapInPandas(file, "vector binary, vec_id long, copies long, list int, away double, "
                                               "codes binary, missed double"), "filed")
-    left, right = blocks(filed, filed.select("vec_id", "vector", "copies", F.col("list").alias("home"), F.explode("probes").alias("list")),
-                         "list", MOST_MEMBERS, MOST_PROBERS)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    # at most MOST_LISTS rows; a list without members is never reached
+    radius, shelf = np.full(len(made.value.centres), -np.inf), np.zeros(len(made.value.centres), int)
+    held = np.zeros(len(radius), int)
+    for r in filed.groupBy("list").agg(F.max("away").alias("away"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["list"]], held[r["list"]] = r["away"], r["n"]
+    full = 0
+    for i in range(1, len(held)):
+        full += held[i - 1]
+        if full + held[i] > MOST_MEMBERS:
+            full, shelf[i] = 0, 1
+    first = np.r_[0, np.flatnonzero(shelf)]
+    shelf = np.cumsum(shelf)
+
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quantiser, lists = made.value, np.arange(len(radius))
+        for f in frames:
+            for at in range(0, len(f), 512):
+                part = f.iloc[at: at + 512]
+                may, _ = quantiser.reached(unit(matrix(part["vector"])), part["home"].to_numpy(), lists, radius, reach)
+                yield part.assign(shelves=[np.flatnonzero(row) for row in np.logical_or.reduceat(may, first, axis=1)])
+
+    probing = written(filed.select("vec_id", "vector", "copies", F.col("list").alias("home"))
+                      .mapInPandas(probe, "vec_id long, vector binary, copies long, home int, shelves array<int>"), "probing")
+    shelves = F.element_at(F.array(*map(F.lit, shelf.tolist())), F.col("list") + 1)
+    left, right = blocks(filed.drop("away").withColumn("shelf", shelves),
+                         probing.select("vec_id", "vector", "copies", "home", F.explode("shelves").alias("shelf")),
+                         "shelf", MOST_MEMBERS, MOST_PROBERS)
 
     def compare(members: pd.DataFrame, probers: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"vec_id": [], "links": [], "other": []}).astype("int64")
         if not len(members) or not len(probers):
             return out
-        quantiser, one = made.value, int(members["list"].iloc[0])
+        quantiser = made.value
         y, x = unit(matrix(members["vector"])), unit(matrix(probers["vector"]))
         codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), SUBSPACES)
+        listed, home = members["list"].to_numpy(), probers["home"].to_numpy()
         limit = (reach + members["missed"].to_numpy()) ** 2
         ids, others = probers["vec_id"].to_numpy(), members["vec_id"].to_numpy()
+        lists = np.unique(listed)
+        may, to_centre = quantiser.reached(x, home, lists, radius, reach)
+        tables, rest = quantiser.tables(x), quantiser.decoded(codes)
+        # the part of a look-up distance that has no look-up
+        fixed = (rest**2).sum((1, 2)) + 2 * (rest * quantiser.split(quantiser.centres[listed])).sum((1, 2))
         hits_a, hits_b = [], []
-        for at in range(0, len(x), 512):
-            far = np.zeros((len(x[at: at + 512]), len(y)))
-            for s, table in enumerate(quantiser.tables(x[at: at + 512], one)):
-                far += table[:, codes[:, s]]
-            a, b = np.nonzero((far <= limit) & (ids[at: at + 512, None] != others))
-            for part in range(0, len(a), 1 << 16):
-                pa, pb = a[part: part + (1 << 16)] + at, b[part: part + (1 << 16)]
+        for k, one in enumerate(lists):
+            some, rows = np.flatnonzero(listed == one), np.flatnonzero(may[:, k])
+            for at in range(0, len(rows), 512):
+                part = rows[at: at + 512]
+                products = np.zeros((len(some), len(part)))
+                for s, table in enumerate(tables):
+                    products += table[:, part][codes[some, s]]
+                mask = to_centre[part, k] + fixed[some, None] - 2 * products <= limit[some, None]
+                # within a list each of two vectors probes the other
+                mask &= (home[part] != one) | (ids[part] < others[some, None])
+                if np.count_nonzero(mask) > mask.size // 8:
+                    cosine = y[some] @ x[part].T
+                    close = mask & (np.abs(cosine - threshold) < CLOSE)
+                    b, a = np.nonzero(mask & ~close & (cosine >= threshold))
+                    hits_a.append(part[a])
+                    hits_b.append(some[b])
+                    mask = close
+                b, a = np.nonzero(mask)
+                pa, pb = part[a], some[b]
                 near = np.einsum("ij,ij->i", x[pa], y[pb]) >= threshold
                 hits_a.append(pa[near])
                 hits_b.append(pb[near])
         a, b = (np.concatenate(h) if h else np.zeros(0, int) for h in (hits_a, hits_b))
         if not len(a):
             return out
-        # does the member probe the prober's list too?  then that block counts the pair for the member
-        probed = np.zeros((len(members), len(quantiser.centres)), bool)
-        probed[np.arange(len(members))[:, None], np.stack(members["probes"].to_numpy())] = True
-        once = ~probed[b, probers["home"].to_numpy()[a]]
-        weight_a, weight_b = members["copies"].to_numpy()[b], probers["copies"].to_numpy()[a]
-        counts_a = np.bincount(a, weight_a, len(ids)).astype("int64")
-        counts_b = np.bincount(b[once], weight_b[once], len(others)).astype("int64")
+        counts_a = np.bincount(a, members["copies"].to_numpy()[b], len(ids)).astype("int64")
+        counts_b = np.bincount(b, probers["copies"].to_numpy()[a], len(others)).astype("int64")
         node, root = forest(ids, others, a, b)
         return pd.concat([
             pd.DataFrame({"vec_id": ids, "links": counts_a, "other": -1})[counts_a > 0],

@@ -103,6 +103,21 @@ def test_near_vectors(sp, monkeypatch, most):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_in_many_lists(sp, monkeypatch):
+    """All links of a group of near copies that fills many lists, and of pairs across lists, against all pairs."""
+    monkeypatch.setattr(near_vectors, "LIST_ROWS", 16)
+    r = np.random.default_rng(4)
+    n, d = 2400, 32
+    x = r.normal(size=(n, d))
+    x[:800] = x[0] / np.linalg.norm(x[0]) + 0.29 / np.sqrt(d) * r.normal(size=(800, d))
+    x[800:1200] = x[1200:1600] + 0.4 * r.normal(size=(400, d))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = near_vectors.near_vectors(sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert want[:800].sum() > 300_000 and want[800:].sum() > 400
+    assert got.toPandas().set_index("vec_id").sort_index()["n_links"].tolist() == want.tolist()
+
+
 def test_components(sp):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(0, i) for i in range(400, 450)] + [(7, 7), (None, 3)]
