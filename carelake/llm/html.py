@@ -11,7 +11,7 @@ what the layout says of it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  Labelling covers
 
 Defined cases: null or empty html gives empty text; a page without any block too; unclosed and
 misnested tags close as in browsers (a new block closes an open paragraph); a tag cut off by
-the end of the page is dropped; other columns are ignored.
+the end of the page is dropped; an svg ending in "/>" is closed, other elements aren't; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ LAYOUT_OUT = frozenset(
     "comment comments reply replies disqus widget toolbar copyright button select dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(>|\Z)", re.DOTALL)
+# A last "/" that belongs to an unquoted value closes nothing.
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"']*/\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
@@ -99,6 +101,8 @@ def read_blocks(page: str) -> list[Block]:
                 flush()
             close(tag)
             continue
+        if tag == "svg" and found.group(3).endswith("/") and not _UNQUOTED_END.search(found.group(3)):
+            continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}\s*>|\Z", re.IGNORECASE).search(page, at)
             if tag in BLOCK_TAGS:

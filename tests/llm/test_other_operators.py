@@ -159,6 +159,17 @@ def test_block_reader():
         ("a b c", ("div", "post", "body"), 0), ("x & y", ("div", "post", "body", "p"), 0), ("ztail l", ("div", "post", "body", "p"), 1)]
 
 
+def test_self_closed_icons(sp):
+    """A self-closed svg drops nothing after it; one with an end tag goes up to that; a slash in a value closes nothing."""
+    assert [b.text for b in html.read_blocks('<p>a<svg/>b<svg class="i" />c<SVG a=\'x=y\'/>d<svg>e</svg>f<svg w=1/>g</svg>h<p>i<script/>j')] == ["abcdfh", "i"]
+    pages = sp.read.parquet(f"{SF_ORACLE}/pages.parquet")
+    icons = pages.withColumn("html", F.regexp_replace("html", "(<nav[^>]*>|<h1[^>]*>|<p>)", "$1<svg class=\"icon\" viewBox=\"0 0 9 9\"/>"))
+    assert icons.where("html like '%<svg%'").count() == pages.count()
+    model = html.fit(pages)
+    rows = [{r["page_id"]: r["text"] for r in html.extract(p, model).collect()} for p in (pages, icons)]
+    assert rows[0] == rows[1]
+
+
 def test_quality(sp):
     docs, labels = (sp.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs.withColumn("score", F.lit(3)), labels).toPandas()
