@@ -6,8 +6,9 @@ and a few counts.  The network (numpy, trained here) reads the sequence both way
 labels each block as article or not; the blocks labelled article are the text.
 
 There are no hand-made labels.  Training pages are at most ``SAMPLE`` rows (smallest hashes of
-their ids), each as it is and again with its blocks put into other layouts; a block's label is
-what the layout says of it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  Labelling covers every page.
+their ids), each as it is and again with its blocks put into other layouts; all of their blocks are
+trained on, in sequences of at most ``LONGEST``; a block's label is what the layout says of
+it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  Labelling covers every page.
 
 Defined cases: null or empty html gives empty text; a page without any block too; unclosed and
 misnested tags close as in browsers (a new block closes an open paragraph); a tag cut off by
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import pick
 
-SAMPLE = 300
+SAMPLE, LONGEST = 300, 400
 PATH_DIM, WORD_DIM, COUNTS = 48, 8, 4
 HIDDEN, EPOCHS, BATCH, RATE = 16, 12, 32, 1e-2
 
@@ -293,9 +294,10 @@ def fit(pages: DataFrame, sample: int = SAMPLE, page_id: str = "page_id", html:
     rng, rows = np.random.default_rng(17), []
     # at most `sample` pages, each by its blocks' vectors only
     for page in chosen.toPandas()["html"]:
-        blocks = read_blocks(page)[:400]
-        for some in [blocks, *relayouts(blocks, rng)]:
-            if some:
+        blocks = read_blocks(page)
+        for layout in [blocks, *relayouts(blocks, rng)]:
+            for at in range(0, len(layout), LONGEST):
+                some = layout[at: at + LONGEST]
                 rows.append((vectors(some), np.array([layout_label(b.path) for b in some], float)))
     if not rows:
         return None

@@ -170,6 +170,18 @@ def test_self_closed_icons(sp):
     assert rows[0] == rows[1]
 
 
+def test_all_blocks_of_long_pages_train(sp, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html.Network, "train", lambda self, pages: seen.extend(pages))
+    page = "<div class='menu'>" + "<p>x</p>" * 450 + "</div>"
+    html.fit(sp.createDataFrame([(1, page), (2, page + page)], "page_id long, html string"))
+    assert sorted(len(labels) for _, labels in seen) == [50, 100, 400, 400, 400]
+    seen.clear()
+    html.fit(sp.createDataFrame([(1, page + "<article>" + "<p>y</p>" * 30 + "</article>")], "page_id long, html string"))
+    assert sum(labels[-30:].sum() for _, labels in seen) >= 30 and sum(len(labels) for _, labels in seen) > 480
+    assert max(len(labels) for _, labels in seen) <= html.LONGEST
+
+
 def test_quality(sp):
     docs, labels = (sp.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs.withColumn("score", F.lit(3)), labels).toPandas()
