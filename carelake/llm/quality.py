@@ -2,7 +2,7 @@
 
 * Every word is hashed to a bucket with a fixed sparse ternary *index vector*; its *context
   vector* is the sum of the index vectors of its neighbours (two on either side), counted
-  over the fitting sample and normalised.  A word's shape (its character classes, runs
+  over all documents and normalised.  A word's shape (its character classes, runs
   shortened) is hashed to index vectors of its own.
 * A document pools, over all of its words: the mean context vector, the mean shape vector,
   the mean product of neighbouring words' index vectors (large where words repeat), the
@@ -11,8 +11,8 @@
   a part of the sample that it was not trained on calibrates the probability.
 
 Fitting uses at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids);
-their pooled vectors and the context matrix, both of fixed size, meet in the driver.  Scoring
-covers every document.
+their pooled vectors and the context matrix, both of fixed size, meet in the driver.  The
+context matrix and scoring cover every document.
 
 Defined cases: null, empty or blank text pools to zeros and gets the score the network
 gives that; without labelled rows every score is 0.5; a document labelled twice counts
@@ -39,6 +39,7 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
 THRESHOLD = 0.3
 BLOCK_CHARS = 1 << 19
 MOST_CACHED = 400_000
+CONTEXT_WORDS, CONTEXT_TASKS = 1 << 16, 32
 
 
 def index_vectors(rows: int, seed: int) -> np.ndarray:
@@ -94,17 +95,19 @@ def word_codes(text: str) -> Iterator[np.ndarray]:
         at = end
 
 
-def _context(codes: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
-    words = codes // SHAPES
+def _context(runs: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
+    """Adds the context vectors of the words of several runs; the last row of ``index`` is zero and stands between them."""
+    gap = np.full(REACH, WORDS, np.uint16)
+    words = np.concatenate([part for codes in runs for part in ((codes // SHAPES).astype(np.uint16), gap)])
     vectors = index[words]
     near = np.zeros_like(vectors)
-    for d in range(1, min(REACH, len(words) - 1) + 1):
+    for d in range(1, REACH + 1):
         near[d:] += vectors[:-d]
         near[:-d] += vectors[d:]
     order = np.argsort(words, kind="stable")
     sorted_words = words[order]
     first = np.r_[0, np.flatnonzero(np.diff(sorted_words)) + 1]
-    into[sorted_words[first]] += np.add.reduceat(near[order], first)
+    into[sorted_words[first]] += np.add.reduceat(near[order], first, dtype=np.float64)
 
 
 FEATURES = 4 * DIM + 2
@@ -194,7 +197,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id",
         text: str = "text", label: str = "quality") -> Model | None:
-    """A model learnt from at most ``sample`` labelled rows outside the held-out fold."""
+    """A model learnt from the words of all documents and at most ``sample`` labelled rows outside the held-out fold."""
     marks = pick(labels, doc_id=doc_id, label=label).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.withColumn("turn", F.xxhash64("doc_id", F.lit("sample"))).orderBy("turn", "doc_id", "label").limit(sample)
     # at most `sample` ids and labels: small by its parameter
@@ -202,16 +205,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
             .select("turn", "doc_id", "text", F.col("label").cast("double").alias("label")))
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, total = index_vectors(WORDS, 1), np.zeros((WORDS, DIM))
+        index, total = np.concatenate([index_vectors(WORDS, 1), np.zeros((1, DIM), np.float32)]), np.zeros((WORDS + 1, DIM))
+        runs, held = [], 0
         for frame in frames:
             for t in frame["text"]:
                 for codes in word_codes(t or ""):
-                    _context(codes, index, total)
-        seen = np.flatnonzero(np.abs(total).sum(1))
+                    runs.append(codes)
+                    held += len(codes)
+                    if held >= CONTEXT_WORDS:
+                        _context(runs, index, total)
+                        runs, held = [], 0
+        if runs:
+            _context(runs, index, total)
+        seen = np.flatnonzero(np.abs(total[:WORDS]).sum(1))
         if len(seen):
             yield pd.DataFrame({"bucket": seen, "vector": list(total[seen])})
 
-    vectors = rows.mapInPandas(contexts, "bucket long, vector array<double>")
+    # a task hands on up to WORDS rows, so there are no more tasks than keep the cores busy
+    tasks = max(CONTEXT_TASKS, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    vectors = pick(docs, text=text).coalesce(tasks).mapInPandas(contexts, "bucket long, vector array<double>")
     summed = vectors.groupBy("bucket").agg(F.array(*[F.sum(F.col("vector")[i]) for i in range(DIM)]).alias("vector"))
     context = np.zeros((WORDS, DIM), np.float32)
     for row in summed.toPandas().itertuples():  # at most WORDS rows of DIM numbers

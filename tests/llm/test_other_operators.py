@@ -195,6 +195,23 @@ def test_quality(sp):
     assert quality.classify(odd.where("false"), labels).count() == 0
 
 
+def test_context_vectors_cover_all_documents(sp):
+    """Against counting word by word; most documents have no label."""
+    r = random.Random(9)
+    texts = [None, "", "One", *(" ".join(r.choice("a b c D e".split()) + str(i % 9) for _ in range(r.randint(1, 40))) for i in range(60))]
+    docs = sp.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(docs, sp.createDataFrame([(i, i % 2) for i in range(3, 12)], "doc_id long, quality long"))
+    index, want = quality.index_vectors(quality.WORDS, 1), np.zeros((quality.WORDS, quality.DIM))
+    for t in texts:
+        words = [c // quality.SHAPES for codes in quality.word_codes(t or "") for c in codes]
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                if j != i:
+                    want[w] += index[words[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.count_nonzero(np.abs(want).sum(1)) == 45 and np.allclose(model.context, want, atol=1e-5)
+
+
 def test_held_out_labels_are_not_read(sp):
     docs, labels = (sp.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
