@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, html, jaccard, lm, near_vectors, packing, pieces, quality, repeats
+from carelake.llm import ann, chat, exact, html, jaccard, lm, near_vectors, packing, pieces, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -71,6 +71,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(rows.unionByName(extra)))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group of equal texts."""
+    return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -82,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_lm_scoring": lm.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
+    "op11_exact_dedup": exact.ORACLE_SQL,
 }

@@ -19,7 +19,7 @@ SF_SMALL, SF_ORACLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 def test_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
 
 
@@ -65,7 +65,7 @@ def test_ann_recall_and_scores(sp):
         rows = rows.sort_values("rank")
         scores = x @ x[q]
         scores[q] = -np.inf
-        assert rows["rank"].tolist() == list(range(1, 11))
+        assert rows["rank"].tolist() == list(range(1, 14))
         assert np.allclose(scores[rows["vec_id"]], rows["score"], rtol=0, atol=1e-12)
         assert (np.diff(rows["score"]) <= 0).all()
         hits += len(set(rows["vec_id"]) & set(np.argsort(-scores)[:10]))
