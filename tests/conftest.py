@@ -10,9 +10,6 @@ for p in (ROOT, os.path.join(ROOT, "tests")):
 
 from carelake.session import local_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -297,7 +297,7 @@ def test_invariant_restrict_delete_keeps_foreign_keys(spark, seed):
 
 def test_invariant_revenue_sums_equal_dashboard(spark):
     from carelake.sources.adapter import clinic_tables
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     t = clinic_tables(spark, SF_SMALL)
     per_clinic = R.revenue_by_clinic(t).agg(F.sum("total_collected"), F.sum("total_outstanding"),
                                             F.sum("visits")).first()
