@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, exact, html, jaccard, lm, near_vectors, packing, pieces, quality, repeats
+from carelake.llm import ann, chat, exact, html, jaccard, lm, merkle, near_vectors, packing, pieces, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -76,6 +76,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents and the proof of each, a fifth of them tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.verified_proofs(*merkle.manifest(docs, merkle.lowered_fifth(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -88,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_lm_scoring": lm.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
     "op11_exact_dedup": exact.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
