@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import ann, chat, exact, html, jaccard, lm, merkle, near_vectors, packing, pieces, quality, repeats
+from carelake.llm import ann, chat, exact, html, jaccard, lexical, lm, merkle, near_vectors, packing, pieces, quality, repeats
 from carelake.llm.common import importable
 
 
@@ -76,6 +76,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of the highest lexical score of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Merkle manifest of all documents and the proof of each, a fifth of them tampered with."""
     docs = _table(spark, sf_dir, "documents")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -101,5 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_lm_scoring": lm.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
     "op11_exact_dedup": exact.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
