@@ -52,6 +52,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole-number columns as decimal text, for a way through pandas.
+
+    There a bigint column with a null becomes float64, which rounds above 2**53; text stays exact.
+    """
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in columns})
+
+
+def as_number(df: DataFrame, *columns: str) -> DataFrame:
+    """The way back from ``as_text``."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for c in columns})
+
+
 BITMAP_RANGES = 16
 
 

@@ -12,7 +12,8 @@ it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  Labelling covers every page.
 
 Defined cases: null or empty html gives empty text; a page without any block too; unclosed and
 misnested tags close as in browsers (a new block closes an open paragraph); a tag cut off by
-the end of the page is dropped; an svg ending in "/>" is closed, other elements aren't; other columns are ignored.
+the end of the page is dropped; an svg ending in "/>" is closed, other elements aren't; null and repeated ids are pages like any
+other; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import pick
+from carelake.llm.common import as_number, as_text, pick
 
 SAMPLE, LONGEST = 300, 400
 PATH_DIM, WORD_DIM, COUNTS = 48, 8, 4
@@ -330,4 +331,5 @@ def extract(pages: DataFrame, model: Network | None = None, page_id: str = "page
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts,
                                     "n_chars": [len(t) for t in texts]})
 
-    return pick(pages, page_id=page_id, url=url, html=html).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = as_text(pick(pages, page_id=page_id, url=url, html=html), "page_id")
+    return as_number(rows.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

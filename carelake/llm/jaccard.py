@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, gram_hashes, may_be_among, mix64, pick, written
+from carelake.llm.common import Words, as_number, as_text, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
@@ -181,7 +181,7 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
             yield pd.DataFrame({"id": None, "n": 0, "cls": 0, "range": np.arange(SLOT_RANGES),
                                 "counts": [np.minimum(counts[i * width: (i + 1) * width], 65535).astype(np.uint16).tobytes() for i in range(SLOT_RANGES)]})
 
-    table = written(rows.mapInPandas(read, "id long, n long, cls long, range int, counts binary"), "sets")
+    table = written(as_number(as_text(rows, "id").mapInPandas(read, "id string, n long, cls long, range int, counts binary"), "id"), "sets")
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)

@@ -14,7 +14,7 @@ then meet their documents again and sum.  A frequent n-gram is one entry per blo
 gathers more than that; every count covers every document.
 
 Defined cases: null, empty or blank text has no tokens, log_score 0 and a null mean; rows with
-equal ids are separate documents; an empty table gives no row; other columns are ignored.
+equal or null ids are separate documents; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from carelake.llm.common import Words, gram_hashes, pick, written
+from carelake.llm.common import Words, as_number, as_text, gram_hashes, pick, written
 
 ORDER, BACKOFF = 2, 0.4
 BLOCK_ROWS, PARTITION_BYTES = 4096, 8 << 20
@@ -129,11 +129,11 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
                 logs[n - 1:] = np.where(now > 0, np.log(np.maximum(now, 1) / np.maximum(context, 1)), np.log(BACKOFF) + logs[n - 1:])
                 shorter = now
             out[d] = logs.sum()
-        return pd.DataFrame({"doc_id": documents["doc_id"], "n_tokens": sizes, "log_score": out,
+        return pd.DataFrame({"doc_id": documents["doc_id"].to_numpy(), "n_tokens": sizes, "log_score": out,
                              "mean_log": [s / n if n else None for s, n in zip(out, sizes, strict=True)]})
 
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        total, "doc_id long, n_tokens long, log_score double, mean_log double")
+    return as_number(as_text(rows, "doc_id").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
+        total, "doc_id string, n_tokens long, log_score double, mean_log double"), "doc_id")
 
 
 ORACLE_SQL = r"""

@@ -15,8 +15,8 @@
    counts by (hash bucket, length), so a length that a third of all pieces share is
    ranked in many tasks.
 
-Defined cases: null text is empty (a single end id); an empty table gives no piece; equal
-doc_ids are ordered by their crc; other columns are ignored.
+Defined cases: null text is empty (a single end id); an empty table gives no piece; null and repeated
+ids are documents like any other, spread over the buckets by a number of the piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import pick, written
+from carelake.llm.common import as_number, as_text, pick, written
 from carelake.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 0
@@ -39,15 +39,15 @@ SMALL = 0.4
 #: Numbers of groups, each with the most room that a filled configuration may leave (None: any).
 TRIALS = ((24, None), (48, None), (96, None), (48, 64), (48, 16))
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 32
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenise(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of at most ``capacity`` ids: doc_id (as text), piece, start, length, ids_crc32, nth (its number in its task)."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.of(tokenizer)
+        encoder, nth = Encoder.of(tokenizer), 0
         for frame in frames:
             out: list[tuple] = []
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
@@ -56,11 +56,11 @@ def tokenise(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     size = (n - at) % capacity or capacity
-                    out.append((key, piece, at, size, zlib.crc32(ids[4 * at: 4 * (at + size)])))
-                    at, piece = at + size, piece + 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((key, piece, at, size, zlib.crc32(ids[4 * at: 4 * (at + size)]), nth))
+                    at, piece, nth = at + size, piece + 1, nth + 1
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return pick(docs, doc_id=doc_id, text=text).mapInPandas(cut, PIECES)
+    return as_text(pick(docs, doc_id=doc_id, text=text), "doc_id").mapInPandas(cut, PIECES + ", nth long")
 
 
 # --- the plan, from the histogram of lengths -----------------------------------------
@@ -243,7 +243,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(best_plan(histogram, capacity)))
     buckets = max(LEAST_BUCKETS, -(-sum(histogram.values()) // BUCKET_ROWS))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "nth"), F.lit(buckets)))
     counts = keyed.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # names of its own: both sides come from one table, whose columns Spark would otherwise confuse when it prunes them
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
 
     def place(rows: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "nth"], kind="stable")
         base = dict(zip(ranked["of_length"], ranked["ranked"], strict=True))
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         lengths = rows["length"].to_numpy()
@@ -262,7 +262,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             run = np.searchsorted(first_rank, rank, side="right") - 1
             sequence[a:b] = first_sequence[run] + rank - first_rank[run]
             offset[a:b] = at[run]
-        return rows.drop(columns="bucket").assign(sequence_id=sequence, offset=offset)
+        return rows.drop(columns=["bucket", "nth"]).assign(sequence_id=sequence, offset=offset)
 
-    return (keyed.groupBy("bucket").cogroup(offsets.groupBy("in_bucket"))
-            .applyInPandas(place, PIECES + ", sequence_id long, offset long"))
+    return as_number(keyed.groupBy("bucket").cogroup(offsets.groupBy("in_bucket"))
+                     .applyInPandas(place, PIECES + ", sequence_id long, offset long"), "doc_id")

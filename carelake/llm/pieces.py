@@ -10,7 +10,7 @@ for BPE models, whose result no path score gives.  Characters without a piece be
 Ids of frequent words are kept in a bounded cache.  ``decode`` inverts it.
 
 Defined cases: null or empty text has no ids; null or empty ids decode to empty text; an
-empty table gives no row; other columns are ignored.
+empty table gives no row; ids are carried as they are, null or repeated ones too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from carelake.llm.common import Rolling, pick
+from carelake.llm.common import Rolling, as_number, as_text, pick
 from carelake.llm.tokens import BLOCK_CHARS, Encoder
 
 MARK = "▁"
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", te
             texts = [t if isinstance(t, str) else "" for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "ids": list(encoder.encode(texts))})
 
-    return pick(docs, doc_id=doc_id, text=text).mapInPandas(run, "doc_id long, ids binary")
+    return as_number(as_text(pick(docs, doc_id=doc_id, text=text), "doc_id").mapInPandas(run, "doc_id string, ids binary"), "doc_id")
 
 
 def decode(encoded: DataFrame, model: str | None = None, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -336,7 +336,7 @@ def decode(encoded: DataFrame, model: str | None = None, doc_id: str = "doc_id",
         for f in _slices(frames):
             yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "text": [encoder.decode(bytes(x) if x is not None else b"") for x in f["ids"]]})
 
-    return pick(encoded, doc_id=doc_id, ids=ids).mapInPandas(run, "doc_id long, text string")
+    return as_number(as_text(pick(encoded, doc_id=doc_id, ids=ids), "doc_id").mapInPandas(run, "doc_id string, text string"), "doc_id")
 
 
 def round_trip(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,4 +350,5 @@ def round_trip(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id"
             yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "n_ids": [len(x) // 4 for x in found],
                                 "ids_crc32": [zlib.crc32(x) for x in found], "text": [encoder.decode(x) for x in found]})
 
-    return pick(docs, doc_id=doc_id, text=text).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    found = as_text(pick(docs, doc_id=doc_id, text=text), "doc_id").mapInPandas(run, "doc_id string, n_ids long, ids_crc32 long, text string")
+    return as_number(found, "doc_id")

@@ -24,7 +24,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of any 400-byte string that starts twice in the corpus."""
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_kept")
 
 
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

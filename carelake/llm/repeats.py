@@ -19,7 +19,7 @@ starts anywhere else in the corpus, the same document included.
 5. Repeated starts meet their documents again, which drop the bytes covered.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all; equal rows (same id
-and text) are each other's repeats; an empty table gives no row; other columns are ignored.
+and text, null ids too) are each other's repeats; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from carelake.llm.common import Rolling, mix64, pick, written
+from carelake.llm.common import Rolling, as_text, mix64, pick, written
 
 LENGTH = 400
 BLOCK_STARTS = 1 << 18
@@ -294,7 +295,8 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
         flags = repeated_starts(list(rows["text"]), rows["n"].to_numpy(), rows["a"].to_numpy(), length)
         flags[rows["c"].to_numpy() > 1] = False  # known already
         some = np.flatnonzero(flags.any(1))
-        return rows.iloc[some][SEGMENT].assign(runs=[[{"lo": x, "hi": y} for x, y in zip(*_runs(flags[i]), strict=True)] for i in some])
+        found = rows.iloc[some][SEGMENT]
+        return found.assign(runs=pd.Series([[{"lo": x, "hi": y} for x, y in zip(*_runs(flags[i]), strict=True)] for i in some], found.index, object))
 
     near = (shown.where(F.col("g") <= most_group).withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards)))
             .groupBy("shard").applyInPandas(resolve, runs))
@@ -314,7 +316,9 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     hot = (each.join(again, ["f", "w", "v"]).groupBy(*SEGMENT)
            .agg(F.collect_set(F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))).alias("runs")))
     resolved = twice.unionByName(near).unionByName(hot.select(twice.columns))
-    starts = found.join(resolved, SEGMENT).select("id", "th", F.transform(
+    # rows with equal id and text have equal segments: each once, whatever number of rows there are
+    own = found.dropDuplicates(["id", "th", "s", *SEGMENT])
+    starts = own.join(resolved, SEGMENT).select("id", "th", F.transform(
         "runs", lambda r: F.struct((F.col("s") + r["lo"]).alias("lo"), (F.col("s") + r["hi"]).alias("hi"))).alias("runs"))
     return starts.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
@@ -352,16 +356,19 @@ def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group:
                 made = pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept"])
                 yield pd.concat([part[known].reset_index(drop=True), made], axis=1)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in known)
-    return keyed.join(spans, ["_id", "_th"], "left").mapInPandas(
+    whole = {c: docs.schema[c].dataType for c in known if isinstance(docs.schema[c].dataType, T.IntegralType)}
+    kinds = "".join(f"`{c}` {'string' if c in whole else docs.schema[c].dataType.simpleString()}, " for c in known)
+    found = as_text(keyed.join(spans, ["_id", "_th"], "left"), *whole).mapInPandas(
         drop, f"{kinds}n_bytes long, n_removed long, n_spans long, kept {'string' if decode else 'binary'}")
+    return found.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in whole.items()})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text",
                    most_group: int = MOST_GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), n_kept (their number) of every document."""
     rows = pick(docs, doc_id=doc_id, text=text)
-    return _with_kept(rows, "doc_id", "text", length, most_group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    return _with_kept(rows, "doc_id", "text", length, most_group).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
