@@ -78,6 +78,21 @@ def normalized(x: ColumnOrName) -> Column:
     return F.lower(F.trim(_c(x)))
 
 
+# Collations that compare text as the original database's default does (letters
+# of either case are equal); None compares bytes.
+ANY_CASE = "UTF8_LCASE"
+
+
+def collated(x: ColumnOrName, collation: str | None) -> Column:
+    """Text compared, grouped, joined and ordered under a named collation; ``None`` leaves it binary."""
+    return _c(x) if collation is None else F.collate(_c(x).cast("string"), collation)
+
+
+def plain_text(x: ColumnOrName) -> Column:
+    """Collated text as binary text again, so that no collation leaves a report in its schema."""
+    return F.collate(_c(x), "UTF8_BINARY")
+
+
 def status_ladder(paid: ColumnOrName, total: ColumnOrName) -> Column:
     """Paid when paid reaches total, Partial when something is paid, else Unpaid."""
     p, t = _c(paid), _c(total)

@@ -24,6 +24,7 @@ from ..functions import expr as X
 from ..sources.schema import APPOINTMENT_STATUSES, FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LENGTHS
 from ..sources.tables import Tables, conform
 from . import validate as V
+from ..session import stored
 from .tableview import positions
 
 
@@ -31,10 +32,23 @@ class Changed:
     """Result of a change job: ``table`` (the new version of the changed table),
     ``accepted`` (what was applied) and ``rejected`` (batch rows refused, with an
     ``errors`` array).  A field may be given as a zero-argument function; it is then
-    built on first access, so asking only for ``rejected`` never assigns ids."""
+    built on first access, so asking only for ``rejected`` never assigns ids.
 
-    def __init__(self, table, accepted, rejected):
+    Where all three are drawn from one judged frame (base and batch merged by key in one join),
+    ``drawn_from`` is given instead; ``stored()`` then writes that frame once and draws them from there, so that
+    the base is read once for all three."""
+
+    def __init__(self, table=None, accepted=None, rejected=None, *, judged: DataFrame | None = None, drawn_from=None):
         self._parts = {"table": table, "accepted": accepted, "rejected": rejected}
+        self.judged, self._drawn_from = judged, drawn_from
+        if judged is not None:
+            self._parts = dict(zip(("table", "accepted", "rejected"), drawn_from(judged)))
+
+    def stored(self) -> "Changed":
+        """The same result, drawn from the judged frame as written to the shared folder."""
+        if self.judged is None:
+            return self
+        return Changed(judged=stored(self.judged, "judged"), drawn_from=self._drawn_from)
 
     def _get(self, name: str) -> DataFrame:
         v = self._parts[name]
@@ -63,10 +77,10 @@ def register_appointments(t: Tables, batch: DataFrame, high_water: int) -> Chang
 
     A blank status takes the declared default ``Scheduled``.
     """
-    text_cols = batch.columns
-    b = V.mark_existing(batch, V.parse_id("patient_id"), t.patient, "patient_id", "_has_patient")
-    b = V.mark_existing(b, V.parse_id("staff_id"), t.staff, "staff_id", "_has_staff")
-    b = V.mark_existing(b, V.parse_id("clinic_id"), t.clinic, "clinic_id", "_has_clinic")
+    text_cols, small = batch.columns, V.is_few(batch)
+    b = V.mark_existing(batch, V.parse_id("patient_id"), t.patient, "patient_id", "_has_patient", small)
+    b = V.mark_existing(b, V.parse_id("staff_id"), t.staff, "staff_id", "_has_staff", small)
+    b = V.mark_existing(b, V.parse_id("clinic_id"), t.clinic, "clinic_id", "_has_clinic", small)
     rules = [
         V.required_text("reason", "Reason"),
         V.max_length("reason", VARCHAR_LENGTHS[("appointment", "reason")], "Reason"),
@@ -103,30 +117,33 @@ def update_by_key(base: DataFrame, updates: DataFrame, key: str, columns: Sequen
     a NULL expectation means no guard.  Several updates of one key: the first
     (lowest ``seq``) applies, the rest are rejected.  Unknown keys and failed
     guards are rejected.  An update to NULL is applied (match flag, not coalesce).
+
+    Base and updates meet once, in a full outer join by key: the judged frame.  The new table, the
+    accepted and the refused rows are its three views; for one view Catalyst narrows the join to
+    the side and the columns that it needs.
     """
     upd_cols = updates.columns
     first = V.first_per_key(updates, key)
-    u = first.valid.select(F.col(key), *[F.col(c).alias(f"_upd_{c}") for c in upd_cols])
-    current = base.select(key, *[F.col(c).alias(f"_cur_{c}") for c in (expected or {})]).withColumn("_cur_present", F.lit(True))
-    probe = u.join(current, key, "left")
+    u = first.valid.select(F.col(key), *[F.col(c).alias(f"_upd_{c}") for c in upd_cols], F.lit(True).alias("_asked"))
+    judged = base.withColumn("_known", F.lit(True)).join(u, key, "full_outer")
     guard_ok = F.lit(True)
     for c, e in (expected or {}).items():
-        guard_ok = guard_ok & (F.col(f"_upd_{e}").isNull() | (F.col(f"_upd_{e}") == F.col(f"_cur_{c}")))
-    err = (F.when(F.col("_cur_present").isNull(), F.lit("id does not exist"))
+        guard_ok = guard_ok & (F.col(f"_upd_{e}").isNull() | F.coalesce(F.col(f"_upd_{e}") == F.col(c), F.lit(False)))
+    err = (F.when(F.col("_known").isNull(), F.lit("id does not exist"))
            .when(~guard_ok, F.lit("current value differs from the expected one")))
-    probe = probe.withColumn("_err", err)
-    applied = probe.where(F.col("_err").isNull()).select(
-        key, *[F.col(f"_upd_{c}").alias(f"_new_{c}") for c in columns], F.col("_upd_seq").alias("_seq"))
-    refused = probe.where(F.col("_err").isNotNull()).select(
-        *[F.col(f"_upd_{c}").alias(c) for c in upd_cols], F.array("_err").alias("errors"))
-    hit = applied.withColumn("_hit", F.lit(True))
-    joined = base.join(hit, key, "left")
-    matched = F.coalesce(F.col("_hit"), F.lit(False))
-    new = joined.select(*[F.when(matched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns
-                          else F.col(c) for c in base.columns])
-    accepted = applied.select(F.col("_seq").alias("seq"), key, *[F.col(f"_new_{c}").alias(c) for c in columns])
-    rejected = refused.unionByName(first.rejected.select(*upd_cols, "errors"))
-    return Changed(new, accepted, rejected)
+    judged = judged.withColumn("_err", F.when(F.col("_asked"), err))
+    late = first.rejected.select(*upd_cols, "errors")
+
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        hit = F.coalesce(F.col("_asked"), F.lit(False)) & F.col("_err").isNull()
+        new = judged.where("_known").select(*[F.when(hit, F.col(f"_upd_{c}")).otherwise(F.col(c)).alias(c) if c in columns
+                                              else F.col(c) for c in base.columns])
+        asked = judged.where("_asked")
+        accepted = asked.where(F.col("_err").isNull()).select(F.col("_upd_seq").alias("seq"), key, *[F.col(f"_upd_{c}").alias(c) for c in columns])
+        refused = asked.where(F.col("_err").isNotNull()).select(*[F.col(f"_upd_{c}").alias(c) for c in upd_cols], F.array("_err").alias("errors"))
+        return new, accepted, refused.unionByName(late)
+
+    return Changed(judged=judged, drawn_from=views)
 
 
 def change_status(appointment: DataFrame, status_in: DataFrame) -> Changed:
@@ -144,48 +161,61 @@ def change_status(appointment: DataFrame, status_in: DataFrame) -> Changed:
         "expected_status": V.blank_to_null("expected_status")})
     ch = update_by_key(appointment, checked.valid, "appointment_id", ["status"],
                        expected={"status": "expected_status"})
-    refused = ch.rejected.select(
-        "seq", F.col("appointment_id").cast("string").alias("appointment_id"), "status",
-        F.coalesce("expected_status", F.lit("")).alias("expected_status"), "errors")
-    return Changed(ch.table, ch.accepted,
-                   checked.rejected.select(*text_cols, "errors").unionByName(refused.select(*text_cols, "errors")))
+
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        new, accepted, refused = ch._drawn_from(judged)
+        refused = refused.select(
+            "seq", F.col("appointment_id").cast("string").alias("appointment_id"), "status",
+            F.coalesce("expected_status", F.lit("")).alias("expected_status"), "errors")
+        return new, accepted, checked.rejected.select(*text_cols, "errors").unionByName(refused.select(*text_cols, "errors"))
+
+    return Changed(judged=ch.judged, drawn_from=views)
 
 
 # ── C5 restock ──────────────────────────────────────────────────────────────
-def restock(medication: DataFrame, restock_in: DataFrame) -> Changed:
+MOST_STOCK = 2147483647
+
+
+def restock(medication: DataFrame, restock_in: DataFrame, collation: str | None = None) -> Changed:
     """Add positive quantities to stock; several rows per medication are summed first.
 
     The batch names a medication by ``medication_id`` or, if it has no such
-    column, by ``medication_name`` (every medication of that name is restocked).
+    column, by ``medication_name`` (every medication of that name is restocked; names
+    are equal under the ``collation``).  Deliveries summed per medication meet the table once.
     """
     text_cols = restock_in.columns
     if "medication_id" not in text_cols:
-        names = medication.select(F.col("medication_name").alias("_name"),
+        names = medication.select(X.collated("medication_name", collation).alias("_name"),
                                   F.col("medication_id").cast("string").alias("medication_id"))
-        restock_in = (restock_in.join(names, V.stripped("medication_name") == names["_name"], "left")
-                      .drop("_name"))
-    b = V.mark_existing(restock_in, V.parse_id("medication_id"), medication,
-                        "medication_id", "_has_med")
-    rules = [V.positive_int("quantity", "Quantity"), V.reference_exists("_has_med", "Medication")]
-    checked = V.validate(b.withColumn("_row", F.struct(*text_cols)), rules,
-                         {"medication_id": V.parse_id("medication_id"), "quantity": V.parse_int("quantity")}, keep=("seq", "_row"))
-    summed = checked.valid.groupBy("medication_id").agg(
-        F.sum("quantity").alias("added"), F.count(F.lit(1)).alias("deliveries"))
-    stock = medication.select("medication_id", F.col("stock_quantity").cast("long").alias("_stock"))
-    fits = F.col("_stock") + F.col("added") <= F.lit(2147483647)
-    judged = summed.join(stock, "medication_id")
-    per_med = judged.where(fits).drop("_stock")
-    over = (checked.valid.join(judged.where(~fits).select("medication_id"), "medication_id", "left_semi")
-            .select("_row.*", F.array(F.lit("Stock would exceed its limit")).alias("errors")))
-    joined = medication.join(per_med, "medication_id", "left")
-    new = joined.select(*[(F.col("stock_quantity") + F.coalesce(F.col("added"), F.lit(0))).cast("int")
-                          .alias("stock_quantity") if c == "stock_quantity" else F.col(c)
-                          for c in medication.columns])
-    accepted = (per_med.join(medication.select("medication_id", F.col("stock_quantity").alias("stock_before")),
-                             "medication_id")
-                .select("medication_id", "deliveries", F.col("added").cast("long").alias("added"),
-                        "stock_before", (F.col("stock_before") + F.col("added")).cast("int").alias("stock_after")))
-    return Changed(new, accepted, checked.rejected.select(*text_cols, "errors").unionByName(over.select(*text_cols, "errors")))
+        asked = restock_in.withColumn("_asked", X.collated(V.stripped("medication_name"), collation))
+        restock_in = asked.join(names, asked["_asked"] == names["_name"], "left").drop("_asked", "_name")
+    rows = restock_in.withColumn("_id", V.parse_id("medication_id")).withColumn("_quantity", V.parse_int("quantity"))
+    counts = F.col("_quantity") > 0
+    summed = rows.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("medication_id")).agg(
+        F.sum(F.when(counts, F.col("_quantity"))).alias("_added"), F.count_if(counts).alias("_deliveries"))
+    judged = medication.withColumn("_known", F.lit(True)).join(summed, "medication_id", "full_outer")
+    after = F.col("stock_quantity").cast("long") + F.coalesce("_added", F.lit(0))
+    judged = judged.withColumn("_over", F.col("_known") & (after > MOST_STOCK))
+    message, bad = V.positive_int("quantity", "Quantity")
+
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        known = judged.where("_known")
+        new = known.select(*[F.when(F.col("_over"), F.col(c)).otherwise(after).cast("int").alias(c) if c == "stock_quantity"
+                             else F.col(c) for c in medication.columns])
+        accepted = known.where((F.col("_deliveries") > 0) & ~F.col("_over")).select(
+            "medication_id", F.col("_deliveries").alias("deliveries"), F.col("_added").cast("long").alias("added"),
+            F.col("stock_quantity").alias("stock_before"), after.cast("int").alias("stock_after"))
+        state = judged.where(F.col("_deliveries").isNotNull()).select(
+            F.col("medication_id").alias("_id"), F.coalesce("_known", F.lit(False)).alias("_has"), "_over")
+        held = rows.join(state, "_id", "left")
+        rules = [(message, bad), ("Medication does not exist", ~F.coalesce("_has", F.lit(False)))]
+        errors = V.errors_column(rules)
+        over = F.when((F.size("_errors") == 0) & F.coalesce("_over", F.lit(False)),
+                      F.array(F.lit("Stock would exceed its limit"))).otherwise(F.col("_errors"))
+        refused = held.withColumn("_errors", errors).select(*text_cols, over.alias("errors")).where(F.size("errors") > 0)
+        return new, accepted, refused
+
+    return Changed(judged=judged, drawn_from=views)
 
 
 # ── C6 create bills ─────────────────────────────────────────────────────────
@@ -193,29 +223,40 @@ def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
     """Bills for unbilled appointments only; the patient comes from the appointment.
 
     total > 0, 0 <= paid <= total, status by the ladder; a second row for one
-    appointment in the batch is rejected (the lowest ``seq`` wins).
+    appointment in the batch is rejected (the lowest ``seq`` wins).  What the batch has to know of an appointment
+    (does it exist, whose is it, has it a bill) comes from one aggregation over appointments, bills and batch.
     """
     text_cols = bill_in.columns
-    appt_id = V.parse_id("appointment_id")
-    b = V.mark_existing(bill_in, appt_id, t.appointment, "appointment_id", "_has_appt")
-    b = V.mark_existing(b, appt_id, t.bill, "appointment_id", "_billed")
     paid_text = F.when(V.stripped("amount_paid") == "", F.lit("0")).otherwise(F.col("amount_paid"))
-    b = b.withColumn("_paid_text", paid_text)
+    b = (bill_in.withColumn("_row", F.struct(*text_cols)).withColumn("_id", V.parse_id("appointment_id")).withColumn("_paid_text", paid_text))
+    ids = b.select("_id").where("_id is not null")
+    parts = [(t.appointment, "appointment_id", F.col("patient_id"), 1), (t.bill, "appointment_id", None, 2)]
+    tagged = [df.select(F.col(k).alias("_id"), (F.lit(None).cast("long") if p is None else p).alias("_patient"), F.lit(r).alias("_roles"))
+              for df, k, p, r in parts]
+    if V.is_few(bill_in):
+        tagged = [df.join(F.broadcast(ids), "_id", "left_semi") for df in tagged]
+    else:
+        tagged.append(ids.select("_id", F.lit(None).cast("long").alias("_patient"), F.lit(4).alias("_roles")))
+    union = tagged[0]
+    for part in tagged[1:]:
+        union = union.unionByName(part)
+    state = union.groupBy("_id").agg(F.max("_patient").alias("patient_id"), F.bit_or("_roles").alias("_roles"))
+    if len(tagged) > 2:
+        state = state.where(F.col("_roles") >= 4)
+    b = b.join(state, "_id", "left").withColumn("_roles", F.coalesce("_roles", F.lit(0)))
     rules = [
-        V.reference_exists("_has_appt", "Appointment"),
-        ("Appointment already has a bill", F.col("_billed")),
+        ("Appointment does not exist", F.col("_roles").bitwiseAND(1) == 0),
+        ("Appointment already has a bill", F.col("_roles").bitwiseAND(2) != 0),
         V.amount("total_amount", "Total Amount", positive=True),
         V.amount("_paid_text", "Amount Paid"),
         V.not_above(V.parse_amount("_paid_text"), V.parse_amount("total_amount"), "Paid cannot exceed total"),
         V.required_date("bill_date", "Bill Date"),
     ]
-    b = b.withColumn("_row", F.struct(*text_cols))
     checked = V.validate(b, rules, {
-        "appointment_id": appt_id, "total_amount": V.parse_amount("total_amount"),
+        "appointment_id": F.col("_id"), "patient_id": F.col("patient_id"), "total_amount": V.parse_amount("total_amount"),
         "amount_paid": V.parse_amount("_paid_text"), "bill_date": V.parse_date("bill_date")}, keep=("seq", "_row"))
     once = V.first_per_key(checked.valid, "appointment_id")
-    with_patient = once.valid.join(t.appointment.select("appointment_id", "patient_id"), "appointment_id")
-    priced = with_patient.drop("_row").withColumn(
+    priced = once.valid.drop("_row").withColumn(
         "payment_status", F.when(F.col("amount_paid") == F.col("total_amount"), "Paid")
         .when(F.col("amount_paid") > 0, "Partial").otherwise("Unpaid"))
     dup = once.rejected.select("_row.*", "errors").select(*text_cols, "errors")
@@ -232,35 +273,37 @@ def apply_payments(bill: DataFrame, payment_in: DataFrame) -> Changed:
     Only open bills (total > paid) take payments; amounts must be > 0 (NaN and
     infinities refused).  All payments of a bill are summed first: since each is
     positive, capping once equals capping after each.  The excess over the total
-    is reported as ``unapplied``.
+    is reported as ``unapplied``.  The sums meet the bills once, in a full outer join: the judged frame.
     """
     text_cols = payment_in.columns
-    bid = V.parse_id("bill_id")
-    open_bills = bill.where(F.col("total_amount") > F.col("amount_paid"))
-    b = V.mark_existing(payment_in, bid, bill, "bill_id", "_has_bill")
-    b = V.mark_existing(b, bid, open_bills, "bill_id", "_is_open")
-    rules = [V.amount("amount", "Payment", positive=True),
-             V.reference_exists("_has_bill", "Bill"),
-             ("Bill is already paid", F.col("_has_bill") & ~F.col("_is_open"))]
-    checked = V.validate(b, rules, {"bill_id": bid, "amount": V.parse_amount("amount")})
-    per_bill = checked.valid.groupBy("bill_id").agg(
-        F.sum("amount").alias("paid_now"), F.count(F.lit(1)).alias("payments"))
-    touched = bill.join(per_bill, "bill_id")
-    new_paid = F.least(F.col("total_amount"), F.col("amount_paid") + F.col("paid_now")).cast("decimal(10,2)")
-    accepted = touched.select(
-        "bill_id", "payments", F.col("paid_now").cast("decimal(20,2)").alias("paid_now"),
-        F.col("amount_paid").alias("paid_before"), new_paid.alias("paid_after"),
-        (F.col("amount_paid") + F.col("paid_now") - new_paid).cast("decimal(20,2)").alias("unapplied"),
-        X.status_ladder(new_paid, F.col("total_amount")).alias("payment_status"))
-    upd = accepted.select("bill_id", F.col("paid_after").alias("_paid"),
-                          F.col("payment_status").alias("_status"))
-    joined = bill.join(upd, "bill_id", "left")
-    hit = F.col("_paid").isNotNull()
-    new = joined.select(*[
-        F.when(hit, F.col("_paid")).otherwise(F.col(c)).alias(c) if c == "amount_paid" else
-        F.when(hit, F.col("_status")).otherwise(F.col(c)).alias(c) if c == "payment_status" else
-        F.col(c) for c in bill.columns])
-    return Changed(new, accepted, checked.rejected.select(*text_cols, "errors"))
+    rows = payment_in.withColumn("_id", V.parse_id("bill_id")).withColumn("_amount", V.parse_amount("amount"))
+    counts = F.col("_amount") > 0
+    summed = rows.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("bill_id")).agg(
+        F.sum(F.when(counts, F.col("_amount"))).alias("_paid_now"), F.count_if(counts).alias("_payments"))
+    is_open = F.col("total_amount") > F.col("amount_paid")
+    judged = bill.withColumn("_known", F.lit(True)).join(summed, "bill_id", "full_outer")
+    message, bad = V.amount("amount", "Payment", positive=True)
+
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        known = judged.where("_known")
+        hit = F.coalesce((F.col("_payments") > 0) & is_open, F.lit(False))
+        new_paid = F.least(F.col("total_amount"), F.col("amount_paid") + F.col("_paid_now")).cast("decimal(10,2)")
+        status = X.status_ladder(new_paid, F.col("total_amount"))
+        changed = {"amount_paid": new_paid, "payment_status": status}
+        new = known.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in bill.columns])
+        accepted = known.where(hit).select(
+            "bill_id", F.col("_payments").alias("payments"), F.col("_paid_now").cast("decimal(20,2)").alias("paid_now"),
+            F.col("amount_paid").alias("paid_before"), new_paid.alias("paid_after"),
+            (F.col("amount_paid") + F.col("_paid_now") - new_paid).cast("decimal(20,2)").alias("unapplied"),
+            status.alias("payment_status"))
+        state = judged.where(F.col("_payments").isNotNull()).select(
+            F.col("bill_id").alias("_id"), F.coalesce("_known", F.lit(False)).alias("_has"), F.coalesce(is_open, F.lit(False)).alias("_open"))
+        held = rows.join(state, "_id", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+        rules = [(message, bad), ("Bill does not exist", ~F.col("_has")), ("Bill is already paid", F.col("_has") & ~F.col("_open"))]
+        refused = held.withColumn("errors", V.errors_column(rules)).where(F.size("errors") > 0).select(*text_cols, "errors")
+        return new, accepted, refused
+
+    return Changed(judged=judged, drawn_from=views)
 
 
 # ── C8 / C9 deletes ─────────────────────────────────────────────────────────
@@ -270,37 +313,21 @@ def delete_restrict(t: Tables, table: str, delete_in: DataFrame,
 
     Each requested id is ``deleted``, ``blocked`` (a child row references it),
     ``guard failed`` or ``not found``.  ``table`` of the result is the parent
-    without the deleted rows.
+    without the deleted rows.  One aggregation over the tagged union of requests, parent and all
+    children gives each key's role bits, whatever the number of children.
     """
     key = PRIMARY_KEYS[table]
     base = t[table]
     req = delete_in.select("seq", F.col("id").alias("id_text"), V.parse_id("id").alias(key))
-    found = req.join(V.keys_present(base, key, req, key, alias=key), key, "left_semi")
-    blocked_by = None
-    for child, fk, parent in FOREIGN_KEYS:
-        if parent != table:
-            continue
-        # distinct referencing keys (map-side reduced, so a hot parent costs no skew),
-        # restricted to the requested ids when the request is small
-        refs = V.keys_present(t[child], fk, req, key, alias=key)
-        hit = req.join(refs, key, "left_semi").select("seq")
-        blocked_by = hit if blocked_by is None else blocked_by.unionByName(hit)
-    status = req.join(found.select("seq").withColumn("_f", F.lit(True)), "seq", "left")
-    if blocked_by is not None:
-        status = status.join(blocked_by.distinct().withColumn("_b", F.lit(True)), "seq", "left")
-    else:
-        status = status.withColumn("_b", F.lit(None).cast("boolean"))
-    if guard:
-        ok = V.keys_present(base.where(F.col(guard[0]) == F.lit(guard[1])), key, req, key, alias=key)
-        status = status.join(ok.withColumn("_g", F.lit(True)), key, "left")
-    else:
-        status = status.withColumn("_g", F.lit(True))
-    outcome = (F.when(F.col("_f").isNull(), "not found")
-               .when(F.col("_g").isNull(), "guard failed")
-               .when(F.col("_b").isNotNull(), "blocked")
-               .otherwise("deleted"))
-    report = status.select("seq", F.col("id_text").alias("id"), outcome.alias("outcome"))
-    deleted_ids = status.where(outcome == "deleted").select(key)
+    guarded = F.lit(3) if guard is None else F.when(F.col(guard[0]) == F.lit(guard[1]), 3).otherwise(1)
+    parts = [(base, F.col(key), guarded), (req, F.col(key), 8)]
+    parts += [(t[child], F.col(fk), 4) for child, fk, parent in FOREIGN_KEYS if parent == table]
+    few = req.select(key).where(F.col(key).isNotNull()) if V.is_few(delete_in) else None
+    has = lambda bit: F.coalesce(F.col("roles").bitwiseAND(bit), F.lit(0)) != 0
+    judged = V.roles_of_keys(parts, key, few).where(has(8))
+    outcome = (F.when(~has(1), "not found").when(~has(2), "guard failed").when(has(4), "blocked").otherwise("deleted"))
+    report = req.join(judged, key, "left").select("seq", F.col("id_text").alias("id"), outcome.alias("outcome"))
+    deleted_ids = judged.where(outcome == "deleted").select(key)
     new = base.join(deleted_ids, key, "left_anti")
     rejected = report.where(F.col("outcome") != "deleted").select(
         "seq", "id", F.array("outcome").alias("errors"))

@@ -153,10 +153,10 @@ def check_form(t: Tables, table: str, batch: DataFrame, with_key: bool = False)
     """Validate a batch of typed-in rows of ``table`` (plus its id when ``with_key``)."""
     fields = FORMS[table]
     text_cols = batch.columns
-    b = batch
+    b, small = batch, any(f.kind == "ref" for f in fields) and V.is_few(batch)
     for f in fields:
         if f.kind == "ref":
-            b = V.mark_existing(b, field_value(table, f), t[f.parent], PRIMARY_KEYS[f.parent], _flag(f))
+            b = V.mark_existing(b, field_value(table, f), t[f.parent], PRIMARY_KEYS[f.parent], _flag(f), small)
     rules: list[V.Rule] = []
     typed: dict[str, Column] = {}
     key = PRIMARY_KEYS[table]
@@ -188,7 +188,11 @@ def update_rows(t: Tables, table: str, batch: DataFrame) -> Changed:
     key = PRIMARY_KEYS[table]
     cols = [f.name for f in FORMS[table]]
     ch = update_by_key(t[table], checked.valid, key, cols)
-    refused = ch.rejected.select("_row.*", "errors").select(*batch.columns, "errors")
-    accepted = ch.accepted.select("seq", *[F.col(c).cast(t[table].schema[c].dataType).alias(c)
-                                           for c in [key, *cols]])
-    return Changed(conform(ch.table, table), accepted, checked.rejected.unionByName(refused))
+
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        new, accepted, refused = ch._drawn_from(judged)
+        refused = refused.select("_row.*", "errors").select(*batch.columns, "errors")
+        accepted = accepted.select("seq", *[F.col(c).cast(t[table].schema[c].dataType).alias(c) for c in [key, *cols]])
+        return conform(new, table), accepted, checked.rejected.unionByName(refused)
+
+    return Changed(judged=ch.judged, drawn_from=views)

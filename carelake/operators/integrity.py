@@ -1,6 +1,6 @@
 """Declared integrity as whole-table check jobs (K1-K5).
 
-Each check is one job over the tables it needs (K2 reads a table once per edge) and returns a small report DataFrame with one
+Each check is one job over the tables it needs and returns a small report DataFrame with one
 row per table / edge / column, so an empty problem list is still a visible row
 with a zero count.
 """
@@ -46,12 +46,49 @@ def orphans(t: Tables, child: str, fk: str, parent: str) -> DataFrame:
     return t[child].join(keys, fk, "left_anti")
 
 
+def edges_of(parent: str) -> list[tuple[str, str]]:
+    """(child table, child column) of the foreign keys that point at ``parent``, in declared order."""
+    return [(c, fk) for c, fk, p in FOREIGN_KEYS if p == parent]
+
+
+MOST_EDGES = max(len(edges_of(p)) for p in TABLES)
+
+
+def key_audit(t: Tables) -> DataFrame:
+    """Every key value of every parent with its uses: parent_table, key, parent_rows, refs_1, refs_2.
+
+    Each table is scanned once and gives a tagged row per key column; one aggregation over
+    the union counts the roles of a key, reduced before the one shuffle, so a parent that a third of all rows
+    name is one row per task.  ``refs_i`` counts the rows of the parent's i-th edge (``edges_of``).
+    """
+    parts = []
+    for name in TABLES:
+        uses = [(name, PRIMARY_KEYS[name], 0)]
+        uses += [(p, fk, edges_of(p).index((c, fk)) + 1) for c, fk, p in FOREIGN_KEYS if c == name]
+        tagged = [F.struct(F.lit(p).alias("parent_table"), F.col(c).cast("long").alias("key"), F.lit(role).alias("role")) for p, c, role in uses]
+        parts.append(t[name].select(F.inline(F.array(*tagged))))
+    refs = [F.count_if(F.col("role") == i + 1).alias(f"refs_{i + 1}") for i in range(MOST_EDGES)]
+    return _union(parts).groupBy("parent_table", "key").agg(F.count_if(F.col("role") == 0).alias("parent_rows"), *refs)
+
+
+def orphan_keys(t: Tables) -> DataFrame:
+    """The key values that child rows name but no parent row has (NULL too): one row per edge and value, with its rows."""
+    lost = key_audit(t).where(F.col("key").isNull() | (F.col("parent_rows") == 0))
+    edges = [F.when(F.col("parent_table") == p, F.struct(F.lit(c).alias("child_table"), F.lit(fk).alias("child_column"),
+                                                         F.col(f"refs_{edges_of(p).index((c, fk)) + 1}").alias("orphan_rows")))
+             for c, fk, p in FOREIGN_KEYS]
+    return lost.select("parent_table", "key", F.inline(F.array_compact(F.array(*edges)))).where("orphan_rows > 0").select(
+        "child_table", "child_column", "parent_table", "key", "orphan_rows")
+
+
 def foreign_key_orphans(t: Tables) -> DataFrame:
-    """K2: orphan row count for each of the declared foreign-key edges."""
-    parts = [orphans(t, c, fk, p).agg(
-        F.lit(c).alias("child_table"), F.lit(fk).alias("child_column"), F.lit(p).alias("parent_table"),
-        F.count(F.lit(1)).alias("orphan_rows")) for c, fk, p in FOREIGN_KEYS]
-    return _union(parts)
+    """K2: orphan row count for each of the declared foreign-key edges (a NULL reference counts), from one audit of all keys."""
+    lost = F.col("key").isNull() | (F.col("parent_rows") == 0)
+    sums = [F.coalesce(F.sum(F.when(lost & (F.col("parent_table") == p), F.col(f"refs_{edges_of(p).index((c, fk)) + 1}"))), F.lit(0)).alias(f"n{i}")
+            for i, (c, fk, p) in enumerate(FOREIGN_KEYS)]
+    rows = ", ".join(f"'{c}', '{fk}', '{p}', n{i}" for i, (c, fk, p) in enumerate(FOREIGN_KEYS))
+    return key_audit(t).agg(*sums).select(F.expr(
+        f"stack({len(FOREIGN_KEYS)}, {rows}) AS (child_table, child_column, parent_table, orphan_rows)"))
 
 
 def null_violations(t: Tables) -> DataFrame:

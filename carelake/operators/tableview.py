@@ -45,20 +45,27 @@ def search(df: DataFrame, term: str | None, columns: Sequence[str] | None = None
     return df.where(search_predicate(df, term, columns))
 
 
-def facet_predicate(column: str, value: str | None) -> Column:
-    """T2 predicate: case-insensitive equality of the cell text; ``All`` keeps every row."""
+def facet_predicate(column: str, value: str | None, collation: str | None = None) -> Column:
+    """T2 predicate: case-insensitive equality of the cell text; ``All`` keeps every row.
+
+    With a ``collation`` the cell equals the value under its rules instead (for example
+    ``UNICODE_CI_AI``, which ignores accents too).
+    """
     if value is None or value == ALL:
         return F.lit(True)
-    return F.lower(X.null_text(F.col(f"`{column}`"))) == F.lit(value.lower())
+    cell = X.null_text(F.col(f"`{column}`"))
+    if collation is not None:
+        return X.collated(cell, collation) == X.collated(F.lit(value), collation)
+    return F.lower(cell) == F.lit(value.lower())
 
 
-def facet(df: DataFrame, column: str, value: str | None) -> DataFrame:
+def facet(df: DataFrame, column: str, value: str | None, collation: str | None = None) -> DataFrame:
     """Facet filter on one column."""
-    return df.where(facet_predicate(column, value))
+    return df.where(facet_predicate(column, value, collation))
 
 
-def sort_keys(column: str) -> tuple[Column, Column, Column]:
-    """T3 keys of a display cell: (is_text, number, lower text).
+def sort_keys(column: str, collation: str | None = None) -> tuple[Column, Column, Column]:
+    """T3 keys of a display cell: (is_text, number, lower text, or the text under a collation).
 
     The currency prefix and thousands separators are dropped first, so money
     text sorts by amount; anything that is not a number sorts after all numbers,
@@ -69,36 +76,36 @@ def sort_keys(column: str) -> tuple[Column, Column, Column]:
     is_num = raw.rlike(NUMBER_PATTERN) | raw.rlike(INFINITY_PATTERN)
     is_text = F.when(is_num, F.lit(0)).otherwise(F.lit(1))
     num = F.when(is_num, raw.cast("double"))
-    txt = F.when(~is_num, F.lower(raw))
+    txt = F.when(~is_num, F.lower(raw) if collation is None else X.collated(raw, collation))
     return is_text, num, txt
 
 
 def sort_order(column: str, ascending: bool = True, base_order: Sequence[Column] = (),
-               mode: str = "display") -> list[Column]:
+               mode: str = "display", collation: str | None = None) -> list[Column]:
     """T3/T4 sort columns: the keys in the chosen direction, then the page's own order
     unflipped (a stable sort keeps the page order among equal keys).
 
     ``mode="display"`` applies the mixed number/text rule to the cell text (so
     ``dd Mon yyyy`` dates sort as text, as on screen); ``mode="typed"`` sorts the
-    column's own values (real dates, amounts).
+    column's own values (real dates, amounts; text under the ``collation``).
     """
     if mode == "typed":
-        c = F.col(f"`{column}`")
+        c = X.collated(F.col(f"`{column}`"), collation)
         keys = [c.asc_nulls_first() if ascending else c.desc_nulls_last()]
     else:
-        keys = [k.asc() if ascending else k.desc() for k in sort_keys(column)]
+        keys = [k.asc() if ascending else k.desc() for k in sort_keys(column, collation)]
     return keys + list(base_order)
 
 
 def typed_sort(df: DataFrame, column: str, ascending: bool = True,
-               base_order: Sequence[Column] = (), mode: str = "display") -> DataFrame:
+               base_order: Sequence[Column] = (), mode: str = "display", collation: str | None = None) -> DataFrame:
     """Distributed (range-partitioned) sort of one column, see :func:`sort_order`.
 
     Without a ``base_order`` equal cells are ordered by all columns, so a value that many rows
     share is spread over sort partitions and the order is the same in every run.
     """
     ties = list(base_order) or [F.col(f"`{c}`") for c in df.columns]
-    return df.orderBy(*sort_order(column, ascending, ties, mode))
+    return df.orderBy(*sort_order(column, ascending, ties, mode, collation))
 
 
 def toggle(current_column: int | None, current_reverse: bool, clicked: int) -> tuple[int, bool]:
@@ -109,13 +116,14 @@ def toggle(current_column: int | None, current_reverse: bool, clicked: int) -> t
 
 
 def table_view(df: DataFrame, term: str | None = None, facet_on: tuple[str, str] | None = None,
-               sort_on: tuple[str, bool] | None = None, base_order: Sequence[Column] = ()) -> DataFrame:
-    """T5: search, then facet, then sort, as one lazy plan."""
+               sort_on: tuple[str, bool] | None = None, base_order: Sequence[Column] = (),
+               collation: str | None = None) -> DataFrame:
+    """T5: search, then facet, then sort, as one lazy plan; facet and sort under the ``collation``."""
     out = search(df, term)
     if facet_on is not None:
-        out = facet(out, *facet_on)
+        out = facet(out, *facet_on, collation=collation)
     if sort_on is not None:
-        out = typed_sort(out, sort_on[0], sort_on[1], base_order)
+        out = typed_sort(out, sort_on[0], sort_on[1], base_order, collation=collation)
     return out
 
 

@@ -25,9 +25,13 @@ Rule = tuple[str, Column]
 
 
 # ── parsers (text -> typed, NULL when unparseable) ─────────────────────────
+# The white space characters of Unicode.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(c: str) -> Column:
     """Text without white space (blanks, tabs, line breaks and the like) at either end."""
-    return F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.col(c), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: str) -> Column:
@@ -135,25 +139,55 @@ def reference_exists(flag_col: str, label: str) -> Rule:
     return f"{label} does not exist", ~F.col(flag_col)
 
 
-def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str, alias: str = "_k") -> DataFrame:
+#: Ids of a batch that are sent to every task (8 bytes each); above that both sides are shuffled.
+FEW = 100_000
+
+
+def is_few(batch: DataFrame) -> bool:
+    """Has the batch so few rows that its ids may be broadcast?  Counts at most ``FEW`` + 1 rows."""
+    return batch.limit(FEW + 1).count() <= FEW
+
+
+def roles_of_keys(parts: Sequence[tuple[DataFrame, Column, int | Column]], alias: str, few: DataFrame | None = None) -> DataFrame:
+    """One row per key with the bits of all roles it occurs in: ``alias``, ``roles``.
+
+    ``parts`` are (rows, key, role bits).  The tagged union takes one shuffle however many
+    parts there are, and a hot key is reduced before it.  ``few`` (a small batch's ids, named
+    ``alias``) restricts the parts by a broadcast first, so that a large table is scanned but not shuffled.
+    """
+    union = None
+    for rows, key, role in parts:
+        tagged = rows.select(key.alias(alias), (role if isinstance(role, Column) else F.lit(role)).cast("int").alias("roles"))
+        tagged = tagged.where(F.col(alias).isNotNull())
+        if few is not None:
+            tagged = tagged.join(F.broadcast(few), alias, "left_semi")
+        union = tagged if union is None else union.unionByName(tagged)
+    return union.groupBy(alias).agg(F.bit_or("roles").alias("roles"))
+
+
+def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str, alias: str = "_k", small: bool = False) -> DataFrame:
     """The distinct ids of ``wanted`` that occur as ``key`` in ``keys``.
 
-    One plan for every size: the batch's distinct ids meet the large side in a semi join,
-    which Spark broadcasts or sorts by their measured size, so only matching keys go on.
+    ``small``: ``wanted`` passed :func:`is_few`, its ids are broadcast to the scan of ``keys``;
+    otherwise both sides meet in one aggregation of role bits.
     """
-    ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull()).distinct()
-    return keys.select(F.col(key).alias(alias)).join(ids, alias, "left_semi").distinct()
+    ids = wanted.select(F.col(wanted_key).alias(alias)).where(F.col(alias).isNotNull())
+    if small:
+        return keys.select(F.col(key).alias(alias)).join(F.broadcast(ids), alias, "left_semi").distinct()
+    return roles_of_keys([(keys, F.col(key), 1), (wanted, F.col(wanted_key), 2)], alias).where("roles = 3").select(alias)
 
 
-def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str) -> DataFrame:
+def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str, small: bool | None = None) -> DataFrame:
     """Add a boolean ``flag``: does ``id_expr`` exist as ``parent_key`` in ``parent``?
 
     The parent keys are first reduced to the ids the batch asks for
     (:func:`keys_present`), then left-joined back (one row per id, so no fan-out).
+    ``small`` is the answer of :func:`is_few` where it is known.
     """
     probe_col, key_col = f"_{flag}_probe", f"_{flag}_key"
+    small = is_few(df) if small is None else small
     out = df.withColumn(probe_col, id_expr)
-    found = keys_present(parent, parent_key, out, probe_col, alias=key_col).withColumn(flag, F.lit(True))
+    found = keys_present(parent, parent_key, out, probe_col, alias=key_col, small=small).withColumn(flag, F.lit(True))
     out = out.join(found, out[probe_col] == found[key_col], "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(probe_col, key_col)
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..sources.tables import Tables
+from .skew import salted_join
 
 
 def _zero() -> Column:
@@ -135,10 +136,14 @@ def appointment_options(t: Tables, display: bool = True) -> DataFrame:
 _BY_NAME = ("last_name", "first_name", "patient_id")
 
 
-def patient_list(t: Tables, display: bool = True) -> DataFrame:
+def _by_name(collation: str | None) -> list[Column]:
+    return [X.collated("last_name", collation), X.collated("first_name", collation)]
+
+
+def patient_list(t: Tables, display: bool = True, collation: str | None = None) -> DataFrame:
     """Q3: the patient register ordered by last then first name."""
     p = t.patient
-    return p.orderBy(*_BY_NAME).select(
+    return p.orderBy(*_by_name(collation), "patient_id").select(
         "patient_id", X.full_name("first_name", "last_name").alias("full_name"),
         _date("date_of_birth", display), "gender", "phone",
         (X.if_null("blood_type", X.NULL_TEXT) if display else F.col("blood_type")).alias("blood_type"),
@@ -184,15 +189,15 @@ def staff_list(t: Tables, display: bool = True) -> DataFrame:
         _date("hire_date", display))
 
 
-def staff_directory(t: Tables) -> DataFrame:
+def staff_directory(t: Tables, collation: str | None = None) -> DataFrame:
     """Q17: staff picker rows by last then first name."""
-    return t.staff.orderBy("last_name", "first_name", "staff_id").select(
+    return t.staff.orderBy(*_by_name(collation), "staff_id").select(
         "staff_id", X.full_name("first_name", "last_name").alias("staff_name"), "role")
 
 
-def clinic_directory(t: Tables) -> DataFrame:
+def clinic_directory(t: Tables, collation: str | None = None) -> DataFrame:
     """Q35: clinic picker rows by name."""
-    return t.clinic.orderBy("clinic_name", "clinic_id").select("clinic_id", "clinic_name")
+    return t.clinic.orderBy(X.collated("clinic_name", collation), "clinic_id").select("clinic_id", "clinic_name")
 
 
 def clinic_activity(t: Tables, display: bool = True) -> DataFrame:
@@ -317,20 +322,16 @@ def _visit_pairs(t: Tables, visits: DataFrame, outer: bool) -> DataFrame:
     def named(df: DataFrame, p: str) -> DataFrame:
         return df.select("appointment_id", *[F.col(c).alias(p + c) for c in df.columns if c != "appointment_id"])
 
-    # Inner joins only where the child side may hold a hot appointment: AQE can split a
-    # skewed partition on either side of an inner join, but not the non-preserved side
-    # of an outer join.  Visits without a diagnosis come from an anti join against the
-    # per-appointment aggregate (one row per appointment).
-    each_diag = visits.join(named(diag, "d_"), "appointment_id")
+    # One row per visit with its first bill and first diagnosis; the children meet it under salts,
+    # so a visit that holds most of the diagnoses (or bills) is spread over many tasks.
+    one = visits.join(first_bill, "appointment_id", how).join(first_diag, "appointment_id", how)
+    of_bill, of_diag = ([c for c in df.columns if c != "appointment_id"] for df in (first_bill, first_diag))
+    each_diag = salted_join(named(diag, "d_"), one.drop(*of_diag), "appointment_id", F.xxhash64("d_diagnosis_id"))
     if outer:
-        no_diag = visits.join(first_diag.select("appointment_id"), "appointment_id", "left_anti")
-        each_diag = each_diag.unionByName(no_diag, allowMissingColumns=True)
-    each_diag = each_diag.join(first_bill, "appointment_id", how)
-    more_bills = (named(bills, "b_")
-                  .join(first_bill.select("appointment_id", F.col("b_bill_id").alias("first_bill_id")),
-                        "appointment_id")
-                  .where(F.col("b_bill_id") != F.col("first_bill_id")).drop("first_bill_id"))
-    each_more_bill = visits.join(more_bills, "appointment_id").join(first_diag, "appointment_id", how)
+        each_diag = each_diag.unionByName(one.where(F.col("d_diagnosis_id").isNull()).drop(*of_diag), allowMissingColumns=True)
+    first = one.withColumnRenamed("b_bill_id", "first_bill_id").drop(*of_bill)
+    each_more_bill = (salted_join(named(bills, "b_"), first, "appointment_id", F.xxhash64("b_bill_id"))
+                      .where(F.col("b_bill_id") != F.col("first_bill_id")).drop("first_bill_id"))
     return each_diag.unionByName(each_more_bill)
 
 
@@ -447,23 +448,44 @@ def revenue_by_billed_clinic(t: Tables) -> DataFrame:
 
 
 # ── Q20 / Q31 diagnosis aggregates ──────────────────────────────────────────
-def _severity_counts(t: Tables) -> DataFrame:
-    sev = F.col("severity")
-    return t.diagnosis.groupBy("diagnosis_code", "description").agg(
+def _grouped_text(df: DataFrame, columns: list[str], collation: str, *aggregates: Column) -> DataFrame:
+    """A8 under a collation: values equal under it are one group, shown as the least spelling in it (by bytes).
+
+    Each spelling is aggregated first, by bytes, where partial hash aggregation serves; the few
+    spellings of a group meet afterwards.  ``aggregates`` are the sums of the spellings' columns.
+    """
+    keys = [X.collated(c, collation).alias(f"_key_{c}") for c in columns]
+    shown = [F.min(c).alias(c) for c in columns]
+    return df.groupBy(*keys).agg(*shown, *aggregates).drop(*[f"_key_{c}" for c in columns])
+
+
+def _severity_counts(t: Tables, collation: str | None = None) -> DataFrame:
+    same = lambda v: X.collated("severity", collation) == X.collated(F.lit(v), collation)
+    counts = ["total_cases", "severe_cases", "moderate_cases", "mild_cases"]
+    per = t.diagnosis.groupBy("diagnosis_code", "description").agg(
         F.count("diagnosis_id").alias("total_cases"),
-        F.count_if(sev == "Severe").alias("severe_cases"),
-        F.count_if(sev == "Moderate").alias("moderate_cases"),
-        F.count_if(sev == "Mild").alias("mild_cases"))
+        *[F.count_if(same(v)).alias(n) for v, n in zip(("Severe", "Moderate", "Mild"), counts[1:])])
+    if collation is None:
+        return per
+    return _grouped_text(per, ["diagnosis_code", "description"], collation, *[F.sum(c).alias(c) for c in counts])
+
+
+def _by_cases(counted: DataFrame, collation: str | None) -> DataFrame:
+    texts = [X.collated(c, collation) for c in ("diagnosis_code", "description")]
+    return counted.orderBy(F.col("total_cases").desc(), *texts)
 
 
-def common_diagnoses(t: Tables) -> DataFrame:
-    """Q20: cases per code and description with the severity split, most cases first."""
-    return _severity_counts(t).orderBy(F.col("total_cases").desc(), "diagnosis_code", "description")
+def common_diagnoses(t: Tables, collation: str | None = None) -> DataFrame:
+    """Q20: cases per code and description with the severity split, most cases first.
+
+    With a ``collation`` codes, descriptions and severities that are equal under it count together.
+    """
+    return _by_cases(_severity_counts(t, collation), collation)
 
 
-def diagnosis_counts(t: Tables) -> DataFrame:
+def diagnosis_counts(t: Tables, collation: str | None = None) -> DataFrame:
     """Q31: as Q20, ordered by case count only (ties then by code and description)."""
-    return _severity_counts(t).orderBy(F.col("total_cases").desc(), "diagnosis_code", "description")
+    return _by_cases(_severity_counts(t, collation), collation)
 
 
 # ── Q21 / Q29 / Q30 patient money ───────────────────────────────────────────
@@ -494,12 +516,18 @@ def billing_per_patient(t: Tables) -> DataFrame:
             .select("patient_id", "patient_name", "number_of_visits", "total_billed", "avg_bill_amount"))
 
 
-def outstanding_by_patient_status(t: Tables, statuses: tuple[str, ...] = ("Unpaid", "Partial")) -> DataFrame:
-    """Q30: open balance per patient and status, for the given statuses."""
-    per = (t.bill.where(F.col("payment_status").isin(*statuses))
+def outstanding_by_patient_status(t: Tables, statuses: tuple[str, ...] = ("Unpaid", "Partial"),
+                                  collation: str | None = None) -> DataFrame:
+    """Q30: open balance per patient and status, for the given statuses (equal under the ``collation``)."""
+    wanted = X.collated("payment_status", collation).isin(*[X.collated(F.lit(s), collation) for s in statuses])
+    per = (t.bill.where(wanted)
            .groupBy("patient_id", "payment_status").agg(
                F.sum(F.col("total_amount") - F.col("amount_paid")).cast("decimal(20,2)")
                .alias("outstanding_balance")))
+    if collation is not None:
+        per = (per.groupBy("patient_id", X.collated("payment_status", collation).alias("_status"))
+               .agg(F.min("payment_status").alias("payment_status"),
+                    F.sum("outstanding_balance").cast("decimal(20,2)").alias("outstanding_balance")).drop("_status"))
     p = t.patient.select("patient_id", X.full_name("first_name", "last_name").alias("patient_name"), "phone")
     return (per.join(p, "patient_id")
             .orderBy(F.col("outstanding_balance").desc(), "patient_id", "payment_status")
