@@ -149,10 +149,10 @@ class Rolling:
 
 # --- words: lower-cased A-Z, runs of bytes other than ASCII white space ------------------
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BLOCK = 1 << 20
 
 
@@ -163,14 +163,14 @@ class Words:
         self.rolling = Rolling(WORD_BLOCK + (1 << 12))
 
     def hashes(self, text: str | None) -> np.ndarray:
-        data = _LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
+        data = LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
         if len(data) <= WORD_BLOCK:
             return self._block(data)
         out, at = [], 0
         while at < len(data):
             end = min(at + WORD_BLOCK, len(data))
-            while end < len(data) and not _SPACE[data[end]]:
-                ahead = np.flatnonzero(_SPACE[data[end: end + WORD_BLOCK]])
+            while end < len(data) and not SPACE[data[end]]:
+                ahead = np.flatnonzero(SPACE[data[end: end + WORD_BLOCK]])
                 end += int(ahead[0]) if len(ahead) else WORD_BLOCK
             end = min(end, len(data))
             out.append(self._block(data[at:end]))
@@ -181,7 +181,7 @@ class Words:
         if len(self.rolling.up) <= len(data):
             self.rolling = Rolling(len(data) + len(data) // 4)
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~SPACE[data]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
         return self.rolling.ranges(self.rolling.prefix(data), starts, ends) ^ mix64((ends - starts).astype(np.uint64))

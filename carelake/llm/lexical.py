@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Rolling, may_be_among, mix64, pick, written
+from carelake.llm.common import LOWER, Rolling, may_be_among, mix64, pick, written
 
 COORDS = 1 << 16
 #: Occurrences are stored in a byte; this value stands for itself and all above, whose impact is below MOST.
@@ -47,8 +47,6 @@ BLOCK_ITEMS, BLOCK_TERMS = 256, 1 << 14
 HELD, ROWS = 1 << 21, 256
 TEXT_BLOCK = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _TERM = np.zeros(256, bool)
 _TERM[0x30:0x3A] = _TERM[0x41:0x5B] = _TERM[0x61:0x7B] = _TERM[0x80:] = True
 
@@ -105,7 +103,7 @@ class Terms:
         starts = np.flatnonzero(inside & (~before | first[:-1]))
         after = np.concatenate([inside[1:], [False]])
         ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-        found = self.rolling.ranges(self.rolling.prefix(_LOWER[part]), starts, ends)
+        found = self.rolling.ranges(self.rolling.prefix(LOWER[part]), starts, ends)
         return starts + low, found ^ mix64((ends - starts).astype(np.uint64))
 
 

@@ -2,8 +2,8 @@
 
 * Every word is hashed to a bucket with a fixed sparse ternary *index vector*; its *context
   vector* is the sum of the index vectors of its neighbours (two on either side), counted
-  over all documents and normalised.  A word's shape (its character classes, runs
-  shortened) is hashed to index vectors of its own.
+  over all documents and normalised.  A word's shape (the kinds of its characters, runs
+  shortened) is hashed to index vectors of its own.  Words and shapes are hashed from the bytes of a whole block at once.
 * A document pools, over all of its words: the mean context vector, the mean shape vector,
   the mean product of neighbouring words' index vectors (large where words repeat), the
   norm of the mean index vector and the log of its length.  Nothing but the text is used.
@@ -21,8 +21,6 @@ twice; labels that are null are left out; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import pick
+from carelake.llm.common import LOWER, SPACE, Rolling, mix64, pick
 
 SAMPLE = 8_000
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 11, 32, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
 THRESHOLD = 0.3
-BLOCK_CHARS = 1 << 19
-MOST_CACHED = 400_000
+BLOCK_BYTES = 1 << 19
 CONTEXT_WORDS, CONTEXT_TASKS = 1 << 16, 32
 
 
@@ -53,46 +50,49 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-_CLASSES = (("[^\\W\\d_a-zß-öø-ÿ]", "X"), ("[^\\W\\d_X]", "x"), ("\\d", "9"))
-_RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
-
-
-def shape(word: str) -> str:
-    """Character classes with runs of three or more shortened to two: ``Thanks!!!`` is ``Xxx!!``."""
-    for pattern, mark in _CLASSES:
-        word = re.sub(pattern, mark, word)
-    return _RUN.sub(r"\1\1", word)
-
-
-class _Codes(dict):
-    """word -> bucket * SHAPES + shape bucket; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MOST_CACHED:
-            self.clear()
-        short = word[:64]
-        code = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS) * SHAPES
-        code += zlib.crc32(shape(short).encode("utf-8", "surrogatepass")) % SHAPES
-        if len(word) <= 64:
-            self[word] = code
-        return code
-
-
-_codes = _Codes()
-
-
-def word_codes(text: str) -> Iterator[np.ndarray]:
-    """Codes of the words of a whole text, in blocks cut at white space."""
-    at = 0
-    while at < len(text):
-        end = at + BLOCK_CHARS
-        if end < len(text):
-            found = re.compile(r"\s").search(text, end)
-            end = found.start() if found else len(text)
-        words = text[at:end].split()
-        if words:
-            yield np.fromiter(map(_codes.__getitem__, words), np.int64, len(words))
-        at = end
+# Kinds of bytes: letters of either case, digits and other letters (known by the first byte of a
+# character, the rest go) are each one kind, any other byte is its own.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[0x80:0xC0], _KIND[0xC0:] = 65, 97, 48, 0, 97
+
+
+class Coder:
+    """Codes of the words of a text: bucket * SHAPES + shape bucket, from the bytes of all words at once."""
+
+    def __init__(self):
+        self.rolling = Rolling(BLOCK_BYTES + (1 << 12))
+
+    def codes(self, text: str) -> Iterator[np.ndarray]:
+        """In blocks cut at white space; words are runs of bytes other than ASCII white space."""
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        at = 0
+        while at < len(data):
+            end = min(at + BLOCK_BYTES, len(data))
+            while end < len(data) and not SPACE[data[end]]:
+                ahead = np.flatnonzero(SPACE[data[end: end + BLOCK_BYTES]])
+                end = min(end + (int(ahead[0]) if len(ahead) else BLOCK_BYTES), len(data))
+            found = self._block(data[at:end])
+            if len(found):
+                yield found
+            at = end
+
+    def _block(self, data: np.ndarray) -> np.ndarray:
+        rolling = self.rolling if len(data) < len(self.rolling.up) else Rolling(len(data))
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        words = rolling.ranges(rolling.prefix(LOWER[data]), starts, ends) ^ mix64((ends - starts).astype(np.uint64))
+        # the shape: the kinds of a word's characters, runs of three or more shortened to two ("Thanks!!!" is Aaa!!)
+        kinds = _KIND[data]
+        there = kinds != 0
+        kinds, place = kinds[there], np.r_[0, np.cumsum(there)]
+        short = np.ones(len(kinds), bool)
+        short[2:] = (kinds[2:] != kinds[1:-1]) | (kinds[1:-1] != kinds[:-2])
+        kinds, place = kinds[short], np.r_[0, np.cumsum(short)][place]
+        starts, ends = place[starts], place[ends]
+        shapes = rolling.ranges(rolling.prefix(kinds), starts, ends) ^ mix64((ends - starts).astype(np.uint64))
+        return ((words % np.uint64(WORDS)) * np.uint64(SHAPES) + shapes % np.uint64(SHAPES)).astype(np.int64)
 
 
 def _context(runs: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
@@ -113,12 +113,12 @@ def _context(runs: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> Non
 FEATURES = 4 * DIM + 2
 
 
-def pooled(text: str | None, index: np.ndarray, shapes: np.ndarray, context: np.ndarray) -> np.ndarray:
+def pooled(coder: Coder, text: str | None, index: np.ndarray, shapes: np.ndarray, context: np.ndarray) -> np.ndarray:
     """The fixed-size vector of one whole text."""
     sums = np.zeros((4, DIM))
     n = pairs = 0
     last = None
-    for codes in word_codes(text or ""):
+    for codes in coder.codes(text or ""):
         words, kinds = codes // SHAPES, codes % SHAPES
         vectors = index[words]
         sums[0] += context[words].sum(0)
@@ -206,10 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, total = np.concatenate([index_vectors(WORDS, 1), np.zeros((1, DIM), np.float32)]), np.zeros((WORDS + 1, DIM))
-        runs, held = [], 0
+        coder, runs, held = Coder(), [], 0
         for frame in frames:
             for t in frame["text"]:
-                for codes in word_codes(t or ""):
+                for codes in coder.codes(t or ""):
                     runs.append(codes)
                     held += len(codes)
                     if held >= CONTEXT_WORDS:
@@ -232,9 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(context)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, shapes = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
+        coder, index, shapes = Coder(), index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
         for frame in frames:
-            found = [pooled(t, index, shapes, shared.value).tobytes() for t in frame["text"]]
+            found = [pooled(coder, t, index, shapes, shared.value).tobytes() for t in frame["text"]]
             yield frame[["turn", "doc_id", "label"]].assign(features=found)
 
     table = (rows.mapInPandas(features, "turn long, doc_id long, label double, features binary").toPandas()
@@ -253,12 +253,12 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, shapes, made = index_vectors(WORDS, 1), index_vectors(SHAPES, 2), shared.value
+        coder, index, shapes, made = Coder(), index_vectors(WORDS, 1), index_vectors(SHAPES, 2), shared.value
         for texts in batches:
             if made is None or not len(texts):
                 yield pd.Series(np.full(len(texts), 0.5))
             else:
-                yield pd.Series(made.score(np.stack([pooled(t, index, shapes, made.context) for t in texts])))
+                yield pd.Series(made.score(np.stack([pooled(coder, t, index, shapes, made.context) for t in texts])))
 
     scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col(f"`{text}`")))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))

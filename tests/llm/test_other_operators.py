@@ -203,7 +203,7 @@ def test_context_vectors_cover_all_documents(sp):
     model = quality.fit(docs, sp.createDataFrame([(i, i % 2) for i in range(3, 12)], "doc_id long, quality long"))
     index, want = quality.index_vectors(quality.WORDS, 1), np.zeros((quality.WORDS, quality.DIM))
     for t in texts:
-        words = [c // quality.SHAPES for codes in quality.word_codes(t or "") for c in codes]
+        words = [c // quality.SHAPES for codes in quality.Coder().codes(t or "") for c in codes]
         for i, w in enumerate(words):
             for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
                 if j != i:
@@ -212,6 +212,21 @@ def test_context_vectors_cover_all_documents(sp):
     assert np.count_nonzero(np.abs(want).sum(1)) == 45 and np.allclose(model.context, want, atol=1e-5)
 
 
+def test_word_codes(monkeypatch):
+    """Words by their lower-cased bytes, shapes by kinds with runs shortened; blocks don't change them."""
+    coder = quality.Coder()
+    codes = lambda t: [c for part in coder.codes(t) for c in part.tolist()]
+    text = "Thanks!!! thanks!! THANKS \t a1b22 a9b77  été\nx" + "y" * 300 + " " + "z" * 70_000 + " end"
+    found = codes(text)
+    assert len(found) == len(text.split()) and [codes(w)[0] for w in text.split()] == found
+    word, kind = ([f(c) for c in found] for f in (lambda c: c // quality.SHAPES, lambda c: c % quality.SHAPES))
+    assert codes("Thanks")[0] // quality.SHAPES == codes("thanks")[0] // quality.SHAPES == word[2] != word[0]
+    assert kind[3] == kind[4] and word[3] != word[4] and kind[0] != kind[1]
+    assert codes("Aaaa!!!!")[0] % quality.SHAPES == kind[0] and kind[6] == kind[7] == kind[8]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 16)
+    assert codes(text) == found and codes("") == codes(" \n") == []
+
+
 def test_held_out_labels_are_not_read(sp):
     docs, labels = (sp.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
