@@ -32,22 +32,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of the n-gram Jaccard join (op 7).
 
-    Documents without words, and those without an id, belong to no group and stay.
+    Documents without words, and those without an id, belong to no group and stay.  Rows that share
+    an id are documents of their own: unlike ones stay, of like ones one stays.
     """
     docs = _documents(docs)
     importable(spark)
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = jaccard.jaccard_components(rows.where("doc_id is not null"), doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+        first = F.min_by("row", F.struct("doc_id", "row")).alias("row")
+        kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("row")
+        kept = rows.where("doc_id is not null").join(kept, "row", "left_semi")
+        return kept.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
     found = jaccard.jaccard_components(docs)
     dropped = written(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
     # only texts that may go are shuffled
     at_risk = may_be_among(dropped)(F.col("doc_id"))
     rest = docs.where(~at_risk).unionByName(docs.where(at_risk).join(dropped, "doc_id", "left_anti").select(*COLUMNS))
-    # rows that share an id are one group as well: the least text stays
-    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if several.isEmpty():
-        return rest
-    single = rest.join(several, "doc_id", "left_anti")
-    kept = rest.join(several, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return single.select(*COLUMNS).unionByName(kept.select("doc_id", "row.*"))
+    return rest
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
