@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,16 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: What empties the caches that operators keep in a Python worker from task to task.
+CACHES: list[Callable[[], None]] = []
+
+
+def drop_caches() -> None:
+    """Empties them: called where an operator starts a task that uses none, as workers are reused by later jobs."""
+    for empty in CACHES:
+        empty()
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns (``new=old``): extra or clashing columns of the input go."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, as_number, as_text, gram_hashes, may_be_among, mix64, pick, written
+from carelake.llm.common import Words, as_number, as_text, drop_caches, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
@@ -163,6 +163,7 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
     shift, width = np.uint64(64 - bits), (1 << bits) // SLOT_RANGES
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         words, counts, held, size_held = Words(), np.zeros(1 << bits, np.uint32), [], 0
         for f in frames:
             out = []

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from carelake.llm.common import Rolling, as_number, as_text, pick
+from carelake.llm.common import CACHES, Rolling, as_number, as_text, pick
 from carelake.llm.tokens import BLOCK_CHARS, Encoder
 
 MARK = "▁"
@@ -308,6 +308,9 @@ class PieceEncoder(Encoder):
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
+CACHES.append(PieceEncoder._made.clear)
+
+
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for at in range(0, len(f), ROWS):

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import LOWER, SPACE, Rolling, mix64, pick
+from carelake.llm.common import LOWER, SPACE, Rolling, drop_caches, mix64, pick
 
 SAMPLE = 8_000
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 11, 32, 4, 2
@@ -60,6 +60,7 @@ class Coder:
     """Codes of the words of a text: bucket * SHAPES + shape bucket, from the bytes of all words at once."""
 
     def __init__(self):
+        drop_caches()
         self.rolling = Rolling(BLOCK_BYTES + (1 << 12))
 
     def codes(self, text: str) -> Iterator[np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.llm.common import Rolling, as_text, mix64, pick, written
+from carelake.llm.common import Rolling, as_text, drop_caches, mix64, pick, written
 
 LENGTH = 400
 BLOCK_STARTS = 1 << 18
@@ -220,6 +220,7 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     """id, th, starts: array of struct<lo, hi> of repeated starts, for documents that have any."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         maker = Segmenter(length)
         keys: list[tuple[int, int, int]] = []
         parts: list[tuple[np.ndarray, ...]] = []

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from carelake.llm.common import Rolling
+from carelake.llm.common import CACHES, Rolling
 
 MOST, LONGEST = 400_000, 64
 BLOCK_CHARS = 1 << 20
@@ -170,3 +170,6 @@ class Encoder:
             if ends[i] - starts[i] <= LONGEST:
                 young[keys[i]] = v
         return found
+
+
+CACHES.append(Encoder._made.clear)

@@ -260,3 +260,15 @@ def test_pipeline_on_an_empty_table(sp):
     docs = sp.read.parquet(f"{SF_SMALL}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(sp, docs, SF_SMALL).count() == 0
+
+
+def test_near_duplicates_among_rows_of_one_id(sp):
+    """Unlike rows of one id stay, like ones leave one; null ids stay; the smallest id of a group stays."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (5, text("a") + " end"), (3, text("b")), (9, text("c")), (9, text("c")), (None, text("a")), (None, text("a")),
+            (5, None), ((1 << 60) + 1, text("d")), ((1 << 60) + 3, text("d"))]
+    docs = sp.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(sp, docs, SF_SMALL)
+    got = sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in kept.collect()), key=repr)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert got == sorted([(5, "aword"), (3, "bword"), (9, "cword"), (None, "aword"), (None, "aword"), (5, ""), ((1 << 60) + 1, "dword")], key=repr)
