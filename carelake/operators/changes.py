@@ -219,6 +219,25 @@ def restock(medication: DataFrame, restock_in: DataFrame, collation: str | None
 
 
 # ── C6 create bills ─────────────────────────────────────────────────────────
+def _with_visit_state(t: Tables, b: DataFrame, bill_in: DataFrame) -> DataFrame:
+    """``b`` with ``patient_id`` of its visit (``_id``) and ``_roles``: 1 the visit exists, 2 it has a bill; one aggregation by visit."""
+    ids = b.select("_id").where("_id is not null")
+    parts = [(t.appointment, F.col("patient_id"), 1), (t.bill, F.lit(None).cast("long"), 2)]
+    tagged = [df.select(F.col("appointment_id").alias("_id"), p.alias("_patient"), F.lit(r).alias("_roles")) for df, p, r in parts]
+    few = V.is_few(bill_in)
+    if few:
+        tagged = [df.join(F.broadcast(ids), "_id", "left_semi") for df in tagged]
+    else:
+        tagged.append(ids.select("_id", F.lit(None).cast("long").alias("_patient"), F.lit(4).alias("_roles")))
+    union = tagged[0]
+    for part in tagged[1:]:
+        union = union.unionByName(part)
+    state = union.groupBy("_id").agg(F.max("_patient").alias("patient_id"), F.bit_or("_roles").alias("_roles"))
+    if not few:
+        state = state.where(F.col("_roles") >= 4)
+    return b.join(state, "_id", "left").withColumn("_roles", F.coalesce("_roles", F.lit(0)))
+
+
 def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
     """Bills for unbilled appointments only; the patient comes from the appointment.
 
@@ -229,21 +248,14 @@ def create_bills(t: Tables, bill_in: DataFrame, high_water: int) -> Changed:
     text_cols = bill_in.columns
     paid_text = F.when(V.stripped("amount_paid") == "", F.lit("0")).otherwise(F.col("amount_paid"))
     b = (bill_in.withColumn("_row", F.struct(*text_cols)).withColumn("_id", V.parse_id("appointment_id")).withColumn("_paid_text", paid_text))
-    ids = b.select("_id").where("_id is not null")
-    parts = [(t.appointment, "appointment_id", F.col("patient_id"), 1), (t.bill, "appointment_id", None, 2)]
-    tagged = [df.select(F.col(k).alias("_id"), (F.lit(None).cast("long") if p is None else p).alias("_patient"), F.lit(r).alias("_roles"))
-              for df, k, p, r in parts]
-    if V.is_few(bill_in):
-        tagged = [df.join(F.broadcast(ids), "_id", "left_semi") for df in tagged]
+    if t.bucketed("appointment_id", "appointment", "bill"):
+        # both lie by visit already: only the batch is shuffled
+        owner = t.appointment.select(F.col("appointment_id").alias("_id"), "patient_id", F.lit(1).alias("_there"))
+        billed = t.bill.select(F.col("appointment_id").alias("_id")).distinct().withColumn("_billed", F.lit(2))
+        b = b.join(owner, "_id", "left").join(billed, "_id", "left")
+        b = b.withColumn("_roles", F.coalesce("_there", F.lit(0)) + F.coalesce("_billed", F.lit(0))).drop("_there", "_billed")
     else:
-        tagged.append(ids.select("_id", F.lit(None).cast("long").alias("_patient"), F.lit(4).alias("_roles")))
-    union = tagged[0]
-    for part in tagged[1:]:
-        union = union.unionByName(part)
-    state = union.groupBy("_id").agg(F.max("_patient").alias("patient_id"), F.bit_or("_roles").alias("_roles"))
-    if len(tagged) > 2:
-        state = state.where(F.col("_roles") >= 4)
-    b = b.join(state, "_id", "left").withColumn("_roles", F.coalesce("_roles", F.lit(0)))
+        b = _with_visit_state(t, b, bill_in)
     rules = [
         ("Appointment does not exist", F.col("_roles").bitwiseAND(1) == 0),
         ("Appointment already has a bill", F.col("_roles").bitwiseAND(2) != 0),

@@ -168,3 +168,58 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     out = ranked.join(offsets, "_pid")
     return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
             .drop("_pid", "_local", "_off"))
+
+
+def sort_pairs(column: str, ascending: bool = True, base_order: Sequence[tuple[Column, bool]] = (),
+               collation: str | None = None) -> list[tuple[Column, bool]]:
+    """T3/T4 as (column, ascending) pairs: the display keys in the chosen direction, then the page's own order."""
+    return [(k, ascending) for k in sort_keys(column, collation)] + list(base_order)
+
+
+def _precedes(keys: Sequence[tuple[Column, bool]], values: Sequence[Column]) -> Column:
+    """Does a row stand before the key values?  Nulls first ascending, last descending, as Spark sorts."""
+    out = F.lit(False)
+    for (key, up), value in reversed(list(zip(keys, values))):
+        null_before = (key.isNull() & value.isNotNull()) if up else (key.isNotNull() & value.isNull())
+        before = F.coalesce(key < value if up else key > value, F.lit(False))
+        out = null_before | before | (key.eqNullSafe(value) & out)
+    return out
+
+
+#: Splitters of a pass, rows sampled for them, and the size of a range that is simply sorted.
+SPLITTERS, SAMPLED, SORTED_ROWS = 32, 4_000, 50_000
+
+
+def page(df: DataFrame, order: Sequence[tuple[Column, bool]], first: int, last: int, name: str = "position") -> DataFrame:
+    """Rows at the 1-based positions ``first`` to ``last`` of a sort by (column, ascending) pairs, numbered.
+
+    Distributed selection: splitters are sampled from the rows, one aggregation counts the rows before each of them
+    (a few numbers a task, no shuffle of rows), and only the range between the two splitters around the page goes on;
+    this repeats until a range is small.  Only its rows are sorted and numbered.  The order has to be
+    total (end it with a unique key); where rows tie on all of it and can't be split, they are sorted whole.
+    """
+    keyed = df.withColumns({f"_order{i}": key for i, (key, _) in enumerate(order)})
+    names = [f"_order{i}" for i in range(len(order))]
+    keys = [(F.col(n), up) for n, (_, up) in zip(names, order)]
+    sort = [c.asc() if up else c.desc() for c, up in keys]
+    here, rows, before = keyed, keyed.count(), 0
+    while rows > SORTED_ROWS and first <= before + rows:
+        share = min(1.0, SAMPLED / rows)
+        sampled = here.select(*names).sample(fraction=share, seed=rows).orderBy(*sort).collect()
+        picked = sampled[:: max(1, len(sampled) // SPLITTERS)]
+        splitters = [[F.lit(v).cast(here.schema[n].dataType) for n, v in zip(names, r)] for r in picked]
+        if not splitters:
+            break
+        counts = here.agg(*[F.count_if(_precedes(keys, s)).alias(f"n{i}") for i, s in enumerate(splitters)]).first()
+        low = max((i for i, n in enumerate(counts) if before + n < first), default=None)
+        high = min((i for i, n in enumerate(counts) if before + n >= last), default=None)
+        start, end = (0 if low is None else counts[low]), (rows if high is None else counts[high])
+        if end - start == rows:
+            break
+        if low is not None:
+            here = here.where(~_precedes(keys, splitters[low]))
+        if high is not None:
+            here = here.where(_precedes(keys, splitters[high]))
+        before, rows = before + start, end - start
+    ranked = positions(here, sort, name).withColumn(name, F.col(name) + before)
+    return ranked.where(F.col(name).between(first, last)).drop(*names)
