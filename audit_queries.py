@@ -7,12 +7,15 @@ references, repeated and null keys, values outside their domains.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelake.operators import changes as C
 from carelake.operators import forms as FM
 from carelake.operators import integrity as K
+from carelake.session import checkpoint_dir
 from carelake.sources.adapter import _lines, clinic_tables, read_driver_tables
 from carelake.sources.schema import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TABLES, not_null_columns
 from carelake.sources.tables import Tables
@@ -95,6 +98,11 @@ def q_dirty_domains(spark, sf_dir, t=None) -> DataFrame:
     return K.domain_violations(_dirty(spark, sf_dir, t))
 
 
+def q_observed_violations(spark, sf_dir, t=None) -> DataFrame:
+    """S7 + K3 + K4: the broken tables written as snapshots, and what was counted while they were written."""
+    return K.write_checked_tables(_dirty(spark, sf_dir, t), f"{checkpoint_dir(spark).rstrip('/')}/checked-{uuid.uuid4().hex}")
+
+
 def patient_delete_batch(spark, sf_dir: str) -> DataFrame:
     """A request per customer and a second one for every third; blanks around ids, unreadable, null and unknown ids."""
     c = read_driver_tables(spark, sf_dir, ("customer",))["customer"]
@@ -232,7 +240,7 @@ def _registered(name: str, batch) -> tuple:
 
 QUERIES = {
     "dirty_primary_keys": q_dirty_primary_keys, "dirty_foreign_keys": q_dirty_foreign_keys, "dirty_orphan_keys": q_dirty_orphan_keys,
-    "dirty_nulls": q_dirty_nulls, "dirty_domains": q_dirty_domains,
+    "dirty_nulls": q_dirty_nulls, "dirty_domains": q_dirty_domains, "observed_violations": q_observed_violations,
     "delete_patients": q_delete_patients, "patients_after_delete": q_patients_after_delete,
     "update_medications_repeated_rejected": q_update_medications_repeated_rejected, "medications_after_update": q_medications_after_update,
     "bills_after_payments": q_bills_after_payments, "restock_medications_rejected": q_restock_medications_rejected,
@@ -305,6 +313,11 @@ FROM d_{c} x WHERE NOT EXISTS (SELECT 1 FROM d_{p} y WHERE y.{PRIMARY_KEYS[p]} =
                           for t in TABLES for c in not_null_columns(t)]),
     "dirty_domains": _each([f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} NOT IN {tuple(values)}) AS bad_rows FROM d_{t}"
                             for (t, c), values in DOMAINS.items()]),
+    "observed_violations": _each(
+        [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'null' AS rule, count(*) FILTER (WHERE {c} IS NULL) AS bad_rows FROM d_{t}"
+         for t in TABLES for c in not_null_columns(t)]
+        + [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'domain' AS rule, count(*) FILTER (WHERE {c} NOT IN {tuple(values)}) AS bad_rows FROM d_{t}"
+           for (t, c), values in DOMAINS.items()]),
     "delete_patients": _with(DIRTY_SQL + "," + PATIENT_DELETE_SQL, "SELECT seq, id, outcome FROM outcomes"),
     "patients_after_delete": _with(DIRTY_SQL + "," + PATIENT_DELETE_SQL, """
 SELECT * REPLACE (strftime(date_of_birth, '%Y-%m-%d') AS date_of_birth, strftime(registration_date, '%Y-%m-%d') AS registration_date) FROM d_patient

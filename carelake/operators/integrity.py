@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_snapshot
 from ..sources.schema import DEFAULTS, DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TABLES, not_null_columns
 from ..sources.tables import Tables
 
@@ -114,6 +115,28 @@ def domain_violations(t: Tables) -> DataFrame:
     return _union(parts)
 
 
+def write_checked(df: DataFrame, table: str, path: str, partition_by: tuple[str, ...] = ()) -> dict[str, int]:
+    """S7 with K3 and K4 in the same pass: writes the snapshot of ``table`` and counts, while its rows go by,
+    all rows, NULLs of NOT NULL columns and values outside their domains.
+
+    Returns ``rows``, ``null:<column>`` and ``domain:<column>`` counts; a caller that finds one above 0 doesn't
+    switch its readers to the new path.  The rows are read once.
+    """
+    counts = {"rows": F.count(F.lit(1))}
+    counts |= {f"null:{c}": F.count_if(F.col(c).isNull()) for c in not_null_columns(table)}
+    counts |= {f"domain:{c}": F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*values)) for (name, c), values in DOMAINS.items() if name == table}
+    seen = Observation()
+    write_snapshot(df.observe(seen, *[e.alias(name) for name, e in counts.items()]), path, partition_by)
+    return {name: int(n) for name, n in seen.get.items()}
+
+
+def write_checked_tables(t: Tables, path: str) -> DataFrame:
+    """All tables as snapshots under ``path``, with a report of what was counted on the way: table, column, rule, bad rows."""
+    found = [(name, *measure.split(":")[::-1], n) for name in TABLES
+             for measure, n in write_checked(t[name], name, f"{path}/{name}").items() if measure != "rows"]
+    return next(iter(t.values())).sparkSession.createDataFrame(found, "table_name string, column_name string, rule string, bad_rows long")
+
+
 def with_defaults(df: DataFrame, table: str, as_of: str | None = None) -> DataFrame:
     """K5: fill NULL cells of ``table`` with the declared defaults.
 

@@ -126,3 +126,15 @@ def test_restock_keeps_what_would_overflow(spark, seed):
     assert {r.seq: r.errors for r in ch.rejected.collect()} == {
         1: ["Stock would exceed its limit"], 2: ["Stock would exceed its limit"],
         4: ["Quantity must be a whole number greater than zero"], 5: ["Medication does not exist"]}
+
+
+def test_counts_of_the_write_equal_the_checks(spark, tmp_path, dirty):
+    """K3 and K4 counted while the snapshots are written; the snapshots hold all rows; an empty table counts zeros."""
+    report = {(r.table_name, r.column_name, r.rule): r.bad_rows for r in K.write_checked_tables(dirty, str(tmp_path)).collect()}
+    want = {(r.table_name, r.column_name, "null"): r.null_rows for r in K.null_violations(dirty).collect()}
+    want |= {(r.table_name, r.column_name, "domain"): r.bad_rows for r in K.domain_violations(dirty).collect()}
+    assert report == want and sum(n > 0 for n in want.values()) >= 8
+    again = load_tables(spark, str(tmp_path))
+    assert {n: again[n].count() for n in again} == {n: dirty[n].count() for n in again}
+    counts = K.write_checked(dirty.patient.where("false"), "patient", str(tmp_path / "none"))
+    assert set(counts.values()) == {0} and "rows" in counts
