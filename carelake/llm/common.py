@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +56,22 @@ def importable(spark: SparkSession) -> SparkSession:
 CACHES: list[Callable[[], None]] = []
 
 
+def give_back() -> None:
+    """Returns memory that freed arrays and batches have left in this Python worker to the system.
+
+    Workers are reused by later jobs; without this each job's peak would be added to what the last ones kept.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_caches() -> None:
-    """Empties them: called where an operator starts a task that uses none, as workers are reused by later jobs."""
+    """Empties the caches too: called where an operator starts a task that uses none."""
     for empty in CACHES:
         empty()
+    give_back()
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

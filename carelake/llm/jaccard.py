@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, as_number, as_text, drop_caches, gram_hashes, may_be_among, mix64, pick, written
+from carelake.llm.common import Words, as_number, as_text, drop_caches, give_back, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
@@ -208,6 +208,7 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         words, level, seen = Words(), shared_levels.value, set()
         keys, owners, sizes, held = [], [], [], 0
 
@@ -239,6 +240,7 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
             yield packed()
 
     def pairs(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in f["keys"]])
         owner = np.concatenate([np.frombuffer(x, np.int64) for x in f["owners"]])
         n = np.concatenate([np.frombuffer(x, np.int32) for x in f["sizes"]]).astype(np.int64)
@@ -295,6 +297,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = rows.where(may_be_among(wanted.select("id").distinct())(F.col("id"))).join(jobs, "id")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         words, out, held = Words(), [], 0
         for text, cls, blocks, asks in _texts(frames, ["text", "cls", "block", "asks"]):
             found = shingles(words, text, size)

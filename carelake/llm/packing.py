@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import as_number, as_text, pick, written
+from carelake.llm.common import as_number, as_text, give_back, pick, written
 from carelake.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 0
@@ -47,6 +47,7 @@ def tokenise(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         encoder, nth = Encoder.of(tokenizer), 0
         for frame in frames:
             out: list[tuple] = []
@@ -251,6 +252,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
                             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
 
     def place(rows: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "nth"], kind="stable")
         base = dict(zip(ranked["of_length"], ranked["ranked"], strict=True))
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)

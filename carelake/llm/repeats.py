@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.llm.common import Rolling, as_text, drop_caches, mix64, pick, written
+from carelake.llm.common import Rolling, as_text, drop_caches, give_back, mix64, pick, written
 
 LENGTH = 400
 BLOCK_STARTS = 1 << 18
@@ -261,6 +261,7 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
              .select("text", *[F.col(f"wanted.{x}").alias(x) for x in columns]))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         held: dict[str, list[np.ndarray]] = {x: [] for x in columns[:-1]}
         cut_texts: list[bytes] = []
         size = 0
@@ -293,6 +294,7 @@ def _spans(docs: DataFrame, length: int, most_group: int) -> DataFrame:
     runs = "f long, h long, n int, a int, runs array<struct<lo:int,hi:int>>"
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         flags = repeated_starts(list(rows["text"]), rows["n"].to_numpy(), rows["a"].to_numpy(), length)
         flags[rows["c"].to_numpy() > 1] = False  # known already
         some = np.flatnonzero(flags.any(1))
@@ -350,6 +352,7 @@ def _with_kept(docs: DataFrame, doc_id: str, text: str, length: int, most_group:
         return len(data), int(gone.sum()), n_spans, kept.decode("utf-8", "ignore") if decode else kept
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for f in frames:
             for at in range(0, len(f), ROWS):
                 part = f.iloc[at: at + ROWS]
