@@ -36,13 +36,13 @@ class Changed:
 
     Where all three are drawn from one judged frame (base and batch merged by key in one join),
     ``drawn_from`` is given instead; ``stored()`` then writes that frame once and draws them from there, so that
-    the base is read once for all three."""
+    the base is read once for all three.  Payments also give ``moved``, what ``plans.upkeep`` adds to its reports."""
 
     def __init__(self, table=None, accepted=None, rejected=None, *, judged: DataFrame | None = None, drawn_from=None):
         self._parts = {"table": table, "accepted": accepted, "rejected": rejected}
         self.judged, self._drawn_from = judged, drawn_from
         if judged is not None:
-            self._parts = dict(zip(("table", "accepted", "rejected"), drawn_from(judged)))
+            self._parts = dict(zip(("table", "accepted", "rejected", "moved"), drawn_from(judged)))
 
     def stored(self) -> "Changed":
         """The same result, drawn from the judged frame as written to the shared folder."""
@@ -59,6 +59,7 @@ class Changed:
     table = property(lambda self: self._get("table"))
     accepted = property(lambda self: self._get("accepted"))
     rejected = property(lambda self: self._get("rejected"))
+    moved = property(lambda self: self._get("moved"))
 
 
 # ── C1 append with new ids ──────────────────────────────────────────────────
@@ -296,7 +297,7 @@ def apply_payments(bill: DataFrame, payment_in: DataFrame) -> Changed:
     judged = bill.withColumn("_known", F.lit(True)).join(summed, "bill_id", "full_outer")
     message, bad = V.amount("amount", "Payment", positive=True)
 
-    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def views(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         known = judged.where("_known")
         hit = F.coalesce((F.col("_payments") > 0) & is_open, F.lit(False))
         new_paid = F.least(F.col("total_amount"), F.col("amount_paid") + F.col("_paid_now")).cast("decimal(10,2)")
@@ -313,7 +314,8 @@ def apply_payments(bill: DataFrame, payment_in: DataFrame) -> Changed:
         held = rows.join(state, "_id", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
         rules = [(message, bad), ("Bill does not exist", ~F.col("_has")), ("Bill is already paid", F.col("_has") & ~F.col("_open"))]
         refused = held.withColumn("errors", V.errors_column(rules)).where(F.size("errors") > 0).select(*text_cols, "errors")
-        return new, accepted, refused
+        moved = known.where(hit).select("bill_id", "appointment_id", "bill_date", (new_paid - F.col("amount_paid")).cast("decimal(10,2)").alias("collected"))
+        return new, accepted, refused, moved
 
     return Changed(judged=judged, drawn_from=views)
 
