@@ -8,7 +8,10 @@ labels each block as article or not; the blocks labelled article are the text.
 There are no hand-made labels.  Training pages are at most ``SAMPLE`` rows (smallest hashes of
 their ids), each as it is and again with its blocks put into other layouts; all of their blocks are
 trained on, in sequences of at most ``LONGEST``; a block's label is what the layout says of
-it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  Labelling covers every page.
+it (``LAYOUT_IN`` and ``LAYOUT_OUT``).  The names that give the labels are hidden in half of the copies: there the
+network sees other names or none, and has to go by text, links, lengths, places and neighbours, so pages whose layout
+uses names outside the lists are labelled too.  The copies are made in a task; the driver gets vectors only, of at most
+``MOST_BLOCKS`` blocks (pages that don't fit what is left of it don't train).  Labelling covers every page.
 
 Defined cases: null or empty html gives empty text; a page without any block too; unclosed and
 misnested tags close as in browsers (a new block closes an open paragraph); a tag cut off by
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import as_number, as_text, pick
 
-SAMPLE, LONGEST = 300, 400
+SAMPLE, LONGEST, MOST_BLOCKS = 300, 400, 400_000
 PATH_DIM, WORD_DIM, COUNTS = 48, 8, 4
 HIDDEN, EPOCHS, BATCH, RATE = 16, 12, 32, 1e-2
 
@@ -182,8 +185,8 @@ class Network:
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool):
         steps, rows, _ = x.shape
-        h, c = np.zeros((rows, HIDDEN)), np.zeros((rows, HIDDEN))
-        out, saved = np.zeros((steps, rows, HIDDEN)), []
+        h, c = np.zeros((rows, HIDDEN), x.dtype), np.zeros((rows, HIDDEN), x.dtype)
+        out, saved = np.zeros((steps, rows, HIDDEN), x.dtype), []
         fixed = x @ w[: x.shape[2]] + b
         for t in range(steps):
             gates = fixed[t] + h @ w[x.shape[2]:]
@@ -218,7 +221,7 @@ class Network:
         return dw, db
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2, v, a = self.p
+        w1, b1, w2, b2, v, a = (weights.astype(x.dtype) for weights in self.p)
         ahead, _ = self._pass(x, mask, w1, b1, False)
         behind, _ = self._pass(x[::-1], mask[::-1], w2, b2, False)
         return 1 / (1 + np.exp(-(ahead @ v[:HIDDEN] + behind[::-1] @ v[HIDDEN:] + a[0])))
@@ -254,17 +257,19 @@ class Network:
         return self
 
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(pages: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
-    x = np.zeros((steps, len(pages), pages[0].shape[1]))
+    x = np.zeros((steps, len(pages), pages[0].shape[1]), kind)
     mask = np.zeros((steps, len(pages)), bool)
     for j, p in enumerate(pages):
         x[: len(p), j], mask[: len(p), j] = p, True
     return x, mask
 
 
-def relayouts(blocks: list[Block], rng: np.random.Generator, copies: int = 2) -> Iterator[list[Block]]:
-    """The same blocks in other layouts: other names for the article, other parts around and within it."""
+def relayouts(blocks: list[Block], rng: np.random.Generator, copies: int = 2, borrowed: float = 0.4) -> Iterator[list[Block]]:
+    """The same blocks in other layouts: other names for the article, other parts around and within it.
+
+    A share ``borrowed`` of the other parts' blocks holds text of the article, which only names tell apart."""
     inside = [b for b in blocks if layout_label(b.path)]
     outside = [b for b in blocks if not layout_label(b.path)] or blocks[:1]
     out_words, in_words = sorted(LAYOUT_OUT - BLOCK_TAGS), sorted(LAYOUT_IN - BLOCK_TAGS)
@@ -276,7 +281,7 @@ def relayouts(blocks: list[Block], rng: np.random.Generator, copies: int = 2) ->
         def part(base: tuple[str, ...]) -> list[Block]:
             word = (str(rng.choice(out_tags)),) if rng.random() < 0.4 else (str(rng.choice(["div", "section", "ul", "span"])), str(rng.choice(out_words)))
             leaf = str(rng.choice(["p", "li", "div", "a", "h3", "span", "label"]))
-            return [Block((*base, *word, leaf), outside[rng.integers(len(outside))].text if rng.random() < 0.6
+            return [Block((*base, *word, leaf), outside[rng.integers(len(outside))].text if rng.random() >= borrowed
                           else inside[rng.integers(len(inside))].text, int(rng.integers(0, 40))) for _ in range(rng.integers(1, 6))]
 
         made: list[Block] = [b for _ in range(rng.integers(1, 4)) for b in part(("html", "body"))]
@@ -288,18 +293,57 @@ def relayouts(blocks: list[Block], rng: np.random.Generator, copies: int = 2) ->
         yield made + [b for _ in range(rng.integers(1, 4)) for b in part(("html", "body"))]
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, page_id: str = "page_id", html: str = "html") -> Network | None:
-    """A network trained on at most ``sample`` pages and their re-laid copies."""
+def hidden(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The same blocks with every listed name of their paths replaced: by nothing but a div, or by a name made up for this page."""
+    nameless, names = rng.random() < 0.5, {}
+
+    def words(w: str) -> tuple[str, ...]:
+        if w not in LAYOUT_IN and w not in LAYOUT_OUT:
+            return (w,)
+        if nameless:
+            return ("div",)
+        if w not in names:
+            names[w] = ("div", bytes(rng.integers(97, 123, 7).tolist()).decode())
+        return names[w]
+
+    return [Block(tuple(x for w in b.path for x in words(w)), b.text, b.linked) for b in blocks]
+
+
+def layouts(blocks: list[Block], rng: np.random.Generator) -> Iterator[tuple[list[Block], list[bool]]]:
+    """Every copy of a page that trains, with its labels."""
+    label = lambda made: [layout_label(b.path) for b in made]
+    for made in [blocks, *relayouts(blocks, rng)]:
+        yield made, label(made)
+    if any(label(blocks)):
+        for made in [blocks, *relayouts(blocks, rng, 1, 0.0)]:
+            yield hidden(made, rng), label(made)
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE, page_id: str = "page_id", html: str = "html", most_blocks: int = MOST_BLOCKS) -> Network | None:
+    """A network trained on at most ``sample`` pages and their copies, ``most_blocks`` blocks at the most."""
     turn = F.xxhash64("page_id", F.lit("sample"))
     chosen = pick(pages, page_id=page_id, html=html).where(F.length("html") > 0).orderBy(turn, "page_id", "html").limit(sample)
-    rng, rows = np.random.default_rng(17), []
-    # at most `sample` pages, each by its blocks' vectors only
-    for page in chosen.toPandas()["html"]:
-        blocks = read_blocks(page)
-        for layout in [blocks, *relayouts(blocks, rng)]:
-            for at in range(0, len(layout), LONGEST):
-                some = layout[at: at + LONGEST]
-                rows.append((vectors(some), np.array([layout_label(b.path) for b in some], float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the limit leaves one partition: one task sees all chosen pages in their order
+        room = most_blocks
+        for f in frames:
+            for page in f["html"]:
+                made = list(layouts(read_blocks(page), np.random.default_rng(zlib.crc32(page.encode("utf-8", "replace")))))
+                size = sum(len(blocks) for blocks, _ in made)
+                if size > room:
+                    continue
+                room -= size
+                for blocks, labels in made:
+                    for at in range(0, len(blocks), LONGEST):
+                        yield pd.DataFrame({"x": [vectors(blocks[at: at + LONGEST]).tobytes()],
+                                            "y": [np.array(labels[at: at + LONGEST], np.uint8).tobytes()]})
+
+    made = chosen.select("html").mapInPandas(run, "x binary, y binary").toPandas()
+    rows = []
+    for x, y in zip(made["x"], made["y"], strict=True):
+        labels = np.frombuffer(y, np.uint8).astype(float)
+        rows.append((np.frombuffer(x, np.float32).reshape(len(labels), -1), labels))
     if not rows:
         return None
     return Network(rows[0][0].shape[1]).train(rows)
@@ -324,7 +368,7 @@ def extract(pages: DataFrame, model: Network | None = None, page_id: str = "page
                     some, order = order[-most:], order[:-most]
                     if shared.value is None:
                         continue
-                    x, mask = padded([vectors(read[j]) for j in some])
+                    x, mask = padded([vectors(read[j]) for j in some], np.float32)
                     article = shared.value.probabilities(x, mask) >= 0.5
                     for k, j in enumerate(some):
                         texts[j] = "\n".join(b.text for b, yes in zip(read[j], article[:, k], strict=False) if yes)

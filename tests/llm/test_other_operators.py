@@ -3,6 +3,7 @@
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -170,6 +171,41 @@ def test_self_closed_icons(sp):
     assert rows[0] == rows[1]
 
 
+# names that no list holds, and none
+OTHER = {"article": "texte", "nav": "leiste", "aside": "rand", "footer": "fuss", "header": "kopf", "main": "mitte", "section": "teil"}
+
+
+def relaid(page, named):
+    for tag, name in OTHER.items():
+        page = re.sub(rf"<{tag}\b[^>]*>", f'<div class="{name}">', page).replace(f"</{tag}>", "</div>")
+    return re.sub(r'class="ad"', 'class="qzv"', page) if named else re.sub(r'\s(class|id|role)="[^"]*"', "", page)
+
+
+@pytest.mark.parametrize("named,least", [(True, 0.9), (False, 0.8)])
+def test_pages_of_unknown_layouts(sp, named, least):
+    """Pages whose parts have other names, or none, give the words of their articles; the model has not seen these pages."""
+    pages = sp.read.parquet(f"{SF_ORACLE}/pages.parquet")
+    model = html.fit(pages.where("page_id % 2 = 0"))
+    rows = [(r["page_id"], "u", r["html"]) for r in pages.where("page_id % 2 = 1").collect()]
+    want = {r["page_id"]: r["text"] for r in html.extract(sp.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    other = sp.createDataFrame([(i, u, relaid(h, named)) for i, u, h in rows], "page_id long, url string, html string")
+    hit = found = wanted = 0
+    for r in html.extract(other, model).collect():
+        got, due = Counter(r["text"].split()), Counter(want[r["page_id"]].split())
+        assert r["text"] and due
+        hit, found, wanted = hit + sum((got & due).values()), found + sum(got.values()), wanted + sum(due.values())
+    assert 2 * hit / (found + wanted) >= least
+
+
+def test_bounded_blocks_train(sp, monkeypatch):
+    """Pages that don't fit what is left of the blocks don't train; the others do, whole."""
+    seen = []
+    monkeypatch.setattr(html.Network, "train", lambda self, pages: seen.extend(pages))
+    rows = [(i, "<div class='menu'>" + "<p>x</p>" * n + "</div>") for i, n in enumerate([30, 5000, 40])]
+    html.fit(sp.createDataFrame(rows, "page_id long, html string"), most_blocks=100)
+    assert sorted(len(labels) for _, labels in seen) == [30, 40]
+
+
 def test_all_blocks_of_long_pages_train(sp, monkeypatch):
     seen = []
     monkeypatch.setattr(html.Network, "train", lambda self, pages: seen.extend(pages))
