@@ -1,4 +1,4 @@
-"""Registered queries for pages by position, ordered exports and bucketed snapshots, each with its DuckDB oracle."""
+"""Registered queries for pages by position, ordered exports, bucketed snapshots and indexed search, each with its DuckDB oracle."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.operators import tableview as TV
+from carelake.operators import textindex as TX
 from carelake.plans import reports as R
 from carelake.session import checkpoint_dir
 from carelake.sources.adapter import clinic_tables
 from carelake.sources.sinks import export_ordered_csv, write_bucketed
 from carelake.sources.tables import VISIT_BUCKETS, load_bucketed
-from operator_queries import _BAL, _NUM, _plain, _wrap
+from operator_queries import _BAL, _NUM, OPERATOR_SQL, _plain, _wrap
 from oracle_sql import REPORT_SQL
 
 PAGE, ROWS = 50, 20
@@ -61,11 +62,25 @@ def q_full_visit_history_bucketed(spark, sf_dir, t=None) -> DataFrame:
     return _plain(R.full_visit_history(load_bucketed(spark, _BUCKETED[key], VISIT_BUCKETS, t)))
 
 
+_INDEXES: dict[tuple, TX.TextIndex] = {}
+
+
+def q_search_appointments_indexed(spark, sf_dir, t=None) -> DataFrame:
+    """The search of the whole schedule through its substring index (written once per session and input)."""
+    t = t or clinic_tables(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, t.appointment.semanticHash())
+    if key not in _INDEXES:
+        listing = R.appointment_list(t, display=True)
+        _INDEXES[key] = TX.TextIndex.build(listing, f"{checkpoint_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}")
+    return _INDEXES[key].search("  Completed 1-URGENT ").rows
+
+
 QUERIES = {
     "bill_page": q_bill_page,
     "bill_page_by_balance": q_bill_page_by_balance,
     "exported_bill_lines": q_exported_bill_lines,
     "full_visit_history_bucketed": q_full_visit_history_bucketed,
+    "search_appointments_indexed": q_search_appointments_indexed,
 }
 
 
@@ -91,4 +106,5 @@ SELECT * FROM (SELECT *, row_number() OVER (ORDER BY
 SELECT 'ID,Patient,Date,Total,Paid,Balance,Status' AS line UNION ALL
 SELECT {" || ',' || ".join(_cell(c) for c in _COLUMNS)} FROM page"""),
     "full_visit_history_bucketed": REPORT_SQL["full_visit_history"],
+    "search_appointments_indexed": OPERATOR_SQL["search_appointments"],
 }
