@@ -8,14 +8,13 @@ display text of each cell (``-`` for NULL), as the application does.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 # Text forms of a number the sort accepts (decimal, exponent, infinity).
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -154,7 +153,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     plus its index in its own partition.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/positions-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "positions")
     (df.orderBy(*order)
      .withColumn("_pid", F.spark_partition_id())
      .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

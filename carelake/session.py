@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: The intermediate tables of this process by application, in the order in which they were begun.
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A fresh path for an intermediate table, in the shared folder if none is named; ``scratch`` removes it."""
+    path = f"{(folder or checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """On leaving, removes the intermediate tables that were begun within; they are listed in what it gives.
+
+    Results are lazy and read those tables: write or collect them before leaving.  Blocks may be nested; a block removes
+    what it saw begin, also when it is left by an error.  Jobs that run side by side in one process share one list, so wrap
+    them in one block.
+    """
+    made = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    seen: list[str] = []
+    try:
+        yield seen
+    finally:
+        seen.extend(made[before:])
+        del made[before:]
+        for path in seen:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back: cuts the lineage,
     so that results drawn from it don't read its inputs again."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

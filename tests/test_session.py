@@ -25,3 +25,24 @@ def test_end_to_end_snapshot_workflow(spark, seed, tmp_path):
     t["bill"] = load_tables(spark, str(tmp_path / "v1"), names=["bill"])["bill"]
     r = R.dashboard_metrics(t).first()
     assert (r.collected, r.outstanding) == (Decimal("560000.00"), Decimal("175000.00"))
+
+
+def test_scratch_removes_what_it_saw_begin(spark, seed):
+    import os
+
+    import pytest
+
+    from carelake.operators.tableview import positions
+    from carelake.session import scratch, stored
+
+    at = lambda df: df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    before = at(stored(seed.clinic, "kept"))
+    with scratch(spark) as outer:
+        first = at(stored(seed.clinic, "outer"))
+        with pytest.raises(KeyError), scratch(spark) as inner:
+            second = at(positions(seed.staff, ["staff_id"]))
+            assert os.path.isdir(second)
+            raise KeyError
+        assert inner and not os.path.exists(second) and os.path.isdir(first)
+        rows = stored(seed.clinic, "outer").collect()
+    assert len(outer) == 2 and not os.path.exists(first) and os.path.isdir(before) and rows
