@@ -177,23 +177,45 @@ def change_status(appointment: DataFrame, status_in: DataFrame) -> Changed:
 MOST_STOCK = 2147483647
 
 
+def _held_by_name(rows: DataFrame, known: DataFrame, collation: str | None, bad: Column) -> DataFrame:
+    """Rows of a batch by name with ``_has`` and ``_over`` of each medication of the name that gives them an error.
+
+    What a name's medications are is counted per name first; a row that all of them accept meets none of them."""
+    names = known.select(X.collated("medication_name", collation).alias("_asked"), "medication_id")
+    state = known.where("medication_id is not null").select("medication_id", "_over")
+    per_name = names.join(state, "medication_id", "left").where(F.col("_asked").isNotNull()).groupBy("_asked").agg(
+        F.count_if(F.col("_over")).alias("_n_over"), F.count_if(~F.col("_over")).alias("_n_fit"), F.count_if(F.col("_over").isNull()).alias("_n_lost"))
+    held = rows.withColumn("_key", X.collated("_name", collation)).join(per_name, F.col("_key") == F.col("_asked"), "left")
+    kinds = [(True, True, F.coalesce("_n_over", F.lit(0))), (True, False, F.when(bad, F.coalesce("_n_fit", F.lit(0))).otherwise(0)),
+             (False, False, F.coalesce("_n_lost", F.lit(1)))]
+    found = F.concat(*[F.array_repeat(F.struct(F.lit(has).alias("_has"), F.lit(over).alias("_over")), n.cast("int")) for has, over, n in kinds])
+    return held.select(*rows.columns, F.inline(found))
+
+
 def restock(medication: DataFrame, restock_in: DataFrame, collation: str | None = None) -> Changed:
     """Add positive quantities to stock; several rows per medication are summed first.
 
     The batch names a medication by ``medication_id`` or, if it has no such
     column, by ``medication_name`` (every medication of that name is restocked; names
-    are equal under the ``collation``).  Deliveries summed per medication meet the table once.
+    are equal under the ``collation``).  Deliveries summed per medication meet the table once; those given by name are
+    summed per name before, so a name that many medications share costs its deliveries plus its medications, not their product.
     """
     text_cols = restock_in.columns
-    if "medication_id" not in text_cols:
-        names = medication.select(X.collated("medication_name", collation).alias("_name"),
-                                  F.col("medication_id").cast("string").alias("medication_id"))
-        asked = restock_in.withColumn("_asked", X.collated(V.stripped("medication_name"), collation))
-        restock_in = asked.join(names, asked["_asked"] == names["_name"], "left").drop("_asked", "_name")
-    rows = restock_in.withColumn("_id", V.parse_id("medication_id")).withColumn("_quantity", V.parse_int("quantity"))
+    by_name = "medication_id" not in text_cols
+    rows = restock_in.withColumn("_quantity", V.parse_int("quantity"))
     counts = F.col("_quantity") > 0
-    summed = rows.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("medication_id")).agg(
-        F.sum(F.when(counts, F.col("_quantity"))).alias("_added"), F.count_if(counts).alias("_deliveries"))
+    sums = [F.sum(F.when(counts, F.col("_quantity"))).alias("_added"), F.count_if(counts).alias("_deliveries")]
+    if by_name:
+        rows = rows.withColumn("_name", V.stripped("medication_name"))
+        # per spelling first: equal bytes are hashed, and few rows are left to be sorted under the collation
+        spelt = rows.where(F.col("_name").isNotNull()).groupBy("_name").agg(*sums)
+        again = [F.sum(c).alias(c) for c in ("_added", "_deliveries")]
+        named = spelt.groupBy(X.collated("_name", collation).alias("_asked")).agg(*again)
+        names = medication.where("medication_id is not null").select("medication_id", X.collated("medication_name", collation).alias("_name"))
+        summed = names.join(named, names["_name"] == named["_asked"]).groupBy("medication_id").agg(*again)
+    else:
+        rows = rows.withColumn("_id", V.parse_id("medication_id"))
+        summed = rows.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("medication_id")).agg(*sums)
     judged = medication.withColumn("_known", F.lit(True)).join(summed, "medication_id", "full_outer")
     after = F.col("stock_quantity").cast("long") + F.coalesce("_added", F.lit(0))
     judged = judged.withColumn("_over", F.col("_known") & (after > MOST_STOCK))
@@ -206,9 +228,12 @@ def restock(medication: DataFrame, restock_in: DataFrame, collation: str | None
         accepted = known.where((F.col("_deliveries") > 0) & ~F.col("_over")).select(
             "medication_id", F.col("_deliveries").alias("deliveries"), F.col("_added").cast("long").alias("added"),
             F.col("stock_quantity").alias("stock_before"), after.cast("int").alias("stock_after"))
-        state = judged.where(F.col("_deliveries").isNotNull()).select(
-            F.col("medication_id").alias("_id"), F.coalesce("_known", F.lit(False)).alias("_has"), "_over")
-        held = rows.join(state, "_id", "left")
+        if by_name:
+            held = _held_by_name(rows, known, collation, bad)
+        else:
+            state = judged.where(F.col("_deliveries").isNotNull()).select(
+                F.col("medication_id").alias("_id"), F.coalesce("_known", F.lit(False)).alias("_has"), "_over")
+            held = rows.join(state, "_id", "left")
         rules = [(message, bad), ("Medication does not exist", ~F.coalesce("_has", F.lit(False)))]
         errors = V.errors_column(rules)
         over = F.when((F.size("_errors") == 0) & F.coalesce("_over", F.lit(False)),

@@ -65,3 +65,21 @@ def test_restock_by_name(spark, seed):
     assert [(r.deliveries, r.added) for r in ch.accepted.collect()] == [(2, 6)]
     assert [(r.seq, r.errors) for r in ch.rejected.collect()] == [(3, ["Medication does not exist"])]
     assert [(r.deliveries, r.added) for r in C.restock(seed.medication, batch).accepted.collect()] == [(1, 1)]
+
+
+def test_restock_by_a_name_that_many_share(spark, seed):
+    rows = [(i, f"Same {'name' if i % 2 else 'NAME'}", None, "tablet", C.MOST_STOCK if i == 1 else 1) for i in range(1, 301)] + [(301, "Other", None, "tablet", 1)]
+    stock = spark.createDataFrame(rows, seed.medication.schema)
+    texts = [(i, ["same name", " SAME NAME", "Same Name "][i % 3], str(i % 2)) for i in range(400)] + [(400, "other", "7"), (401, "gone", "1"), (402, None, "x")]
+    ch = C.restock(stock, spark.createDataFrame(texts, "seq long, medication_name string, quantity string"), X.ANY_CASE)
+    plan = ch.accepted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join" in line and "_asked" in line)
+    assert any("Aggregate" in line and "_asked" in line for line in plan[at + 1:]), "deliveries are summed per name before they meet the medications"
+    got = {r.medication_id: (r.deliveries, r.added) for r in ch.accepted.collect()}
+    assert got == {**{i: (200, 200) for i in range(2, 301)}, 301: (1, 7)}
+    errors = ch.rejected.groupBy("seq", F.array_join("errors", "; ").alias("errors")).count().collect()
+    want = {(i, "Quantity must be a whole number greater than zero"): 300 for i in range(0, 400, 2)}
+    want |= {(i, "Stock would exceed its limit"): 1 for i in range(1, 400, 2)}
+    want |= {(401, "Medication does not exist"): 1, (402, "Quantity must be a whole number greater than zero; Medication does not exist"): 1}
+    assert {(r.seq, r.errors): r["count"] for r in errors} == want
+    assert {r.medication_id: r.stock_quantity for r in ch.table.where("medication_id < 3").collect()} == {1: C.MOST_STOCK, 2: 201}
