@@ -6,8 +6,9 @@ trigrams; only those are read, and each of their rows is judged by the literal r
 the result is that of the scan.  Terms of fewer than three characters have no trigram and scan all blocks.
 
 Blocks follow the order of the rows as given: a listing sorted by what users search for has its hits in few blocks.
-Trigrams are cut by code points from a row's whole text; listings have short cells (the cost of cutting grows with the
-square of one row's length).
+Trigrams are cut by code points in one pass over the joined texts of a block, so that each is met once per block; a set of up
+to ``GROUP`` blocks that follow each other goes on as the bits of one number.  Those that span two rows' texts are
+listed too: they name blocks that are read in vain for a term with a line break, never one too few.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from . import tableview as TV
 
 GRAM, BLOCK_ROWS, CHUNK = 3, 1024, 4096
+#: Blocks whose set is one 64-bit number.
+GROUP = 64
 #: Bytes of a row group, the least that a scan can skip.
 ROW_GROUP = 4 << 20
 #: Up to so many blocks are named to the scan, as at most so many ranges; more are joined.
@@ -37,9 +40,23 @@ class Found:
 
 
 def _grams(text: Column) -> Column:
-    last = F.length(text) - (GRAM - 1)
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM))))
+    """The different trigrams of a text; the match ahead steps by one code point, so that they overlap."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
+
+
+def _lists(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``gram``, ``chunk``, ``blocks``: the posting lists of rows with their ``_block``.
+
+    Blocks that follow each other lie in one task: it joins the texts of each, cuts them, and hands on one row
+    per trigram and ``GROUP`` blocks."""
+    by_group = rows.select(F.shiftright("_block", GROUP.bit_length() - 1).alias("_group"), "_block", TV.row_text(rows, columns).alias("_text")).repartition("_group")
+    joined = by_group.groupBy("_group", "_block").agg(F.concat_ws("\n", F.collect_list("_text")).alias("_text"))
+    held = joined.select("_group", "_block", F.explode(_grams(F.col("_text"))).alias("gram"))
+    bits = held.groupBy("_group", "gram").agg(F.expr(f"bit_or(shiftleft(1L, cast(_block % {GROUP} as int)))").alias("_bits"))
+    named = bits.withColumn("_blocks", F.expr(
+        f"transform(filter(sequence(0, {GROUP - 1}), i -> getbit(_bits, i) = 1), i -> _group * {GROUP} + i)"))
+    chunk = F.floor(F.col("_group") * GROUP / CHUNK).alias("chunk")
+    return named.groupBy("gram", chunk).agg(F.flatten(F.collect_list("_blocks")).alias("blocks"))
 
 
 class TextIndex:
@@ -58,9 +75,7 @@ class TextIndex:
         numbered = listing.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), shift))
         numbered.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/rows")
         rows = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
-        held = rows.select("_block", F.explode(_grams(TV.row_text(rows, names))).alias("gram")).distinct()
-        lists = held.groupBy("gram", F.floor(F.col("_block") / CHUNK).alias("chunk")).agg(F.collect_set("_block").alias("blocks"))
-        (lists.repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk")
+        (_lists(rows, names).repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk")
          .write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings"))
         return TextIndex.load(spark, path, names)
 

@@ -1,5 +1,7 @@
 """The substring index gives what the scan gives."""
 
+import time
+
 import pytest
 
 from carelake.operators import tableview as TV
@@ -49,3 +51,27 @@ def test_ranges():
 def test_empty_listing(spark, listing, tmp_path):
     index = TX.TextIndex.build(listing.limit(0), str(tmp_path / "index"))
     assert index.blocks == 0 and index.search("john").rows.count() == 0 and index.search("").rows.count() == 0
+
+
+def test_lists_of_many_blocks(spark):
+    rows = [((1 << 23 if i % 3 else 0) + i // 4, f"Wort{i % 89}", "é𝄞z" if i % 50 == 0 else None) for i in range(1200)]
+    want = {}
+    for block, a, b in rows:
+        text = f"{a} {b or '-'}".lower()
+        for i in range(len(text) - 2):
+            want.setdefault(text[i: i + 3], set()).add(block)
+    lists = TX._lists(spark.createDataFrame(rows, "_block long, a string, b string"), ["a", "b"]).collect()
+    assert len({(r.gram, r.chunk) for r in lists}) == len(lists) and all(b // TX.CHUNK == r.chunk for r in lists for b in r.blocks)
+    got = {}
+    for r in lists:
+        assert len(set(r.blocks)) == len(r.blocks) <= TX.CHUNK
+        got.setdefault(r.gram, set()).update(r.blocks)
+    assert {g: b for g, b in got.items() if "\n" not in g} == want
+
+
+def test_a_long_cell_is_cut_in_one_pass(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(600_000))
+    began = time.monotonic()
+    got = spark.createDataFrame([(0, text)], "_block long, a string")
+    assert {r.gram for r in TX._lists(got, ["a"]).collect()} == {text[i: i + 3] for i in range(len(text) - 2)}
+    assert time.monotonic() - began < 20
