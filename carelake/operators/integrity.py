@@ -60,16 +60,19 @@ def key_audit(t: Tables) -> DataFrame:
 
     Each table is scanned once and gives a tagged row per key column; one aggregation over
     the union counts the roles of a key, reduced before the one shuffle, so a parent that a third of all rows
-    name is one row per task.  ``refs_i`` counts the rows of the parent's i-th edge (``edges_of``).
+    name is one row per task.  ``refs_i`` counts the rows of the parent's i-th edge (``edges_of``).  Until the keys are
+    counted a parent goes by its number, so that a task's table of keys holds no names.
     """
     parts = []
     for name in TABLES:
         uses = [(name, PRIMARY_KEYS[name], 0)]
         uses += [(p, fk, edges_of(p).index((c, fk)) + 1) for c, fk, p in FOREIGN_KEYS if c == name]
-        tagged = [F.struct(F.lit(p).alias("parent_table"), F.col(c).cast("long").alias("key"), F.lit(role).alias("role")) for p, c, role in uses]
+        tagged = [F.struct(F.lit(TABLES.index(p)).cast("byte").alias("_parent"), F.col(c).cast("long").alias("key"), F.lit(role).alias("role")) for p, c, role in uses]
         parts.append(t[name].select(F.inline(F.array(*tagged))))
     refs = [F.count_if(F.col("role") == i + 1).alias(f"refs_{i + 1}") for i in range(MOST_EDGES)]
-    return _union(parts).groupBy("parent_table", "key").agg(F.count_if(F.col("role") == 0).alias("parent_rows"), *refs)
+    audit = _union(parts).groupBy("_parent", "key").agg(F.count_if(F.col("role") == 0).alias("parent_rows"), *refs)
+    named = F.element_at(F.array(*[F.lit(name) for name in TABLES]), F.col("_parent") + 1).alias("parent_table")
+    return audit.select(named, "key", "parent_rows", *[f"refs_{i + 1}" for i in range(MOST_EDGES)])
 
 
 def orphan_keys(t: Tables) -> DataFrame:
