@@ -67,9 +67,11 @@ def assign_ids(df: DataFrame, id_col: str, high_water: int, order: Sequence[str]
     """``id = high_water + position`` in ``order``; ids are never reused.
 
     ``high_water`` is the last id ever issued (an argument, not ``max(id)``, because
-    deleted ids must not come back).
+    deleted ids must not come back).  The rows are written once before they are sorted: sampling
+    the sort's ranges would judge the whole batch a second time.
     """
-    ranked = positions(df, [F.col(c) for c in order], name="_pos")
+    new = stored(df, "new")
+    ranked = positions(new, [F.col(c) for c in order], name="_pos", rows=new.count())
     return ranked.withColumn(id_col, F.lit(high_water).cast("long") + F.col("_pos")).drop("_pos")
 
 

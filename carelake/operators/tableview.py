@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..session import scratch_path
+from ..session import scratch_path, stored
 
 # Text forms of a number the sort accepts (decimal, exponent, infinity).
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -142,7 +142,18 @@ def with_headings(df: DataFrame, headings: Sequence[str]) -> DataFrame:
     return df.toDF(*headings)
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+#: Rows of a sort partition where the number of rows is known: a task's memory doesn't grow with the table.
+RANGE_ROWS = 1_000_000
+
+
+def _sorted(df: DataFrame, order: Sequence[Column], rows: int | None) -> DataFrame:
+    """``df`` in a global order; tables of more rows than the session's partitions should take get partitions by their rows."""
+    if rows is None or rows <= RANGE_ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.orderBy(*order)
+    return df.repartitionByRange(-(-rows // RANGE_ROWS), *order).sortWithinPartitions(*order)
+
+
+def positions(df: DataFrame, order: Sequence[Column], name: str = "position", rows: int | None = None) -> DataFrame:
     """Dense 1-based positions in a global sort order, without a single-partition window.
 
     The rows are range-sorted and each row records its sort partition and its
@@ -150,11 +161,11 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     once as Parquet under ``spark.checkpoint.dir``, which cuts the lineage and makes
     both values stable however the files are read back.  A row's position is the
     count of rows in earlier partitions (one small row per partition)
-    plus its index in its own partition.
+    plus its index in its own partition.  ``rows`` is their number, where it is known.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "positions")
-    (df.orderBy(*order)
+    (_sorted(df, order, rows)
      .withColumn("_pid", F.spark_partition_id())
      .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
      .write.parquet(path))
@@ -163,8 +174,8 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     offsets = per_part.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    # one row per sort partition; Spark chooses the join by its size
-    out = ranked.join(offsets, "_pid")
+    # one row per sort partition: broadcast, else all ranked rows would be shuffled to meet them
+    out = ranked.join(F.broadcast(offsets), "_pid")
     return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
             .drop("_pid", "_local", "_off"))
 
@@ -194,10 +205,11 @@ def page(df: DataFrame, order: Sequence[tuple[Column, bool]], first: int, last:
 
     Distributed selection: splitters are sampled from the rows, one aggregation counts the rows before each of them
     (a few numbers a task, no shuffle of rows), and only the range between the two splitters around the page goes on;
-    this repeats until a range is small.  Only its rows are sorted and numbered.  The order has to be
+    this repeats until a range is small.  Only its rows are sorted and numbered.  The rows are written once, with their
+    keys, so that the passes read columns and don't compute the listing again.  The order has to be
     total (end it with a unique key); where rows tie on all of it and can't be split, they are sorted whole.
     """
-    keyed = df.withColumns({f"_order{i}": key for i, (key, _) in enumerate(order)})
+    keyed = stored(df.withColumns({f"_order{i}": key for i, (key, _) in enumerate(order)}), "page")
     names = [f"_order{i}" for i in range(len(order))]
     keys = [(F.col(n), up) for n, (_, up) in zip(names, order)]
     sort = [c.asc() if up else c.desc() for c, up in keys]

@@ -66,7 +66,7 @@ def _lines(li: DataFrame) -> DataFrame:
     # the same plan over the same files (their names, not only the folder, are part of it) is numbered once
     key = (spark.sparkContext.applicationId, li.semanticHash())
     if key not in _NUMBERED:
-        _NUMBERED[key] = positions(li, [F.col(c).asc_nulls_first() for c in LINE_ORDER], name="line_id")
+        _NUMBERED[key] = positions(li, [F.col(c).asc_nulls_first() for c in LINE_ORDER], name="line_id", rows=li.count())
     return _NUMBERED[key]
 
 
