@@ -17,6 +17,8 @@ def _ledger(spark, sf_dir, t) -> DataFrame:
     """The ledger of the tables after a batch of bills and one of payments (made once per session and input)."""
     key = (spark.sparkContext.applicationId, t.bill.semanticHash())
     if key not in _LEDGERS:
+        # both are read several times: as snapshots, not derived anew each time
+        t = t.replace(bill=stored(t.bill, "bill"), appointment=stored(t.appointment, "appointment"))
         before = stored(U.of_tables(t), "ledger")
         billed = C.create_bills(t, bill_batch(spark, sf_dir), _high_water(t.bill, "bill_id"))
         paid = C.apply_payments(t.bill, payment_batch(spark, sf_dir)).stored()
