@@ -180,14 +180,18 @@ def keys_present(keys: DataFrame, key: str, wanted: DataFrame, wanted_key: str,
 def mark_existing(df: DataFrame, id_expr: Column, parent: DataFrame, parent_key: str, flag: str, small: bool | None = None) -> DataFrame:
     """Add a boolean ``flag``: does ``id_expr`` exist as ``parent_key`` in ``parent``?
 
-    The parent keys are first reduced to the ids the batch asks for
-    (:func:`keys_present`), then left-joined back (one row per id, so no fan-out).
+    A small batch reduces the parent keys to its ids first (:func:`keys_present`); a large one meets the
+    distinct parent keys as they are, without a pass over its ids before.  Either has one row per id, so no fan-out.
     ``small`` is the answer of :func:`is_few` where it is known.
     """
     probe_col, key_col = f"_{flag}_probe", f"_{flag}_key"
     small = is_few(df) if small is None else small
     out = df.withColumn(probe_col, id_expr)
-    found = keys_present(parent, parent_key, out, probe_col, alias=key_col, small=small).withColumn(flag, F.lit(True))
+    if small:
+        found = keys_present(parent, parent_key, out, probe_col, alias=key_col, small=True)
+    else:
+        found = parent.select(F.col(parent_key).alias(key_col)).where(F.col(key_col).isNotNull()).distinct()
+    found = found.withColumn(flag, F.lit(True))
     out = out.join(found, out[probe_col] == found[key_col], "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(probe_col, key_col)
 

@@ -72,3 +72,14 @@ def test_the_ledger_derives_bills_and_visits_once(spark):
     got = Q.q_dashboard_kept_up(spark, SF, t.replace(bill=bill, appointment=appointment)).first()
     assert got.appointments == n_visits
     assert (bills.value, visits.value) == (2 * once[0], 2 * once[1])
+
+
+def test_a_large_batch_meets_its_parents_once(spark, monkeypatch):
+    from carelake.operators import validate as V
+
+    monkeypatch.setattr(V, "FEW", 0)
+    parent = spark.range(0, 1000).select((F.col("id") % 500).alias("pid"))
+    batch, seen = counted(spark, spark.range(0, 2000, 1, 4).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("p")), "seq")
+    marked = V.mark_existing(batch, V.parse_id("p"), parent, "pid", "_has", small=False)
+    assert {r.seq for r in marked.collect() if r._has} == set(range(500))
+    assert seen.value == 2000
