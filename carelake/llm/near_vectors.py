@@ -7,11 +7,14 @@ of its nearest centroid with its residual codes and the error that the codes mak
 every list that may hold a vector within the threshold's distance.  A list is passed over only
 where that distance is less than the vector's to the ball around the list's centroid that holds all its
 members, or to the half space of what is nearer to that centroid than to the vector's own; both lose
-nothing, whatever the number of lists.  In a list, table look-ups give the distance to each coded
-vector; a pair is dropped only if that distance less the coding error exceeds the
+nothing, whatever the number of lists.  In a list, the codes are read back and one matrix product a block
+gives the distance to each coded vector; a pair is dropped only if that distance less the coding error exceeds the
 threshold's distance, which loses nothing either, and the rest is decided by the exact cosine in
 double precision.  Of two lists only one probes the other, so a pair meets once and counts for both sides.
 
+Where the vectors are scattered evenly nearly every list may hold a link, so the work stays that of all pairs (one
+multiplication and addition in single precision a component); of groups that lie apart only the near ones meet.
+
 Lists share shelves of about ``MOST_MEMBERS`` vectors, which are compared in blocks of bounded size;
 a block hands on each vector's number of links and the links of a spanning forest only, never all pairs.
 
@@ -35,9 +38,9 @@ from carelake.llm.vectors import blocks, matrix, sample_rows, usable
 
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES, ROUNDS = 16, 64, 8
-MOST_MEMBERS, MOST_PROBERS = 1024, 2048
-#: More than rounding can make of a distance or a cosine here.
-SLACK, CLOSE = 1e-6, 1e-9
+MOST_MEMBERS, MOST_PROBERS = 4096, 4096
+#: More than rounding can make of a distance or a cosine here, or of an inner product in single precision.
+SLACK, CLOSE, SINGLE = 1e-6, 1e-9, 1e-4
 
 
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -90,13 +93,13 @@ class Quantiser:
         """The residuals that the codes stand for, by subspace."""
         return np.stack([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
 
-    def tables(self, x: np.ndarray) -> list[np.ndarray]:
-        """Per subspace: inner products of every code with the rows."""
-        rows = self.split(x)
-        return [book @ rows[:, s].T for s, book in enumerate(self.books)]
+    def coded(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The vectors that the lists and codes stand for."""
+        centres = self.centres[lists]
+        return centres + self.decoded(codes).reshape(len(codes), -1)[:, : centres.shape[1]]
 
-    def reached(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each row, filed in list ``home``, probes each of the lists, and its squared distance to their centroids.
+    def reached(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each row, filed in list ``home``, probes each of the lists.
 
         No list that holds a vector within ``reach`` is left out, but for the turn: of two lists one probes the other.
         """
@@ -106,7 +109,7 @@ class Quantiser:
         gap = np.sqrt(squared(self.centres[home], centres))
         near = (np.sqrt(far) <= radius[lists] + reach) & (far - at_home <= 2 * reach * gap + SLACK)
         turn = (own == lists) | (((own + lists) % 2 == 0) == (own < lists))
-        return near & turn, far
+        return near & turn
 
 
 def forest(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +177,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         for f in frames:
             for at in range(0, len(f), 512):
                 part = f.iloc[at: at + 512]
-                may, _ = quantiser.reached(unit(matrix(part["vector"])), part["home"].to_numpy(), lists, radius, reach)
+                may = quantiser.reached(unit(matrix(part["vector"])), part["home"].to_numpy(), lists, radius, reach)
                 yield part.assign(shelves=[np.flatnonzero(row) for row in np.logical_or.reduceat(may, first, axis=1)])
 
     probing = written(filed.select("vec_id", "vector", "copies", F.col("list").alias("home"))
@@ -195,21 +198,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         limit = (reach + members["missed"].to_numpy()) ** 2
         ids, others = probers["vec_id"].to_numpy(), members["vec_id"].to_numpy()
         lists = np.unique(listed)
-        may, to_centre = quantiser.reached(x, home, lists, radius, reach)
-        tables, rest = quantiser.tables(x), quantiser.decoded(codes)
-        # the part of a look-up distance that has no look-up
-        fixed = (rest**2).sum((1, 2)) + 2 * (rest * quantiser.split(quantiser.centres[listed])).sum((1, 2))
+        may = quantiser.reached(x, home, lists, radius, reach)
+        coded = quantiser.coded(codes, listed)
+        # the least inner product of a coded vector with a unit vector that may be linked
+        least = ((1 + (coded**2).sum(1) - limit) / 2 - SINGLE).astype(np.float32)
+        coded, single = coded.astype(np.float32), x.astype(np.float32)
         hits_a, hits_b = [], []
         for k, one in enumerate(lists):
             some, rows = np.flatnonzero(listed == one), np.flatnonzero(may[:, k])
             for at in range(0, len(rows), 512):
                 part = rows[at: at + 512]
-                products = np.zeros((len(some), len(part)))
-                for s, table in enumerate(tables):
-                    products += table[:, part][codes[some, s]]
-                mask = to_centre[part, k] + fixed[some, None] - 2 * products <= limit[some, None]
+                mask = coded[some] @ single[part].T >= least[some, None]
                 # within a list each of two vectors probes the other
-                mask &= (home[part] != one) | (ids[part] < others[some, None])
+                own = np.flatnonzero(home[part] == one)
+                mask[:, own] &= ids[part[own]] < others[some, None]
                 if np.count_nonzero(mask) > mask.size // 8:
                     cosine = y[some] @ x[part].T
                     close = mask & (np.abs(cosine - threshold) < CLOSE)

@@ -119,6 +119,43 @@ def test_near_vectors_in_many_lists(sp, monkeypatch):
     assert got.toPandas().set_index("vec_id").sort_index()["n_links"].tolist() == want.tolist()
 
 
+def test_coded_products_take_the_place_of_table_look_ups():
+    """The distance to a coded vector, by one product, is within the coding error of the true one."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    quantiser = near_vectors.Quantiser(x[:4000], len(x))
+    lists = near_vectors.nearest(x, quantiser.centres, 1)[:, 0]
+    codes, missed = quantiser.encode(x, lists)
+    coded = quantiser.coded(codes, lists)
+    assert np.allclose(np.linalg.norm(x - coded, axis=1), missed)
+    far = np.sqrt(near_vectors.squared(x[:500], coded))
+    true = np.sqrt(near_vectors.squared(x[:500], x))
+    assert (np.abs(far - true) <= missed + 1e-6).all()
+    single = coded.astype(np.float32) @ x[:500].T.astype(np.float32)
+    assert np.abs(single - coded @ x[:500].T).max() < near_vectors.SINGLE / 10
+
+
+def test_near_vectors_send_few_rows_to_blocks(sp, monkeypatch):
+    """Evenly scattered vectors: a vector meets each block once, not each list or table, and all links are found."""
+    sent = []
+    blocks = near_vectors.blocks
+
+    def counted(members, probers, *rest):
+        sent.append(probers.count())
+        return blocks(members, probers, *rest)
+
+    monkeypatch.setattr(near_vectors, "blocks", counted)
+    r = np.random.default_rng(9)
+    n, d = 6000, 48
+    x = r.normal(size=(n, d))
+    x[:300] = x[300:600] + 0.3 * r.normal(size=(300, d))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    got = near_vectors.near_vectors(sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert got.toPandas().set_index("vec_id").sort_index()["n_links"].tolist() == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    assert sent[0] <= 2.5 * n
+
+
 def test_components(sp):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(0, i) for i in range(400, 450)] + [(7, 7), (None, 3)]
