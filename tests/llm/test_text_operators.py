@@ -169,6 +169,24 @@ def test_repeats(sp, length, most_group):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
+@pytest.mark.parametrize("chunk", [50_000, 40])
+def test_a_common_passage_costs_one_row_a_chunk(sp, monkeypatch, chunk):
+    """900 documents with one passage: its segments are handed on once a chunk with all places, and the passage goes everywhere."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    seen = {}
+    written = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    texts = ["".join(r.choice("uvwxyz ") for _ in range(r.randint(0, 30))) + "<" + passage + f">{i}" for i in range(900)]
+    rows = repeats.remove_repeats(frame(sp, texts).repartition(3), 40).collect()
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in rows}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
+    segments = seen["segments"].groupBy("f", "h", "n", "a").agg({"c": "sum", "*": "count"}).where("`sum(c)` = 900").collect()
+    assert segments and len({x["chunk"] for x in seen["segments"].select("chunk").collect()}) == (3 if chunk > 1000 else max(x["count(1)"] for x in segments))
+    assert max(x["count(1)"] for x in segments) < 900 / 4
+
+
 def brute_components(rows):
     sets, up, lists, shared = {}, {}, defaultdict(list), Counter()
 
