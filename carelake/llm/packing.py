@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import as_number, as_text, give_back, pick, written
+from carelake.llm.common import as_number, as_text, give_back, giving_back, pick, written
 from carelake.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 0
@@ -39,29 +40,34 @@ SMALL = 0.4
 #: Numbers of groups, each with the most room that a filled configuration may leave (None: any).
 TRIALS = ((24, None), (48, None), (96, None), (48, 64), (48, 16))
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 32
+#: Documents tokenised at a time.
+ROWS = 500
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenise(docs: DataFrame, capacity: int, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id (as text), piece, start, length, ids_crc32, nth (its number in its task)."""
     end = np.array([END_ID], dtype="<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        give_back()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, nth = Encoder.of(tokenizer), 0
-        for frame in frames:
-            out: list[tuple] = []
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for key, ids in zip(frame["doc_id"], encoder.encode(texts), strict=True):
-                ids += end
-                n, at, piece = len(ids) // 4, 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    out.append((key, piece, at, size, zlib.crc32(ids[4 * at: 4 * (at + size)]), nth))
-                    at, piece, nth = at + size, piece + 1, nth + 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+        for batch in batches:
+            # texts become Python's a few at a time; a batch may hold 10,000
+            for rows in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                out: list[tuple] = []
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                for key, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                    ids += end
+                    n, at, piece = len(ids) // 4, 0, 0
+                    while at < n:
+                        size = (n - at) % capacity or capacity
+                        out.append((key, piece, at, size, zlib.crc32(ids[4 * at: 4 * (at + size)]), nth))
+                        at, piece, nth = at + size, piece + 1, nth + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return as_text(pick(docs, doc_id=doc_id, text=text), "doc_id").mapInPandas(cut, PIECES + ", nth long")
+    return as_text(pick(docs, doc_id=doc_id, text=text), "doc_id").mapInArrow(giving_back(cut), PIECES + ", nth long")
 
 
 # --- the plan, from the histogram of lengths -----------------------------------------

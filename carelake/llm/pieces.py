@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from carelake.llm.common import CACHES, Rolling, as_number, as_text, pick
-from carelake.llm.tokens import BLOCK_CHARS, Encoder
+from carelake.llm.tokens import BLOCK_CHARS, Encoder, Known
 
 MARK = "▁"
 LONG_WORD, TOGETHER, ROWS = 64, 20_000, 250
@@ -110,7 +110,7 @@ class PieceEncoder(Encoder):
 
     def _prepare(self, model: Model) -> None:
         self.model = model
-        self.young, self.old, self.rolling = {}, {}, Rolling(1)
+        self.young, self.old, self.rolling = Known(), Known(), Rolling(1)
         usable = [i for i, k in enumerate(model.kinds) if k in (Model.NORMAL, Model.USER)]
         self.longest = max(len(model.pieces[i].decode()) for i in usable)
         mark = MARK.encode()

@@ -4,7 +4,7 @@ A byte-level BPE with the usual word pattern never joins a space followed by a v
 character to what stands before it, so a text may be cut before such spaces and the parts
 encoded on their own.  Parts repeat: those of a block of texts are told apart by a 64-bit
 hash, only unseen ones go through the tokenizer, and their ids (little-endian unsigned 32-bit)
-are kept in two generations of at most ``MOST`` entries each.
+are kept in two generations of little over ``MOST`` entries each, in flat arrays (some 30 bytes an entry).
 """
 
 from __future__ import annotations
@@ -33,6 +33,46 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _spans(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``flat[begin: begin + size]`` of all spans, one after the other."""
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(begin - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+class Known:
+    """Ids by the hash of their part: sorted hashes, and where their ids lie in one flat array."""
+
+    def __init__(self):
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.begin, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are here, and the places of these."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == keys[inside]
+        return there, at[there]
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries at these places, one after the other, and how many each has."""
+        sizes = self.sizes[at].astype(np.int64)
+        return _spans(self.flat, self.begin[at].astype(np.int64), sizes), sizes
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New entries, in any order; none of their hashes is here."""
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self.keys, keys[order])
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+        self.flat = np.concatenate([self.flat, flat])
+
+
 class Encoder:
     """Encodes texts to id bytes; one per Python worker and tokenizer file."""
 
@@ -53,8 +93,7 @@ class Encoder:
         space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == space]] = True
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young, self.old = Known(), Known()
         self.rolling = Rolling(1)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -140,36 +179,36 @@ class Encoder:
         hashes = self.rolling.ranges(self.rolling.prefix(values), starts, ends)
         hashes ^= (ends - starts).astype(np.uint64) << np.uint64(48)
         different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._look_up(different.tolist(), data, starts[first], ends[first])
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(found), "<u4")
+        flat, begin, sizes = self._look_up(different, data, starts[first], ends[first])
         lengths = sizes[which]
-        upto = np.cumsum(lengths)
-        ids = flat[np.repeat(begin[which] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        ids = _spans(flat, begin[which], lengths)
         part = np.searchsorted(starts, edges)  # the first part of each text
-        places = np.r_[0, upto][part]
+        places = np.r_[0, np.cumsum(lengths)][part]
         for a, b in zip(places[:-1], places[1:], strict=True):
             yield ids[a:b].tobytes()
 
-    def _look_up(self, keys: list[int], data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    def _look_up(self, keys: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of all parts in one array (in any order), where those of each key begin, and how many they are."""
         if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
-        missing: list[int] = []
-        for i, v in enumerate(found):
-            if v is None:
-                if (v := old.get(keys[i])) is not None:
-                    young[keys[i]] = found[i] = v
-                else:
-                    missing.append(i)
-        made = self._encode_parts([data[starts[i]: ends[i]] for i in missing])
-        for i, v in zip(missing, made, strict=True):
-            found[i] = v
-            if ends[i] - starts[i] <= LONGEST:
-                young[keys[i]] = v
-        return found
+            self.old, self.young = self.young, Known()
+        in_young, at_young = self.young.find(keys)
+        in_old, at_old = self.old.find(keys)
+        from_old = in_old & ~in_young
+        missing = np.flatnonzero(~(in_young | in_old))
+        young, young_sizes = self.young.take(at_young)
+        old, old_sizes = self.old.take(at_old[from_old[in_old]])
+        made = self._encode_parts([data[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
+        made_sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        made_flat = np.frombuffer(b"".join(made), "<u4")
+        order = np.r_[np.flatnonzero(in_young), np.flatnonzero(from_old), missing]
+        ordered = np.r_[young_sizes, old_sizes, made_sizes]
+        sizes, begin = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        sizes[order], begin[order] = ordered, np.cumsum(ordered) - ordered
+        flat = np.concatenate([young, old, made_flat])
+        fresh = np.r_[np.flatnonzero(from_old), missing[(ends - starts)[missing] <= LONGEST]]
+        if len(fresh):
+            self.young.add(keys[fresh], _spans(flat, begin[fresh], sizes[fresh]), sizes[fresh])
+        return flat, begin, sizes
 
 
 CACHES.append(Encoder._made.clear)

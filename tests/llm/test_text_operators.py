@@ -41,6 +41,60 @@ def test_tokens_equal_the_library():
     assert list(encoder.encode(texts)) == want  # from the cache
 
 
+def test_tokens_are_kept_in_little_memory():
+    import gc
+    import tracemalloc
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(150_000)]
+    texts = [" ".join(words[at: at + 1000]) for at in range(0, len(words), 1000)]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    list(encoder.encode(texts[:1]))
+    gc.collect()
+    tracemalloc.start()
+    try:
+        list(encoder.encode(texts))
+        gc.collect()
+        kept = sum(x.size for x in tracemalloc.take_snapshot().statistics("filename")) - encoder.rolling.up.nbytes - encoder.rolling.down.nbytes
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.young) > 140_000
+    assert kept < 60 * len(encoder.young)
+
+
+def test_tokens_survive_the_turn_of_generations():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    encoder.most = 20
+    for turn in range(12):
+        texts = [*odd_texts(30, turn % 4), " the word comes again", f" number{turn} " + "y" * 70]
+        assert list(encoder.encode(texts)) == [as_bytes(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert len(np.unique(encoder.young.keys)) == len(encoder.young) == len(encoder.young.begin) == len(encoder.young.sizes)
+        assert (np.diff(encoder.young.keys.astype(object)) > 0).all()
+    assert len(encoder.old)
+
+
+def test_a_task_gives_memory_back_before_and_after(monkeypatch):
+    from carelake.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+
+    def run(batches):
+        for x in batches:
+            seen.append(x)
+            yield x
+
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert seen == ["back", 1, 2, "back"]
+    part = common.giving_back(run)(iter([3, 4]))
+    assert next(part) == 3
+    part.close()  # a task that is ended early
+    assert seen[4:] == ["back", 3, "back"]
+
+
 def test_pieces_equal_the_library_and_come_back(sp):
     import sentencepiece
 
