@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, as_number, as_text, drop_caches, give_back, gram_hashes, may_be_among, mix64, pick, written
+from carelake.llm.common import Words, as_number, as_text, drop_caches, give_back, giving_back, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
@@ -162,6 +162,7 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
     bits = int(np.clip(np.ceil(np.log2(max(n_bytes / 6 / 64, 1))), LEAST_SLOT_BITS, MOST_SLOT_BITS))
     shift, width = np.uint64(64 - bits), (1 << bits) // SLOT_RANGES
 
+    @giving_back
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         drop_caches()
         words, counts, held, size_held = Words(), np.zeros(1 << bits, np.uint32), [], 0
@@ -207,8 +208,8 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
     slot = np.uint64(64 - int(np.log2(len(levels))))
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
+    @giving_back
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        give_back()
         words, level, seen = Words(), shared_levels.value, set()
         keys, owners, sizes, held = [], [], [], 0
 
@@ -296,8 +297,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     jobs = wanted.groupBy("id", "cls").agg(F.collect_list(F.struct("block", "asks")).alias("blocks"))
     texts = rows.where(may_be_among(wanted.select("id").distinct())(F.col("id"))).join(jobs, "id")
 
+    @giving_back
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        give_back()
         words, out, held = Words(), [], 0
         for text, cls, blocks, asks in _texts(frames, ["text", "cls", "block", "asks"]):
             found = shingles(words, text, size)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import LOWER, SPACE, Rolling, drop_caches, mix64, pick
+from carelake.llm.common import LOWER, SPACE, Rolling, drop_caches, giving_back, mix64, pick
 
 SAMPLE = 8_000
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 11, 32, 4, 2
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     rows = (pick(docs, doc_id=doc_id, text=text).join(F.broadcast(marks), "doc_id")
             .select("turn", "doc_id", "text", F.col("label").cast("double").alias("label")))
 
+    @giving_back
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, total = np.concatenate([index_vectors(WORDS, 1), np.zeros((1, DIM), np.float32)]), np.zeros((WORDS + 1, DIM))
         coder, runs, held = Coder(), [], 0
@@ -232,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     shared = docs.sparkSession.sparkContext.broadcast(context)
 
+    @giving_back
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, index, shapes = Coder(), index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
         for frame in frames:
