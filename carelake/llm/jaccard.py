@@ -7,10 +7,13 @@ set size and connected component.
    occur, counted over all documents, orders all shingles from rare to common.
 2. Sets that link share a shingle among the first ``|A| - ceil(similarity |A|) + 1`` in that
    order.  These prefixes make inverted lists, packed per hash partition.
-3. A list of at most ``MOST_LIST`` classes gives its pairs with how many prefix shingles they share; a
-   pair goes on if the sizes allow a link and the shared count plus the larger rest
-   reaches the required overlap (an upper bound, so nothing is lost).  Longer lists, as of
-   a large group of near copies, give only a star, and the stars' components are clusters.
+3. Lists of one class go.  A list of at most ``MOST_LIST`` gives the pairs for which its shingle can be the
+   first that they share: in both sets what follows it suffices for the required overlap, and the ``HEADS``
+   earliest shared shingles of each class, which go with its shingles, have none in common before it.  So
+   nearly all pairs are given once, whatever number of shingles and partitions they share.  A pair goes on
+   if the number of prefix shingles that it shares plus the larger rest reaches the required overlap (an
+   upper bound, so nothing is lost).  Longer lists, as of a large group of near copies, give only a star,
+   and the stars' components are clusters.
 4. The remaining pairs, grouped by one of their classes, and the clusters, in chunks, are decided by
    T-occurrence search (DivideSkip): inverted lists over the whole sets of a group, the short
    ones merged and counted, the long ones only probed by binary search for what can still
@@ -42,6 +45,8 @@ SIZE, SIMILARITY = 5, 75
 LEAST_SLOT_BITS, MOST_SLOT_BITS, SLOT_RANGES = 20, 22, 64
 PARTITION_BYTES, FLUSH = 8 << 20, 2_000_000
 MOST_LIST, CHUNK, HUBS = 64, 4096, 8
+#: Shared shingles that go with each posting.
+HEADS = 4
 
 
 def shingles(words: Words, text: str | None, size: int = SIZE) -> np.ndarray:
@@ -202,11 +207,27 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
     return table.where("range < 0").select("id", "n", "cls"), levels, max(5, int(np.ceil(np.log2(max(1, n_bytes / PARTITION_BYTES)))))
 
 
-def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, similarity: int, most_list: int) -> DataFrame:
-    """a, b, na, nb, shared of class pairs of short lists; of long lists a star with shared 0."""
+def _arrays(f: pd.DataFrame, **kinds: type) -> list[np.ndarray]:
+    """The arrays that the rows of ``f`` hold as bytes, end to end."""
+    return [np.concatenate([np.frombuffer(x, kind) for x in f[name]]) for name, kind in kinds.items()]
+
+
+def _dealt(part: np.ndarray, parts: int, **columns: np.ndarray) -> pd.DataFrame:
+    """Each part's share of the columns as bytes, a row a part that has any; ``part`` ascends."""
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    out = [(p, *[x[a:b].tobytes() for x in columns.values()]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return pd.DataFrame(out, columns=["part", *columns])
+
+
+POSTINGS = {"keys": np.uint64, "owners": np.int64, "sizes": np.int32, "places": np.int32}
+POSTINGS_SQL = "part int, keys binary, owners binary, sizes binary, places binary"
+
+
+def _shared_postings(rows: DataFrame, levels: np.ndarray, bits: int, size: int, similarity: int, most_list: int) -> DataFrame:
+    """Prefix shingles that 2 to ``most_list`` classes share, packed by their owner; as part -1 a star (keys, owners) of longer lists."""
     shared_levels = rows.sparkSession.sparkContext.broadcast(levels)
     slot = np.uint64(64 - int(np.log2(len(levels))))
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    shift, owner_bits = np.uint64(64 - bits), bits - 2
 
     @giving_back
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,14 +235,12 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
         keys, owners, sizes, held = [], [], [], 0
 
         def packed() -> pd.DataFrame:
+            lengths = [len(x) for x in keys]
             k, o, n = np.concatenate(keys), np.array(owners, np.int64), np.array(sizes, np.int32)
-            own = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+            own, place = np.repeat(np.arange(len(keys)), lengths), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])
             order = np.argsort(k)
-            k, o, n = k[order], o[own[order]], n[own[order]]
-            cuts = np.r_[0, np.searchsorted(k, edges), len(k)]
-            return pd.DataFrame([(p, k[a:b].tobytes(), o[a:b].tobytes(), n[a:b].tobytes())
-                                 for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a],
-                                columns=["part", "keys", "owners", "sizes"])
+            k, own, place = k[order], own[order], place[order]
+            return _dealt((k >> shift).astype(np.int64), 1 << bits, keys=k, owners=o[own], sizes=n[own], places=place)
 
         for key, text in _texts(frames, ["id", "text"]):
             found = shingles(words, text, size)
@@ -240,55 +259,115 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
         if keys:
             yield packed()
 
-    def pairs(f: pd.DataFrame) -> pd.DataFrame:
+    def several(f: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in f["keys"]])
-        owner = np.concatenate([np.frombuffer(x, np.int64) for x in f["owners"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in f["sizes"]]).astype(np.int64)
+        key, owner, n, place = _arrays(f, **POSTINGS)
         order = np.lexsort((owner, key))
-        key, owner, n = key[order], owner[order], n[order]
+        key, owner, n, place = key[order], owner[order], n[order], place[order]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-        key, owner, n = key[fresh], owner[fresh], n[fresh]
+        key, owner, n, place = key[fresh], owner[fresh], n[fresh], place[fresh]
         first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
         length = np.diff(np.r_[first, len(key)])
-        every, who = np.unique(owner, return_inverse=True)
-        sizes = np.zeros(len(every), np.int64)
-        sizes[who] = n
-        codes = []  # a pair of owners as one number, kept with its count as soon as a block of lists is done
-        times = []
-        for size_ in np.unique(length[(length > 1) & (length <= most_list)]):
+        each = np.repeat(length, length)
+        some = np.flatnonzero((each > 1) & (each <= most_list))
+        bucket = (owner[some].view(np.uint64) >> np.uint64(64 - owner_bits)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        some = some[by]
+        short = _dealt(bucket[by], 1 << owner_bits, keys=key[some], owners=owner[some], sizes=n[some], places=place[some])
+        # a star per long list, from its least member
+        long = np.flatnonzero(each > most_list)
+        ends = np.unique(np.column_stack([np.repeat(owner[first], length)[long], owner[long]]), axis=0)
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        if not len(ends):
+            return short
+        return pd.concat([short, pd.DataFrame([(-1, ends[:, 0].tobytes(), ends[:, 1].tobytes(), b"", b"")], columns=["part", *POSTINGS])])
+
+    return written(rows.mapInPandas(prefixes, POSTINGS_SQL).groupBy("part").applyInPandas(several, POSTINGS_SQL), "postings")
+
+
+def _meetings(postings: DataFrame, bits: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (cls, n, keys, places) with their shared prefix shingles in order, and the pairs (a, b) where these first meet."""
+    shift = np.uint64(64 - bits)
+
+    def by_owner(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        key, owner, n, place = _arrays(f, **POSTINGS)
+        order = np.lexsort((place, owner))
+        key, owner, n, place = key[order], owner[order], n[order], place[order]
+        cuts = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner)]
+        return pd.DataFrame([(owner[a], n[a], key[a:b].tobytes(), place[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                            columns=["cls", "n", "keys", "places"])
+
+    known = written(postings.where("part >= 0").groupBy("part").applyInPandas(by_owner, "cls long, n long, keys binary, places binary"), "shared")
+
+    @giving_back
+    def with_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            key, place = _arrays(f, keys=np.uint64, places=np.int32)
+            lengths = np.array([len(x) // 8 for x in f["keys"]])
+            first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            rank = np.arange(len(key)) - first
+            heads = np.zeros((len(key), HEADS), np.uint64)
+            for i in range(HEADS):  # shared shingles of the same class that come before
+                later = np.flatnonzero(rank > i)
+                heads[later, i] = key[first[later] + i]
+            order = np.argsort(key)
+            yield _dealt((key[order] >> shift).astype(np.int64), 1 << bits, keys=key[order], owners=np.repeat(f["cls"].to_numpy(), lengths)[order],
+                         sizes=np.repeat(f["n"].to_numpy().astype(np.int32), lengths)[order], places=place[order], heads=heads[order])
+
+    def pairs(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        key, owner, n, place, heads = _arrays(f, **POSTINGS, heads=np.uint64)
+        order = np.lexsort((owner, key))
+        key, owner, n, place, heads = key[order], owner[order], n[order].astype(np.int64), place[order], heads.reshape(-1, HEADS)[order]
+        first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        length = np.diff(np.r_[first, len(key)])
+        out = [np.zeros((0, 2), np.int64)]
+        for size_ in np.unique(length):
             at = first[length == size_]
             i, j = np.triu_indices(int(size_), 1)
-            step = max(1, 400_000 // len(i))
+            step = max(1, 200_000 // max(1, len(i)))
             for s in range(0, len(at), step):
-                x, y = who[(at[s: s + step, None] + i).ravel()], who[(at[s: s + step, None] + j).ravel()]
-                fits = 100 * np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
-                code, count = np.unique(x[fits] * len(every) + y[fits], return_counts=True)
-                codes.append(code)
-                times.append(count)
-        code, place = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]), return_inverse=True)
-        shared = np.bincount(place, np.concatenate([*times, np.zeros(0, np.int64)]), len(code)).astype(np.int64)
-        # a star per long list, from its least member
-        many = np.flatnonzero(length > most_list)
-        spoke = np.concatenate([np.zeros(0, np.int64), *[np.arange(first[m] + 1, first[m] + length[m]) for m in many]])
-        star = np.unique(who[np.repeat(first[many], length[many] - 1)] * len(every) + who[spoke])
-        both = np.r_[code, star]
-        x, y = both // len(every), both % len(every)
-        return pd.DataFrame({"a": every[x], "b": every[y], "na": sizes[x], "nb": sizes[y],
-                             "shared": np.r_[shared, np.zeros(len(star), np.int64)],
-                             "star": np.r_[np.zeros(len(code), np.int64), np.ones(len(star), np.int64)]})
+                x, y = (at[s: s + step, None] + i).ravel(), (at[s: s + step, None] + j).ravel()
+                # the first shingle that two linked sets share leaves room for their overlap in both
+                need = needed(n[x], n[y], similarity)
+                room = (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
+                x, y = x[room], y[room]
+                # and shares no shingle before it
+                before = heads[x][:, :, None]
+                fresh = ~((before == heads[y][:, None, :]) & (before != 0)).any((1, 2))
+                out.append(np.column_stack([owner[x[fresh]], owner[y[fresh]]]))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    lists = rows.mapInPandas(prefixes, "part int, keys binary, owners binary, sizes binary")
-    found = lists.groupBy("part").applyInPandas(pairs, "a long, b long, na long, nb long, shared long, star long")
-    rest = lambda n: F.col(n) - prefix_of_sql(n, similarity)
-    total = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
-    reach = F.col("shared") + F.greatest(rest("na"), rest("nb"))
-    need = F.ceil(similarity * (F.col("na") + F.col("nb")) / (100 + similarity))
-    return written(total.where((F.col("star") == 1) | (reach >= need)).select("a", "b", "star", "shared"), "pairs")
+    return known, known.mapInPandas(with_heads, f"{POSTINGS_SQL}, heads binary").groupBy("part").applyInPandas(pairs, "a long, b long")
 
 
-def prefix_of_sql(n: str, similarity: int):
-    return F.col(n) - F.ceil(F.lit(similarity) * F.col(n) / 100) + 1
+def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, similarity: int, most_list: int) -> tuple[DataFrame, DataFrame]:
+    """Class pairs (a, b) of short lists that may link, and the stars (a, b) of long lists."""
+    postings = _shared_postings(rows, levels, bits, size, similarity, most_list)
+
+    @giving_back
+    def spokes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a, b in zip(f["keys"], f["owners"], strict=True):
+                yield pd.DataFrame({"a": np.frombuffer(a, np.int64), "b": np.frombuffer(b, np.int64)})
+
+    stars = written(postings.where("part < 0").select("keys", "owners").mapInPandas(spokes, "a long, b long").distinct(), "stars")
+    known, met = _meetings(postings, bits, similarity)
+    side = lambda c: known.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys_{c}"))
+
+    @giving_back
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            na, nb = f["na"].to_numpy(), f["nb"].to_numpy()
+            shared = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                               for x, y in zip(f["keys_a"], f["keys_b"], strict=True)], np.int64)
+            rest = np.maximum(na - prefix_of(na, similarity), nb - prefix_of(nb, similarity))
+            yield f.loc[shared + rest >= needed(na, nb, similarity), ["a", "b"]]
+
+    return written(met.distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(reach, "a long, b long"), "pairs"), stars
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -405,10 +484,9 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, size: int
     table, levels, bits = _levels(rows, size)
     usable = table.where("n > 0 and id is not null")
     classes = usable.groupBy("cls").agg(F.min("id").alias("id"))
-    candidates = _candidates(rows, levels, bits, size, similarity, most_list)
+    pairs, stars = _candidates(rows, levels, bits, size, similarity, most_list)
     reps = written(classes, "classes")
-    stars = candidates.where("star = 1").select("a", "b")
-    links = _links_of_pairs(rows, reps, candidates.where("shared > 0").select("a", "b"), size, similarity)
+    links = _links_of_pairs(rows, reps, pairs, size, similarity)
     if not stars.isEmpty():
         links = links.unionByName(_links_of_clusters(rows, reps, stars, size, similarity, chunk))
     # classes to documents: a class is known by its least id, and rows with one id are one node

@@ -285,6 +285,31 @@ def test_jaccard_components(sp, most_list, chunk):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == brute_components(rows)
 
 
+def test_jaccard_pairs_are_given_once(sp):
+    """However many shingles and hash partitions two near copies share, their pair is made about once."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(50):
+        base = [f"w{r.randrange(10 ** 6)}" for _ in range(300)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(3):
+                copy[r.randrange(300)] = "x"
+            rows.append(" ".join(copy))
+    texts = frame(sp, rows).selectExpr("doc_id AS id", "text")
+    made = []
+    for bits in (5, 8):
+        postings = jaccard._shared_postings(texts, np.zeros(1 << 20, np.uint8), bits, 5, 75, 64)
+        known, met = jaccard._meetings(postings, bits, 75)
+        met = [tuple(x) for x in met.collect()]
+        assert known.count() == 200 and len(set(met)) == 50 * 6
+        made.append(len(met))
+    assert max(made) <= 1.2 * 50 * 6
+    # by count in each partition they would be these
+    keys = {x["cls"]: set(np.frombuffer(x["keys"], np.uint64) >> np.uint64(56)) for x in known.collect()}
+    assert sum(len(keys[a] & keys[b]) for a, b in set(met)) > 20 * 50 * 6
+
+
 def test_divide_skip_equals_counting():
     r = np.random.default_rng(4)
     sets = [np.unique(r.choice(200, r.integers(20, 120))).astype(np.uint64) for _ in range(60)]
