@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Links stay distributed; a node that a third of all links share is met by partial
-minima and by joins that Spark can split.  Every step is written to the shared folder.
+minima and by joins that Spark can split.  Every step is written to the shared folder; the last one stays.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import written
+from carelake.llm.common import forget, written
 
 
 #: Links a partition; there are never more partitions than that needs.
@@ -38,10 +38,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = written(_down(small.coalesce(parts)).coalesce(parts), "links")
+        last, now = now, written(_down(small.coalesce(parts)).coalesce(parts), "links")
+        forget(last)
         after = mark(now)
         if after == before:
             break
         before = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+    out = stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+    out.written_to = now.written_to
+    return out

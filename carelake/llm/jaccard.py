@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelake.llm.common import Words, as_number, as_text, drop_caches, give_back, giving_back, gram_hashes, may_be_among, mix64, pick, written
+from carelake.llm.common import Words, as_number, as_text, drop_caches, forget, freeing, give_back, giving_back, gram_hashes, may_be_among, mix64, pick, written
 from carelake.llm.components import components
 
 SIZE, SIMILARITY = 5, 75
 LEAST_SLOT_BITS, MOST_SLOT_BITS, SLOT_RANGES = 20, 22, 64
 PARTITION_BYTES, FLUSH = 8 << 20, 2_000_000
 MOST_LIST, CHUNK, HUBS = 64, 4096, 8
+#: Levels of the slots, without those of the most frequent ones; counts above the most are ranked as one.
+RANKS, MOST_COUNT = 192, 1 << 20
 #: Shared shingles that go with each posting.
 HEADS = 4
 
@@ -72,6 +74,22 @@ def prefix_of(n, similarity: int = SIMILARITY):
     return n - (-(-similarity * n // 100)) + 1
 
 
+def ranked(counts: list[np.ndarray]) -> np.ndarray:
+    """The level of each slot, from the counts by range: its rank among all slots in ``RANKS`` steps, and above these a level each doubling.
+
+    The larger the input, the more shingles share a slot.  A frequent one then still lifts its slot above the rest,
+    by less than a doubling, so coarser levels would leave it among the rare ones.
+    """
+    upto = np.cumsum(sum(np.bincount(np.minimum(c, MOST_COUNT), minlength=MOST_COUNT + 1) for c in counts))
+    steps = np.searchsorted(upto, np.arange(1, RANKS) * upto[-1] // RANKS, "right")  # the counts at these ranks
+
+    def level(c: np.ndarray) -> np.ndarray:
+        over = np.clip(np.floor(np.log2(np.maximum(c, 1) / max(1, steps[-1]))), 0, 255 - RANKS)
+        return (np.searchsorted(steps, c, "left") + np.where(c > steps[-1], over, 0)).astype(np.uint8)
+
+    return np.concatenate([level(c) for c in counts])
+
+
 class Index:
     """Inverted lists over sets; rows are numbered in order."""
 
@@ -194,16 +212,13 @@ def _levels(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, int]:
         total = np.zeros(width, np.int64)
         for c in f["counts"]:
             total += np.frombuffer(c, np.uint16)
-        return pd.DataFrame({"range": f["range"].iloc[:1], "total": total.sum(), "counts": [total.tobytes()]})
+        return pd.DataFrame({"range": f["range"].iloc[:1], "counts": [total.tobytes()]})
 
-    summed = table.where("range >= 0").groupBy("range").applyInPandas(add, "range int, total long, counts binary")
+    summed = table.where("range >= 0").groupBy("range").applyInPandas(add, "range int, counts binary")
     # SLOT_RANGES rows of one fixed-size table
-    ranges = sorted(summed.collect(), key=lambda r: r["range"])
-    levels = np.zeros(1 << bits, np.uint8)
-    mean = max(1.0, sum(r["total"] for r in ranges) / (1 << bits))
-    for r in ranges:
-        counts = np.frombuffer(r["counts"], np.int64)
-        levels[r["range"] * width: (r["range"] + 1) * width] = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean)))
+    with freeing(spark):
+        ranges = {r["range"]: np.frombuffer(r["counts"], np.int64) for r in summed.collect()}
+    levels = ranked([ranges.get(i, np.zeros(width, np.int64)) for i in range(SLOT_RANGES)])
     return table.where("range < 0").select("id", "n", "cls"), levels, max(5, int(np.ceil(np.log2(max(1, n_bytes / PARTITION_BYTES)))))
 
 
@@ -356,6 +371,7 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
 
     stars = written(postings.where("part < 0").select("keys", "owners").mapInPandas(spokes, "a long, b long").distinct(), "stars")
     known, met = _meetings(postings, bits, similarity)
+    forget(postings)
     side = lambda c: known.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys_{c}"))
 
     @giving_back
@@ -367,7 +383,9 @@ def _candidates(rows: DataFrame, levels: np.ndarray, bits: int, size: int, simil
             rest = np.maximum(na - prefix_of(na, similarity), nb - prefix_of(nb, similarity))
             yield f.loc[shared + rest >= needed(na, nb, similarity), ["a", "b"]]
 
-    return written(met.distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(reach, "a long, b long"), "pairs"), stars
+    pairs = written(met.distinct().join(side("a"), "a").join(side("b"), "b").mapInPandas(reach, "a long, b long"), "pairs")
+    forget(known)
+    return pairs, stars
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -439,6 +457,7 @@ def _links_of_clusters(rows: DataFrame, reps: DataFrame, stars: DataFrame, size:
     links = first.where("a <> b").select("a", "b")
     several = placed.where("chunks > 1")
     if several.isEmpty():
+        forget(sets)
         return links
 
     def ask(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -474,7 +493,9 @@ def _links_of_clusters(rows: DataFrame, reps: DataFrame, stars: DataFrame, size:
     largest = (member.groupBy("cluster", "component").count()
                .groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest")))
     outside = member.join(largest, "cluster").where("component <> largest").select("cls", "cluster")
-    return links.unionByName(written(asked(outside), "outside_links"))
+    links = links.unionByName(written(asked(outside), "outside_links"))
+    forget(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, size: int = SIZE, doc_id: str = "doc_id", text: str = "text",

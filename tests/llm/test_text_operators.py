@@ -310,6 +310,37 @@ def test_jaccard_pairs_are_given_once(sp):
     assert sum(len(keys[a] & keys[b]) for a, b in set(met)) > 20 * 50 * 6
 
 
+def test_jaccard_passages_make_no_cluster_in_a_crowded_table(sp, monkeypatch):
+    """Passages that many documents share are told from rare shingles also where many shingles share a slot, as in a large table."""
+    monkeypatch.setattr(jaccard, "LEAST_SLOT_BITS", 12)
+    monkeypatch.setattr(jaccard, "MOST_SLOT_BITS", 12)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    passages = [[word() for _ in range(30)] for _ in range(24)]
+    texts = [[word() for _ in range(170)] for _ in range(2000)]
+    for p in passages:
+        for i in r.sample(range(2000), 90):
+            texts[i] = texts[i][:80] + p + texts[i][80:]
+    texts += [[*t[:-1], "x"] for t in texts[:50]]
+    rows = frame(sp, [" ".join(t) for t in texts]).selectExpr("doc_id AS id", "text")
+    table, levels, bits = jaccard._levels(rows, 5)
+    pairs, stars = jaccard._candidates(rows, levels, bits, 5, 75, 64)
+    assert stars.count() == 0  # before, nearly all that have a passage were one cluster
+    found = jaccard.jaccard_components(frame(sp, [" ".join(t) for t in texts])).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {i: i if i < 2000 else i - 2000 for i in range(2050)}
+
+
+def test_ranked_levels():
+    counts = np.random.default_rng(3).poisson(350, 1 << 14)
+    counts[:400] += 65
+    level = jaccard.ranked(np.split(counts, 64))
+    assert np.argsort(np.argsort(level, kind="stable"))[:400].min() > len(counts) // 3
+    assert (np.diff(level[np.argsort(counts, kind="stable")].astype(int)) >= 0).all()
+    assert jaccard.ranked([np.zeros(8, np.int64)] * 3).tolist() == [0] * 24
+    few = jaccard.ranked([np.array([0, 0, 1, 0]), np.array([0, 2, 9, 5000])])
+    assert (few[[0, 1, 3, 4]] == few[0]).all() and few[0] < few[2] < few[5] < few[6] < few[7]
+
+
 def test_divide_skip_equals_counting():
     r = np.random.default_rng(4)
     sets = [np.unique(r.choice(200, r.integers(20, 120))).astype(np.uint64) for _ in range(60)]
