@@ -15,8 +15,10 @@ double precision.  Of two lists only one probes the other, so a pair meets once
 Where the vectors are scattered evenly nearly every list may hold a link, so the work stays that of all pairs (one
 multiplication and addition in single precision a component); of groups that lie apart only the near ones meet.
 
-Lists share shelves of about ``MOST_MEMBERS`` vectors, which are compared in blocks of bounded size;
-a block hands on each vector's number of links and the links of a spanning forest only, never all pairs.
+Lists share shelves of about ``MOST_MEMBERS`` vectors (more in a large table), which are compared in blocks of bounded
+size; a block hands on each vector's number of links and the links of a spanning forest only, never all pairs.
+A vector goes to all shelves that it probes, which are the more the larger the table.  So the shelves take turns, in
+rounds whose rows are in proportion to the table; the files of a round go before the next begins.
 
 Defined cases: see ``vectors.usable`` for vectors that link with nothing (they get a row of
 their own; null ids share one, with a null component); rows with equal ids are one
@@ -25,6 +27,7 @@ vector; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +35,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import pick, written
+from carelake.llm.common import forget, pick, written
 from carelake.llm.components import components
 from carelake.llm.vectors import blocks, matrix, sample_rows, usable
 
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES, ROUNDS = 16, 64, 8
 MOST_MEMBERS, MOST_PROBERS = 4096, 4096
+#: A side of a block is about a so manieth of all vectors, but at the most so many times the least side.
+BLOCKS, WIDEST = 12, 4
+#: Rows sent to the blocks at a time: so many bytes, or so many times the vectors; bytes of a row besides its vector.
+ROUND_BYTES, ROUND_SHARE, ROW_BYTES = 512 << 20, 1.25, 64
+#: Links held before they are counted; rows of the rounds, in times the vectors, before they are summed.
+MOST_HITS, MOST_HELD = 2_000_000, 4
 #: More than rounding can make of a distance or a cosine here, or of an inner product in single precision.
 SLACK, CLOSE, SINGLE = 1e-6, 1e-9, 1e-4
 
@@ -129,6 +138,40 @@ def forest(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return ids[moved], ids[label[moved]]
 
 
+def on_shelves(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first lists of the groups that share a shelf of about ``most`` vectors, and each group's shelves: a list of more has several for itself."""
+    first, parts, full = [], [], most + 1
+    for i, size in enumerate(held.tolist()):
+        if full + size > most:
+            first.append(i)
+            parts.append(max(1, -(-size // most)))
+            full = 0
+        full += size
+    return np.array(first), np.array(parts)
+
+
+def rounds(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The first and last shelf of each round: shelves that follow each other, of ``most`` rows in all, or a single one of more."""
+    out, low, full = [], 0, 0
+    for i, rows in enumerate(size.tolist()):
+        if i > low and full + rows > most:
+            out.append((low, i - 1))
+            low, full = i, 0
+        full += rows
+    return [*out, (low, len(size) - 1)]
+
+
+def summed(tables: list[DataFrame]) -> DataFrame:
+    """What the rounds found as one table: a vector's links once, and a spanning forest; ``tables`` go."""
+    both = functools.reduce(DataFrame.unionByName, tables)
+    links = both.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    found = components(both.where("links = 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    out = written(links.select("vec_id", "links", F.lit(-1).cast("long").alias("other")).unionByName(
+        found.where("node <> component").select(F.col("node").alias("vec_id"), F.lit(0).cast("long").alias("links"), F.col("component").alias("other"))), "met")
+    forget(*tables, found)
+    return out
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector id."""
     spark = vectors.sparkSession
@@ -138,7 +181,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     every = pick(vectors, vec_id=vec_id).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     n = classes.count()
     if not n:
+        forget(rows, classes)
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    several = classes.where("copies > 1").select(F.col("vec_id").alias("class"), "vector")
+    copies = written(rows.join(several, "vector").select("vec_id", "class"), "copies")
+    forget(rows)
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(1))[:, None]
@@ -158,34 +205,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
 
     filed = written(classes.mapInPandas(file, "vector binary, vec_id long, copies long, list int, away double, "
                                               "codes binary, missed double"), "filed")
+    forget(classes)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
     # at most MOST_LISTS rows; a list without members is never reached
-    radius, shelf = np.full(len(made.value.centres), -np.inf), np.zeros(len(made.value.centres), int)
-    held = np.zeros(len(radius), int)
+    radius, held = np.full(len(made.value.centres), -np.inf), np.zeros(len(made.value.centres), int)
     for r in filed.groupBy("list").agg(F.max("away").alias("away"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["list"]], held[r["list"]] = r["away"], r["n"]
-    full = 0
-    for i in range(1, len(held)):
-        full += held[i - 1]
-        if full + held[i] > MOST_MEMBERS:
-            full, shelf[i] = 0, 1
-    first = np.r_[0, np.flatnonzero(shelf)]
-    shelf = np.cumsum(shelf)
+    most_members, most_probers = (int(np.clip(n // BLOCKS, most, WIDEST * most)) for most in (MOST_MEMBERS, MOST_PROBERS))
+    first, parts = on_shelves(held, most_members)
+    # of each list its first shelf and how many it has; of each shelf its lists
+    begin = np.cumsum(parts) - parts
+    group = np.cumsum(np.isin(np.arange(len(held)), first)) - 1
+    group_of_shelf = np.repeat(np.arange(len(parts)), parts)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser, lists = made.value, np.arange(len(radius))
         for f in frames:
             for at in range(0, len(f), 512):
                 part = f.iloc[at: at + 512]
-                may = quantiser.reached(unit(matrix(part["vector"])), part["home"].to_numpy(), lists, radius, reach)
-                yield part.assign(shelves=[np.flatnonzero(row) for row in np.logical_or.reduceat(may, first, axis=1)])
+                may = quantiser.reached(unit(matrix(part["vector"])), part["list"].to_numpy(), lists, radius, reach)
+                may = np.logical_or.reduceat(may, first, axis=1)[:, group_of_shelf]
+                yield part.assign(shelves=[np.flatnonzero(row) for row in may])
 
-    probing = written(filed.select("vec_id", "vector", "copies", F.col("list").alias("home"))
-                      .mapInPandas(probe, "vec_id long, vector binary, copies long, home int, shelves array<int>"), "probing")
-    shelves = F.element_at(F.array(*map(F.lit, shelf.tolist())), F.col("list") + 1)
-    left, right = blocks(filed.drop("away").withColumn("shelf", shelves),
-                         probing.select("vec_id", "vector", "copies", "home", F.explode("shelves").alias("shelf")),
-                         "shelf", MOST_MEMBERS, MOST_PROBERS)
+    probing = written(filed.drop("away").mapInPandas(probe, "vector binary, vec_id long, copies long, list int, codes binary, missed double, shelves array<int>"), "probing")
+    forget(filed)
+    of_list = lambda x: F.element_at(F.array(*map(F.lit, x[group].tolist())), F.col("list") + 1)
+    placed = probing.drop("shelves").withColumn("shelf", (of_list(begin) + F.pmod(F.xxhash64("vec_id", F.lit("shelf")), of_list(parts))).cast("int"))
 
     def compare(members: pd.DataFrame, probers: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"vec_id": [], "links": [], "other": []}).astype("int64")
@@ -198,16 +243,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         limit = (reach + members["missed"].to_numpy()) ** 2
         ids, others = probers["vec_id"].to_numpy(), members["vec_id"].to_numpy()
         lists = np.unique(listed)
-        may = quantiser.reached(x, home, lists, radius, reach)
+        may = np.concatenate([quantiser.reached(x[at: at + 1024], home[at: at + 1024], lists, radius, reach) for at in range(0, len(x), 1024)])
         coded = quantiser.coded(codes, listed)
         # the least inner product of a coded vector with a unit vector that may be linked
         least = ((1 + (coded**2).sum(1) - limit) / 2 - SINGLE).astype(np.float32)
         coded, single = coded.astype(np.float32), x.astype(np.float32)
-        hits_a, hits_b = [], []
+        counts_a, counts_b = np.zeros(len(ids), np.int64), np.zeros(len(others), np.int64)
+        copies_a, copies_b = probers["copies"].to_numpy(), members["copies"].to_numpy()
+        hits_a, hits_b, links = [], [], []
+
+        def fold() -> None:
+            """Counts what was found and keeps a spanning forest of it."""
+            a, b = np.concatenate(hits_a), np.concatenate(hits_b)
+            counts_a[:] += np.bincount(a, copies_b[b], len(ids)).astype(np.int64)
+            counts_b[:] += np.bincount(b, copies_a[a], len(others)).astype(np.int64)
+            links.append(forest(ids, others, a, b))
+            hits_a.clear()
+            hits_b.clear()
+
         for k, one in enumerate(lists):
             some, rows = np.flatnonzero(listed == one), np.flatnonzero(may[:, k])
-            for at in range(0, len(rows), 512):
-                part = rows[at: at + 512]
+            step = int(np.clip(MOST_HITS // len(some), 64, 512))
+            for at in range(0, len(rows), step):
+                part = rows[at: at + step]
                 mask = coded[some] @ single[part].T >= least[some, None]
                 # within a list each of two vectors probes the other
                 own = np.flatnonzero(home[part] == one)
@@ -224,26 +282,46 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
                 near = np.einsum("ij,ij->i", x[pa], y[pb]) >= threshold
                 hits_a.append(pa[near])
                 hits_b.append(pb[near])
-        a, b = (np.concatenate(h) if h else np.zeros(0, int) for h in (hits_a, hits_b))
-        if not len(a):
-            return out
-        counts_a = np.bincount(a, members["copies"].to_numpy()[b], len(ids)).astype("int64")
-        counts_b = np.bincount(b, probers["copies"].to_numpy()[a], len(others)).astype("int64")
-        node, root = forest(ids, others, a, b)
+            if sum(map(len, hits_a)) > MOST_HITS:
+                fold()
+        if any(map(len, hits_a)):
+            fold()
+        node, root = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (ids[:0], ids[:0])
+        node, root = forest(node, root, np.arange(len(node)), np.arange(len(node))) if len(links) > 1 else (node, root)
         return pd.concat([
             pd.DataFrame({"vec_id": ids, "links": counts_a, "other": -1})[counts_a > 0],
             pd.DataFrame({"vec_id": others, "links": counts_b, "other": -1})[counts_b > 0],
             pd.DataFrame({"vec_id": node, "links": 0, "other": root})])
 
-    met = written(left.cogroup(right).applyInPandas(compare, "vec_id long, links long, other long"), "met")
+    # rows that the blocks of a shelf are sent: a prober once a part of the members, a member once a part of the probers
+    size = np.zeros(len(group_of_shelf))
+    held = {r["shelf"]: r["count"] for r in placed.groupBy("shelf").count().collect()}
+    for r in probing.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect():
+        here = held.get(r["shelf"], 0)
+        size[r["shelf"]] = r["count"] * -(-here // most_members) + here * -(-r["count"] // most_probers)
+    wide = 8 * made.value.centres.shape[1] + ROW_BYTES
+    tables, held_rows = [], 0
+    for low, high in rounds(size, max(ROUND_BYTES // wide, int(ROUND_SHARE * n))):
+        left, right = blocks(placed.where(F.col("shelf").between(low, high)),
+                             probing.select("vec_id", "vector", "copies", F.col("list").alias("home"),
+                                            F.explode(F.filter("shelves", lambda x: x.between(low, high))).alias("shelf")),
+                             "shelf", most_members, most_probers)
+        tables.append(written(left.cogroup(right).applyInPandas(compare, "vec_id long, links long, other long"), "met"))
+        held_rows += tables[-1].count()
+        if len(tables) > 1 and held_rows > MOST_HELD * n:
+            tables = [summed(tables)]
+            held_rows = tables[0].count()
+    met = summed(tables) if len(tables) > 1 else tables[0]
+    single = written(probing.select(F.col("vec_id").alias("class"), "copies"), "classes")
+    forget(probing)
     links = met.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
     found = components(met.where("links = 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    of_class = (classes.select(F.col("vec_id").alias("class"), "vector", "copies")
-                .join(links.withColumnRenamed("vec_id", "class"), "class", "left")
+    of_class = (single.join(links.withColumnRenamed("vec_id", "class"), "class", "left")
                 .join(found.withColumnRenamed("node", "class"), "class", "left")
-                .select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                .select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                         F.coalesce("component", "class").alias("component_id")))
-    linked = rows.join(of_class, "vector").select("vec_id", "n_links", "component_id")
+    member = copies.unionByName(single.where("copies = 1").select(F.col("class").alias("vec_id"), "class"))
+    linked = member.join(of_class, "class").select("vec_id", "n_links", "component_id")
     out = every.join(linked, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -35,7 +35,9 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     table = written(rows.mapInPandas(pack, "vec_id long, size int, vector binary"), "vectors")
     common = table.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
     size = common[0]["size"] if common else 0
-    return table.where(F.col("size") == size).select("vec_id", "vector")
+    out = table.where(F.col("size") == size).select("vec_id", "vector")
+    out.written_to = table.written_to
+    return out
 
 
 def matrix(column: Iterable[bytes]) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Chat, vectors, pages, quality, components, the pipeline and the registered queries."""
 
 import html as entities
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from carelake.llm import ann, chat, html, near_vectors, quality, queries
+from carelake.llm import ann, chat, common, html, near_vectors, quality, queries
 from carelake.llm.components import components
 from oracle_compare import compare, duck
 
@@ -156,6 +158,55 @@ def test_near_vectors_send_few_rows_to_blocks(sp, monkeypatch):
     assert sent[0] <= 2.5 * n
 
 
+def test_near_vectors_meet_in_rounds(sp, monkeypatch):
+    """What is sent to the blocks at a time is in proportion to the table, however many blocks each vector meets."""
+    for name, value in (("MOST_MEMBERS", 400), ("MOST_PROBERS", 400), ("WIDEST", 1), ("ROUND_BYTES", 0), ("MOST_HELD", 1), ("MOST_HITS", 500)):
+        monkeypatch.setattr(near_vectors, name, value, raising=False)
+    sent = []
+    blocks = near_vectors.blocks
+
+    def counted(members, probers, *rest):
+        sent.append(probers.count())
+        return blocks(members, probers, *rest)
+
+    monkeypatch.setattr(near_vectors, "blocks", counted)
+    r = np.random.default_rng(12)
+    n, d = 1500, 24
+    x = r.normal(size=(n, d))
+    x[:400] = x[0] / np.linalg.norm(x[0]) + 0.25 / np.sqrt(d) * r.normal(size=(400, d))  # a list with shelves of its own
+    x[400:500] = x[500:600]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = near_vectors.near_vectors(sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = got.toPandas().set_index("vec_id").sort_index()
+    assert got["n_links"].tolist() == link.sum(1).tolist()
+    root = np.arange(n)
+    while (new := np.array([min(root[i], root[link[i]].min(initial=root[i])) for i in range(n)])).tolist() != root.tolist():
+        root = new
+    assert got["component_id"].tolist() == root.tolist()
+    assert max(sent) <= 1.25 * n < sum(sent)
+
+
+def test_written_tables_leave_no_shuffle_files(sp):
+    """What a query shuffled goes when its table is written; a table goes when it is forgotten."""
+    disk = sp._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: len(re.findall(r"shuffle_\d+_\d+_\d+[.]data", disk.getAllFiles().mkString(" ")))
+    sp._jvm.System.gc()
+    table, before = common.written(sp.range(20_000).selectExpr("id % 7000 AS k").groupBy("k").count(), "t"), shuffles()
+    for _ in range(3):
+        table = common.written(table.selectExpr("k % 900 AS k").groupBy("k").count(), "t")
+    until = time.time() + 20
+    while shuffles() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles() <= before and table.count() == 900
+    assert sp.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    path = table.written_to.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(path)
+    common.forget(table)
+    assert not os.path.exists(path)
+
+
 def test_components(sp):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(0, i) for i in range(400, 450)] + [(7, 7), (None, 3)]
